@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.session import ship
+
 # Atoms of unit expressions as (scale to SI, exponents of kg, m, s, K).
 MASS, LENGTH, TIME, TEMPERATURE, FORCE, PRESSURE, POWER, ENERGY, VOLUME, RATE, FLOW = (1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (1, 1, -2, 0), (1, -1, -2, 0), (1, 2, -3, 0), (1, 2, -2, 0), (0, 3, 0, 0), (1, 0, -1, 0), (0, 3, -1, 0)
 LB, G, GALLON, BTU, CALORIE, HP = 0.45359237, 9.80665, 0.003785411784, 1055.05585262, 4.1868, 745.69987158227
@@ -269,4 +271,5 @@ def normalise(items: DataFrame, sources: DataFrame, item_id: str = "item_id", so
                 names=[item_id, "field_name", "value_pos", "quantity_kind", "whole_value"],
             )
 
+    ship(items.sparkSession)
     return joined.mapInArrow(run, f"`{item_id}` {id_type}, field_name string, value_pos int, quantity_kind string, whole_value long")

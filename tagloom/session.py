@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -59,6 +60,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: their Python workers import it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tagloom-zip-")  # Spark's own file server hands it out from the driver
+    atexit.register(shutil.rmtree, folder, True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "tagloom"), "zip", os.path.dirname(home), os.path.basename(home)))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system, whatever its scheme."""
     jvm = spark.sparkContext._jvm
@@ -75,8 +91,6 @@ def _clean() -> None:
         except Exception:  # the session may be gone; its own folder goes with it
             pass
     for path in _OWN.values():
-        import shutil
-
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
