@@ -32,28 +32,28 @@ def dangling(parents: DataFrame, children: DataFrame, scope: list[str]) -> DataF
     """
     k = [*scope, "space", "key"]
     when = children.schema["at"].dataType
-    long = parents.select(*k, F.lit(1).alias("p"), "valid_from", F.when(F.col("valid_to").isNull(), F.col("valid_from")).alias("open_from"), F.lit(None).cast(when).alias("at")).unionByName(
-        children.select(*k, F.lit(0).alias("p"), F.lit(None).cast(when).alias("valid_from"), F.lit(None).cast(when).alias("open_from"), "at")
+    long = parents.select(*k, F.lit(1).alias("__p"), "valid_from", F.when(F.col("valid_to").isNull(), F.col("valid_from")).alias("__open_from"), F.lit(None).cast(when).alias("at")).unionByName(
+        children.select(*k, F.lit(0).alias("__p"), F.lit(None).cast(when).alias("valid_from"), F.lit(None).cast(when).alias("__open_from"), "at")
     )
     groups = long.groupBy(*k).agg(
-        F.max("p").alias("has_parent"),
-        F.max(1 - F.col("p")).alias("has_child"),
-        F.min("valid_from").alias("first"),
-        F.min("open_from").alias("open_first"),
-        F.min("at").alias("child_first"),
-        F.max((1 - F.col("p")) * F.col("at").isNull().cast("int")).alias("untimed"),
+        F.max("__p").alias("__has_parent"),
+        F.max(1 - F.col("__p")).alias("__has_child"),
+        F.min("valid_from").alias("__first"),
+        F.min("__open_from").alias("__open_first"),
+        F.min("at").alias("__child_first"),
+        F.max((1 - F.col("__p")) * F.col("at").isNull().cast("int")).alias("__untimed"),
     )
     known = F.lit(True)
     for c in k:
         known = known & F.col(c).isNotNull()
-    settled = (F.col("has_parent") == 1) & (F.col("open_first") <= F.col("child_first")) & (F.col("untimed") == 0) & known
-    open_groups = groups.where((F.col("has_child") == 1) & ~F.coalesce(settled, F.lit(False))).select(*[F.col(c).alias(f"g_{c}") for c in k], F.when(known, F.col("has_parent")).otherwise(0).alias("has_parent"), "first", "open_first")
+    settled = (F.col("__has_parent") == 1) & (F.col("__open_first") <= F.col("__child_first")) & (F.col("__untimed") == 0) & known
+    open_groups = groups.where((F.col("__has_child") == 1) & ~F.coalesce(settled, F.lit(False))).select(*[F.col(c).alias(f"g_{c}") for c in k], F.when(known, F.col("__has_parent")).otherwise(0).alias("__has_parent"), "__first", "__open_first")
     on = F.lit(True)
     for c in k:
         on = on & F.col(c).eqNullSafe(F.col(f"g_{c}"))
     joined = children.join(open_groups, on).drop(*[f"g_{c}" for c in k])
-    state = F.when(F.col("has_parent") == 0, "missing").when(F.coalesce(F.col("first") > F.col("at"), F.lit(True)), "late").when(F.coalesce(F.col("open_first") <= F.col("at"), F.lit(False)), "fine").otherwise("swept")
-    joined = joined.withColumn("ref_state", state).where("ref_state <> 'fine'").drop("has_parent", "first", "open_first")
+    state = F.when(F.col("__has_parent") == 0, "missing").when(F.coalesce(F.col("__first") > F.col("at"), F.lit(True)), "late").when(F.coalesce(F.col("__open_first") <= F.col("at"), F.lit(False)), "fine").otherwise("swept")
+    joined = joined.withColumn("ref_state", state).where("ref_state <> 'fine'").drop("__has_parent", "__first", "__open_first")
     cols = ["ref_table", "ref_field", "item_id", "ref_state", "period"]
     rest = joined.where("ref_state = 'swept'")
     dead = uncovered(parents.where("valid_to is not null"), rest.select(*k, "at"), k)
@@ -69,13 +69,13 @@ def uncovered(lifetimes: DataFrame, points: DataFrame, k: list[str]) -> DataFram
     """
     span = lifetimes.where("valid_from < valid_to").join(points.select(*k).distinct(), k, "left_semi")
     events = (
-        span.select(*k, F.col("valid_from").alias("at"), F.lit(1).alias("d"), F.lit(0).alias("q"))
-        .unionByName(span.select(*k, F.col("valid_to").alias("at"), F.lit(-1).alias("d"), F.lit(0).alias("q")))
-        .unionByName(points.select(*k, "at", F.lit(0).alias("d"), F.lit(1).alias("q")))
+        span.select(*k, F.col("valid_from").alias("at"), F.lit(1).alias("__d"), F.lit(0).alias("__q"))
+        .unionByName(span.select(*k, F.col("valid_to").alias("at"), F.lit(-1).alias("__d"), F.lit(0).alias("__q")))
+        .unionByName(points.select(*k, "at", F.lit(0).alias("__d"), F.lit(1).alias("__q")))
     )
-    moments = events.groupBy(*k, "at").agg(F.sum("d").alias("d"), F.max("q").alias("q"))
-    alive = salted_prefix(moments, k, ["at"], "d", "before", bucket=F.date_trunc("day", F.col("at")))
-    return alive.where((F.col("q") == 1) & (F.col("before") + F.col("d") <= 0)).select(*k, "at")
+    moments = events.groupBy(*k, "at").agg(F.sum("__d").alias("__d"), F.max("__q").alias("__q"))
+    alive = salted_prefix(moments, k, ["at"], "__d", "__before", bucket=F.date_trunc("day", F.col("at")))
+    return alive.where((F.col("__q") == 1) & (F.col("__before") + F.col("__d") <= 0)).select(*k, "at")
 
 
 def orphan_report(found: DataFrame) -> DataFrame:
