@@ -25,7 +25,7 @@ def _re(c: Column, pattern: str, by: str = "") -> Column:
 
 def clean_text(c: Column) -> Column:
     """Line breaks and runs of white space to one blank, trimmed."""
-    return F.trim(_re(c, WHITE + "+", " "))
+    return F.when(c.rlike(f"(?! ){WHITE}|  "), F.trim(_re(c, WHITE + "+", " "))).otherwise(F.trim(c))
 
 
 def strip(c: Column) -> Column:
@@ -34,8 +34,9 @@ def strip(c: Column) -> Column:
 
 
 def repair(c: Column) -> Column:
-    """The repairs one after another."""
-    return reduce(lambda x, r: _re(x, *r), REPAIRS, c)
+    """The repairs one after another; a text that none of them meets is passed by after one look."""
+    met = c.rlike("|".join(p for p, _ in REPAIRS))
+    return F.when(met, reduce(lambda x, r: _re(x, *r), REPAIRS, c)).otherwise(c)
 
 
 def canonical_tag(c: Column) -> Column:

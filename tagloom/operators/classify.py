@@ -22,7 +22,7 @@ def normalized(items: DataFrame) -> DataFrame:
     those of which fewer than two characters stay.
     """
     t = N.repair(N.clean_text(F.col("text")))
-    return items.where((F.col("confidence") >= LEAST) & (N.strip(F.col("text")) != "")).withColumn("t", t).where(F.length("t") >= 2)
+    return items.where((F.col("confidence") >= LEAST) & F.col("text").rlike(f"(?!{N.WHITE}).")).withColumn("t", t).where(F.length("t") >= 2)
 
 
 def size_check(tag: Column) -> Column:

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Views, queries and their SQL."""

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Readers of what recognition left behind."""

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Recognised items as they arrive."""
