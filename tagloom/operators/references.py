@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.prefix import salted_prefix
+from tagloom.session import stage
 
 PARENT = ["space", "key", "valid_from", "valid_to"]
 CHILD = ["space", "key", "ref_table", "ref_field", "item_id", "at", "period"]
@@ -32,6 +33,12 @@ def dangling(parents: DataFrame, children: DataFrame, scope: list[str]) -> DataF
     """
     k = [*scope, "space", "key"]
     when = children.schema["at"].dataType
+    known = F.lit(True)
+    for c in k:
+        known = known & F.col(c).isNotNull()
+    cols = ["ref_table", "ref_field", "item_id", "ref_state", "period"]
+    loose = children.where(~known).withColumn("ref_state", F.lit("missing")).select(*cols)
+    parents, children = parents.where(known), children.where(known)
     long = parents.select(*k, F.lit(1).alias("__p"), "valid_from", F.when(F.col("valid_to").isNull(), F.col("valid_from")).alias("__open_from"), F.lit(None).cast(when).alias("at")).unionByName(
         children.select(*k, F.lit(0).alias("__p"), F.lit(None).cast(when).alias("valid_from"), F.lit(None).cast(when).alias("__open_from"), "at")
     )
@@ -43,22 +50,16 @@ def dangling(parents: DataFrame, children: DataFrame, scope: list[str]) -> DataF
         F.min("at").alias("__child_first"),
         F.max((1 - F.col("__p")) * F.col("at").isNull().cast("int")).alias("__untimed"),
     )
-    known = F.lit(True)
-    for c in k:
-        known = known & F.col(c).isNotNull()
-    settled = (F.col("__has_parent") == 1) & (F.col("__open_first") <= F.col("__child_first")) & (F.col("__untimed") == 0) & known
-    open_groups = groups.where((F.col("__has_child") == 1) & ~F.coalesce(settled, F.lit(False))).select(*[F.col(c).alias(f"g_{c}") for c in k], F.when(known, F.col("__has_parent")).otherwise(0).alias("__has_parent"), "__first", "__open_first")
-    on = F.lit(True)
-    for c in k:
-        on = on & F.col(c).eqNullSafe(F.col(f"g_{c}"))
-    joined = children.join(open_groups, on).drop(*[f"g_{c}" for c in k])
+    settled = (F.col("__has_parent") == 1) & (F.col("__open_first") <= F.col("__child_first")) & (F.col("__untimed") == 0)
+    open_groups = groups.where((F.col("__has_child") == 1) & ~F.coalesce(settled, F.lit(False))).select(*k, "__has_parent", "__first", "__open_first")
     state = F.when(F.col("__has_parent") == 0, "missing").when(F.coalesce(F.col("__first") > F.col("at"), F.lit(True)), "late").when(F.coalesce(F.col("__open_first") <= F.col("at"), F.lit(False)), "fine").otherwise("swept")
-    joined = joined.withColumn("ref_state", state).where("ref_state <> 'fine'").drop("__has_parent", "__first", "__open_first")
-    cols = ["ref_table", "ref_field", "item_id", "ref_state", "period"]
-    rest = joined.where("ref_state = 'swept'")
+    judged = children.join(open_groups, k).withColumn("ref_state", state).where("ref_state <> 'fine'")
+    # Few references are left; written once, as the sweep reads them several times.
+    judged = stage(judged.select(*k, "at", *cols), "judged")
+    rest = judged.where("ref_state = 'swept'")
     dead = uncovered(parents.where("valid_to is not null"), rest.select(*k, "at"), k)
     swept = rest.join(dead, [*k, "at"], "left_semi").withColumn("ref_state", F.lit("deleted"))
-    return joined.where("ref_state <> 'swept'").select(*cols).unionByName(swept.select(*cols))
+    return judged.where("ref_state <> 'swept'").select(*cols).unionByName(swept.select(*cols)).unionByName(loose)
 
 
 def uncovered(lifetimes: DataFrame, points: DataFrame, k: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.tags import tag_key, tag_key_sql
@@ -24,9 +24,14 @@ def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.variants(p1_objects(spark, sf_dir))
 
 
+def _key(c: str) -> Column:
+    """Never null, so that joins needn't work the key out twice to leave nulls out; '' is no tag that holds a digit."""
+    return F.coalesce(tag_key(c), F.lit(""))
+
+
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tagged row in the target space of line ends (`node`), lines also in that of valves (`line`)."""
-    cols = ["drawing_id", tag_key("tag").alias("key"), F.col("ingested_at").alias("valid_from"), F.col("deleted_at").alias("valid_to")]
+    cols = ["drawing_id", _key("tag").alias("key"), F.col("ingested_at").alias("valid_from"), F.col("deleted_at").alias("valid_to")]
     eq, li, va = (table(spark, sf_dir, t).select(*cols) for t in ("equipment_items", "line_items", "valve_items"))
     both = li.withColumn("space", F.explode(F.array(F.lit("node"), F.lit("line"))))
     return eq.withColumn("space", F.lit("node")).unionByName(va.withColumn("space", F.lit("node"))).unionByName(both)
@@ -37,7 +42,7 @@ def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "line_items").select(*base, F.explode(F.array(F.struct(F.lit("from_node").alias("ref_field"), F.col("from_node").alias("text")), F.struct(F.lit("to_node").alias("ref_field"), F.col("to_node").alias("text")))).alias("r"))
     li = li.select("item_id", "drawing_id", "at", "period", F.lit("line_items").alias("ref_table"), F.lit("node").alias("space"), "r.ref_field", "r.text")
     va = table(spark, sf_dir, "valve_items").select(*base, F.lit("valve_items").alias("ref_table"), F.lit("line").alias("space"), F.lit("line_tag").alias("ref_field"), F.col("line_tag").alias("text"))
-    return li.unionByName(va).where(references.is_reference(F.col("text"))).withColumn("key", tag_key("text")).drop("text")
+    return li.unionByName(va).where(references.is_reference(F.col("text"))).withColumn("key", _key("text")).drop("text")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
