@@ -155,3 +155,41 @@ def overlay(old: Column, new: Column) -> Column:
     """A map with the other's values where it has none or an empty one."""
     empty = F.create_map().cast("map<string,string>")
     return F.map_zip_with(F.coalesce(old, empty), F.coalesce(new, empty), lambda k, a, b: F.coalesce(F.nullif(a, F.lit("")), b))
+
+
+def block_sheets(blocks: DataFrame) -> DataFrame:
+    """drawing_id, tag, field, value from a page's text blocks (drawing_id, page, block_idx, x0, y0, text), as a printed datasheet has them.
+
+    A block with TAG NUMBER and an equipment tag anchors a column: blocks at most 80 aside, from 5
+    above to 300 below. Their first line names the field, the rest is the value; the lowest block
+    of a field wins, and the last anchor of a tag. Both sides are cut into cells of 80 by 305, so a
+    column meets the blocks of nine cells. Null or blank blocks say nothing.
+    """
+    lines = F.filter(F.transform(F.split(F.trim("text"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    b = blocks.where(F.trim("text") != "").withColumn("lines", lines)
+    tag = F.upper(_one(F.array_join("lines", "\n"), r"\b(\d{2,3}-[A-Z]{2,3}-\d{3,4}[A-Z0-9]*)\b"))
+    cell = lambda c, s: F.floor(F.col(c) / s).cast("long")
+    around = lambda c, s: F.explode(F.array(*[cell(c, s) + d for d in (-1, 0, 1)]))
+    a = b.where(F.upper("text").contains("TAG NUMBER")).withColumn("tag", tag).where("tag is not null")
+    a = a.select(F.col("drawing_id").alias("a_d"), F.col("page").alias("a_p"), F.col("block_idx").alias("a_i"), F.col("x0").alias("ax"), F.col("y0").alias("ay"), "tag").withColumn("cx", around("ax", 80.0)).withColumn("cy", around("ay", 305.0))
+    n = b.select("drawing_id", "page", "block_idx", "x0", "y0", F.col("text").alias("block"), "lines", cell("x0", 80.0).alias("bx"), cell("y0", 305.0).alias("by"))
+    col = n.join(a, (F.col("drawing_id") == F.col("a_d")) & (F.col("page") == F.col("a_p")) & (F.col("bx") == F.col("cx")) & (F.col("by") == F.col("cy")) & (F.abs(F.col("x0") - F.col("ax")) <= 80) & (F.col("y0") >= F.col("ay") - 5) & (F.col("y0") <= F.col("ay") + 300))
+    label, value = F.upper(F.get("lines", F.lit(0))), F.array_join(F.slice("lines", F.lit(2), F.size("lines")), " ")
+    plain = F.trim(F.regexp_replace(value, r"(?i)\s*NOTE.*", ""))
+    number = _one(value, r"([\d,.]+)")
+    # Labels in the order in which they are tried, with default units.
+    rules = [
+        ("DUTY", "duty", F.concat(number, F.lit(" kW"))),
+        ("FLOW RATE", "flow_rate", F.concat(number, F.lit(" kg/h"))),
+        ("DESIGN PRESS", "design_pressure", F.when(F.upper(plain).contains("BARG"), plain).otherwise(F.concat(plain, F.lit(" Barg")))),
+        ("DESIGN TEMP", "design_temperature", F.when(F.upper(plain).contains("C"), plain).otherwise(F.concat(plain, F.lit(" °C")))),
+        ("MATERIAL", "material", F.trim(value)),
+        ("QUANTITY", "quantity", F.trim(value)),
+        ("VENDOR", "vendor", vendor(F.col("block"))),
+    ]
+    said = None
+    for words, field, v in rules:
+        s = F.struct(F.lit(field).alias("field"), v.alias("value"))
+        said = F.when(label.contains(words), s) if said is None else said.when(label.contains(words), s)
+    found = col.withColumn("f", said).where("f.value is not null")
+    return found.groupBy("drawing_id", "tag", F.col("f.field").alias("field")).agg(F.max_by("f.value", F.struct("page", "a_i", "y0", "block_idx")).alias("value"))

@@ -128,3 +128,14 @@ def coco(boxes: DataFrame, width: int, height: int) -> DataFrame:
     px = {"bbox_x": F.col("xmin") * width, "bbox_y": F.col("ymin") * height, "bbox_w": (F.col("xmax") - F.col("xmin")) * width, "bbox_h": (F.col("ymax") - F.col("ymin")) * height}
     b = boxes.withColumns({k: F.round(v, 2) for k, v in px.items()})
     return b.withColumns({"class_id": class_id(F.col("symbol_type")), "area": F.round(px["bbox_w"] * px["bbox_h"], 2)})
+
+
+def crop_box(width: Column, height: Column, box: list[Column]) -> Column:
+    """struct(left, top, right, bottom): a box of page shares (ymin, xmin, ymax, xmax) in pixels, inside the image, one pixel at least."""
+    ymin, xmin, ymax, xmax = box
+    px = lambda s, n: (s * n).cast("int")
+    left = F.greatest(F.lit(0), F.least(px(xmin, width), width.cast("int") - 1))
+    top = F.greatest(F.lit(0), F.least(px(ymin, height), height.cast("int") - 1))
+    right = F.greatest(left + 1, F.least(px(xmax, width), width.cast("int")))
+    bottom = F.greatest(top + 1, F.least(px(ymax, height), height.cast("int")))
+    return F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))

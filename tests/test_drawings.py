@@ -267,3 +267,28 @@ def test_kinds(spark):
     assert {r.doc_id: r.drawing_type for r in documents.kinds(t, "doc_id", title="title").collect()} == {1: "PID", 2: "GENERIC"}
     b = spark.createDataFrame([(1, 0, "DWG NO: AB-12345-C"), (1, 1, "REV B"), (1, 2, "DRAWING DOC-998877")], "drawing_id long, item_idx long, text string")
     assert tuple(documents.title_block(b).first())[1:] == ("DRAWING", "REV B")
+
+
+def test_datasheet_column_of_blocks(spark):
+    b = [(1, 1, 0, 100.0, 50.0, "TAG NUMBER\n26-KA-902"), (1, 1, 1, 120.0, 80.0, "DUTY\n1,835 kW"), (1, 1, 2, 100.0, 90.0, "DESIGN PRESSURE\n286 NOTE 3"), (1, 1, 3, 100.0, 95.0, "DESIGN TEMP\n160"), (1, 1, 4, 300.0, 80.0, "MATERIAL\nfar aside"), (1, 1, 5, 100.0, 400.0, "MATERIAL\nfar below"), (1, 1, 6, 100.0, 120.0, "VENDOR\nMAN ENERGY SOLUTIONS"), (1, 1, 7, 100.0, 130.0, " "), (1, 2, 8, 100.0, 60.0, "MATERIAL\nother page"), (1, 1, 9, 110.0, 200.0, "DUTY\n1900")]
+    df = spark.createDataFrame(b, "drawing_id long, page int, block_idx long, x0 double, y0 double, text string")
+    got = {r.field: r.value for r in attributes.block_sheets(df).collect()}
+    assert got == {"duty": "1900 kW", "design_pressure": "286 Barg", "design_temperature": "160 °C", "vendor": "MAN ENERGY SOLUTIONS"}
+    assert attributes.block_sheets(df.limit(0)).count() == 0
+
+
+def test_state(spark):
+    from tagloom.operators import state
+
+    a, b = spark.createDataFrame([(1, "x")], "d int, t string"), spark.createDataFrame([(2,)], "d int")
+    m = state.merge({"t": a}, {"t": b, "u": b})
+    assert sorted(r.d for r in m["t"].collect()) == [1, 2] and m["u"].count() == 1
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": None, "c": "3"}), (None, {"a": "1"})], "l map<string,string>, r map<string,string>")
+    assert [r[0] for r in df.select(state.merge_maps(F.col("l"), F.col("r"))).collect()] == [{"a": "1", "b": None, "c": "3"}, {"a": "1"}]
+    s = spark.createDataFrame([("compiler",), ("else",)], "s string").select(state.progress(F.col("s")))
+    assert [r[0] for r in s.collect()] == [0.78, 0.5]
+
+
+def test_overlay_fills_only_what_is_empty(spark):
+    df = spark.createDataFrame([({"a": "1", "b": ""}, {"a": "9", "b": "2", "c": "3"}), (None, None)], "o map<string,string>, n map<string,string>")
+    assert [r[0] for r in df.select(attributes.overlay(F.col("o"), F.col("n"))).collect()] == [{"a": "1", "b": "2", "c": "3"}, {}]
