@@ -511,9 +511,6 @@ SELECT e.drawing_id, e.tag, regexp_extract(e.tag, '^([0-9]{{2}})-', 1) unit, coa
     "box_iou": f"WITH {V.OCR_ITEMS}, {V.BOXES}, p AS (SELECT a.drawing_id, a.box_idx, greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) * greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) i, (a.ymax - a.ymin) * (a.xmax - a.xmin) + (b.ymax - b.ymin) * (b.xmax - b.xmin) s FROM boxes a JOIN boxes b ON a.drawing_id = b.drawing_id AND b.box_idx = a.box_idx + 1) SELECT drawing_id, box_idx, round(CASE WHEN s - i <= 0 THEN 0 ELSE i / (s - i) END, 9) iou FROM p",
     "tile_grid": "WITH p AS (SELECT p_partkey page_id, p_size * 60 w, p_size * 40 h FROM part), t AS (SELECT *, w > 1200 OR h > 1200 big FROM p), ys AS (SELECT *, unnest(CASE WHEN big THEN range(0, h::BIGINT, 500) ELSE [0::BIGINT] END) y FROM t), xs AS (SELECT *, unnest(CASE WHEN big THEN range(0, w::BIGINT, 500) ELSE [0::BIGINT] END) x FROM ys) SELECT page_id, x::INTEGER x, y::INTEGER y, (CASE WHEN big THEN least(x + 800, w) ELSE w END)::INTEGER x2, (CASE WHEN big THEN least(y + 800, h) ELSE h END)::INTEGER y2 FROM xs",
     "crop_boxes": f"WITH {V.OCR_ITEMS}, {V.BOXES}, c AS (SELECT drawing_id, box_idx, greatest(0, least(trunc(xmin * 3300)::INTEGER, 3299)) l, greatest(0, least(trunc(ymin * 2338)::INTEGER, 2337)) t, trunc(xmax * 3300)::INTEGER r, trunc(ymax * 2338)::INTEGER b FROM boxes) SELECT drawing_id, box_idx, l AS \"left\", t AS top, greatest(l + 1, least(r, 3300)) AS \"right\", greatest(t + 1, least(b, 2338)) AS bottom FROM c",
-    "title_blocks": r"""WITH o AS (SELECT doc_id drawing_id, trim(unnest(string_split(text, chr(10)))) t, unnest(range(len(string_split(text, chr(10))))) i FROM documents),
-c AS (SELECT *, regexp_matches(t, '(?i)\b(DWG|DRAWING|DOC)\s*(NO|NUM|\.|#)?:?\s*([A-Z0-9\-_]{6,30})\b') n, regexp_extract(t, '(?i)\b([A-Z0-9\-_]{6,30})\b', 1) k, regexp_extract(t, '(?i)\b(REV\s*[-.:]?\s*[A-Z0-9]{1,3})\b', 1) r FROM o)
-SELECT * FROM (SELECT drawing_id, coalesce(arg_max(k, i) FILTER (WHERE n AND length(k) > 6), 'UNKNOWN') drawing_number, coalesce(arg_max(r, i) FILTER (WHERE NOT n AND contains(upper(t), 'REV') AND r <> ''), '0') revision FROM c GROUP BY 1) WHERE drawing_number <> 'UNKNOWN' OR revision <> '0'""",
     "sheet_regions": f"WITH {V.OCR_ITEMS} SELECT drawing_id, CASE {' '.join(f"WHEN center_y BETWEEN {y0} AND {y1} AND center_x BETWEEN {x0} AND {x1} THEN '{n}'" for n, y0, x0, y1, x1 in state.REGIONS)} ELSE '' END region, count(*) n_items FROM ocr_items GROUP BY 1, 2",
     "yolo_rows": f"WITH {V.OCR_ITEMS}, {V.BOXES}, c AS (SELECT drawing_id, box_idx, symbol_type, greatest(ymin, 0) y0, greatest(xmin, 0) x0, least(ymax, 1.0) y1, least(xmax, 1.0) x1 FROM boxes WHERE xmax > xmin AND ymax > ymin) SELECT drawing_id, box_idx, {_CLASS('symbol_type')} class_id, round((x0 + x1) / 2, 9) x_center, round((y0 + y1) / 2, 9) y_center, round(x1 - x0, 9) width, round(y1 - y0, 9) height FROM c",
     "coco_rows": f"WITH {V.OCR_ITEMS}, {V.BOXES} SELECT drawing_id, box_idx, {_CLASS('symbol_type')} class_id, round(xmin * 3300, 2) bbox_x, round(ymin * 2338, 2) bbox_y, round((xmax - xmin) * 3300, 2) bbox_w, round((ymax - ymin) * 2338, 2) bbox_h FROM boxes",
