@@ -82,6 +82,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Delete every staged table. For the end of a job step: DataFrames built on them can't be read any more."""
+    while _STAGED:
+        drop_path(*_STAGED.pop())
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _STAGED:
