@@ -4,7 +4,8 @@ A bottom-up tree automaton runs over each parsed text: a leaf's state is its typ
 set of its elements' states, an object's the sorted list of its (key, state) pairs. Two objects
 have the same shape exactly if they end in the same state, so the state names the structural
 variant. Every object that is an array element becomes one row of the supertype table (its owner,
-path, parent link and variant); `subtype` then reads the rows of one variant as a typed table.
+path, parent link and variant), on demand also the text's outermost value; `subtype` then reads the
+rows of one variant as a typed table. Together the subtype tables hold every value of the texts.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from collections.abc import Iterator
 from json import decoder, scanner
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagloom.session import ship
+from tagloom.session import drop_path, ship, stage_path
 
-SUPERTYPE = "json_column string, parent_path string, child_path string, array_path string, variant string, shape string, body string"
+LINKS = ["json_column", "parent_path", "child_path", "array_path", "variant"]
+SUPERTYPE = "json_column string, parent_path string, child_path string, array_path string, variant string, shape string, body string, fields string"
 
 
 class _Deep(json.JSONDecoder):
@@ -60,6 +63,8 @@ def _inside(value):
 
 
 _LEAF = {type(None): "null", bool: "bool", int: "long", float: "double", str: "string"}
+_TYPE = {"null": None, "bool": "boolean", "long": "bigint", "double": "double", "string": "string"}
+_LONG = 2**63
 
 
 class Automaton:
@@ -67,6 +72,7 @@ class Automaton:
 
     def __init__(self, keep: int = 100_000) -> None:
         self.states: dict[str, str] = {}
+        self.columns: dict[str, tuple[dict[str, str], str]] = {}
         self.keep = keep
 
     def state(self, transition: str) -> str:
@@ -77,8 +83,8 @@ class Automaton:
             s = self.states[transition] = hashlib.blake2b(transition.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
         return s
 
-    def rows(self, value, with_body: bool) -> Iterator[tuple[str, str, str, str, str, str | None]]:
-        """(parent_path, child_path, array_path, variant, shape, body) of each object in an array, children first."""
+    def rows(self, value, with_body: bool, with_root: bool = False, taken: frozenset[str] = frozenset()) -> Iterator[tuple]:
+        """(parent_path, child_path, array_path, variant, shape, body, fields) of each object in an array, children first; with_root, of the outermost value last."""
         # A frame: value, path, pattern, element?, enclosing object's path, parts so far, iterator over children
         out = []
         top: list = [None]
@@ -94,24 +100,145 @@ class Automaton:
                     e = isinstance(v, list) and isinstance(child, dict)
                     stack.append((child, cpath, cpattern, e, path if element else owner, [], _children(child, cpath, cpattern), parts, k))
                     break
-                parts.append((k, _LEAF[type(child)]))
+                t = type(child)
+                parts.append((k, _LEAF[t] if t is not int or -_LONG <= child < _LONG else "integer"))
             else:
                 stack.pop()
                 if isinstance(v, list):
-                    s = self.state("[" + ",".join(sorted({p for _, p in parts})) + "]")
+                    kinds = {p for _, p in parts}
+                    if "long" in kinds and "double" in kinds and _wide(v):
+                        kinds.add("wide")
+                    shape = "[" + ",".join(sorted(kinds)) + "]"
                 else:
                     shape = "{" + ",".join(f"{json.dumps(k)}:{p}" for k, p in sorted(parts)) + "}"
-                    s = self.state(shape)
-                    if element:
-                        out.append((owner, path, pattern, s, shape, _body(v) if with_body else None))
+                s = self.state(shape)
+                root = with_root and up is top
+                if element or root:
+                    body, fields = self._content(v, s, taken) if with_body else (None, None)
+                    out.append((None if root else owner, path, pattern, s, shape, body, fields))
                 up.append((key, s)) if up is not top else None
         return iter(out)
 
+    def _content(self, v, s: str, taken: frozenset[str]) -> tuple[str, str]:
+        """The body and its fields: column -> type. The columns are the same for all values of a state."""
+        own = _own(v)
+        known = self.columns.get(s)
+        if known is None:
+            if len(self.columns) >= self.keep:
+                self.columns.clear()
+            seen, names = set(taken), {}
+            for name in sorted(own):
+                column = name.encode("utf-8", "replace").decode()
+                while not column or column.lower() in seen:
+                    column = f"f_{column}"
+                seen.add(column.lower())
+                names[name] = column
+            known = self.columns[s] = names, json.dumps({c: own[n][0] for n, c in names.items()}, ensure_ascii=False)
+        names, fields = known
+        return json.dumps({c: own[n][1] for n, c in names.items()}, ensure_ascii=False), fields
+
+
+def _own(v) -> dict[str, tuple[str, object]]:
+    """name -> (type, value) of all that lies in a value but not in an object with a row of its own.
+
+    Objects that are fields are flattened into dotted names; a dot or backslash in a key has a
+    backslash before it. An array is a field of its own (`[]` if it is the outermost value) unless
+    objects are all it holds: typed if its elements agree, else as JSON text, in which {} stands
+    for an object that has a row.
+    """
+    out: dict[str, tuple[str, object]] = {}
+    if isinstance(v, list):
+        _add_array(out, "[]", v)
+        return out
+    todo = [("", v)]
+    while todo:
+        at, d = todo.pop()
+        for k, x in d.items():
+            x = _inside(x)
+            name = at + (k.replace("\\", "\\\\").replace(".", "\\.") if "." in k or "\\" in k else k)
+            if isinstance(x, dict):
+                todo.append((f"{name}.", x))
+            elif isinstance(x, list):
+                _add_array(out, name, x)
+            elif type(x) is int and not -_LONG <= x < _LONG:
+                out[name] = "string", str(x)
+            else:
+                out[name] = _TYPE[_LEAF[type(x)]] or "string", x
+    return out
 
-def _body(v: dict) -> str:
-    """The object's own content: what lies in objects below has rows of its own."""
-    plain = lambda x: not isinstance(_inside(x), (dict, list))
-    return json.dumps({k: x for k, x in v.items() if plain(x) or isinstance(x, list) and all(map(plain, x))}, ensure_ascii=False)
+
+def _add_array(out: dict, name: str, v: list) -> None:
+    inner = [_inside(x) for x in v]
+    if inner and all(isinstance(x, dict) for x in inner):
+        return
+    kind = _array_type(inner)
+    if kind is None:
+        out[name] = "string", _text(v)
+    else:
+        depth, leaf = kind
+        out[name] = "array<" * depth + (leaf or "string") + ">" * depth, _read(inner)
+
+
+def _array_type(v: list, depth: int = 1) -> tuple[int, str | None] | None:
+    """(depth, leaf type) of an array whose elements agree; the leaf type is None if there are only nulls. None if they don't agree."""
+    if depth > 8:
+        return None
+    plain: set[str] = set()
+    below: set[tuple[int, str | None]] = set()
+    for x in v:
+        x = _inside(x)
+        if isinstance(x, dict) or type(x) is int and not -_LONG <= x < _LONG:
+            return None
+        if isinstance(x, list):
+            t = _array_type(x, depth + 1)
+            if t is None:
+                return None
+            below.add(t)
+        elif x is not None:
+            plain.add(_LEAF[type(x)])
+    if below:
+        # An empty array, or one of nulls, agrees with every array that is no less deep.
+        deepest = max(d for d, _ in below)
+        full = {t for t in below if t[1]}
+        if plain or len(full) > 1 or full and next(iter(full))[0] < deepest:
+            return None
+        return deepest + 1 if not full else next(iter(full))[0] + 1, next(iter(full))[1] if full else None
+    if plain == {"long", "double"}:
+        return None if _wide(v) else (1, "double")
+    return None if len(plain) > 1 else (1, _TYPE[plain.pop()] if plain else None)
+
+
+def _wide(v: list) -> bool:
+    """Whether an array holds a whole number that a double can't."""
+    return any(type(x) is int and not -(2**53) <= x <= 2**53 for x in v)
+
+
+def _read(v: list) -> list:
+    return [_read(x) if isinstance(x, list) else x for x in map(_inside, v)]
+
+
+def _text(v: list) -> str:
+    """An array of any depth as JSON; {} stands for each object in it."""
+    out: list[str] = []
+    stack, first = [iter((v,))], [True]
+    while stack:
+        for x in stack[-1]:
+            x = _inside(x)
+            if not first[-1]:
+                out.append(", ")
+            first[-1] = False
+            if isinstance(x, list):
+                out.append("[")
+                stack.append(iter(x))
+                first.append(True)
+                break
+            out.append("{}" if isinstance(x, dict) else json.dumps(x, ensure_ascii=False))
+        else:
+            stack.pop()
+            first.pop()
+            if stack:
+                out.append("]")
+    return "".join(out)
 
 
 def _strings(c: list) -> pa.Array:
@@ -130,30 +257,35 @@ def _children(v, path: str, pattern: str):
             yield k, x, f"{path}.{k}" if path else k, f"{pattern}.{k}" if pattern else k
 
 
-def shred(df: DataFrame, keys: list[str], json_columns: list[str], with_body: bool = False) -> DataFrame:
+def shred(df: DataFrame, keys: list[str], json_columns: list[str], with_body: bool = False, with_root: bool = False) -> DataFrame:
     """The supertype table: one row per JSON object that is an array element, at any depth.
 
     Columns: the keys, then json_column, parent_path ('' at the top), child_path, array_path (the
     child path with every position left open), variant (the automaton's state), shape (its
-    transition: own keys with their types or states) and body (the object's own plain
-    fields and arrays of plain values as JSON, only with_body).
+    transition: own keys with their types or states), body (as JSON, all that lies in the object and
+    in no object with a row of its own) and fields (the body's columns with their types; both only
+    with_body, see `subtype`). with_root adds a row for the outermost object or array of each text:
+    its child_path is '', its parent_path null, its body what no array element holds.
     Strings that hold an object or array are read as if written in place. Null, empty and invalid
     texts give no rows; of a key told twice in one object the last counts; an empty table gives
     none. Each input row is treated alone: rows of a key that say the same thing give the same rows.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", " + SUPERTYPE
 
+    taken = frozenset(x.lower() for x in (*keys, *LINKS, "subtype"))
+    own_names = [c.split(" ")[0] for c in SUPERTYPE.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = Automaton()
         for batch in batches:
             own: list[int] = []
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in own_names]
 
             def flush() -> pa.RecordBatch:
                 idx = pa.array(own, pa.int32())
                 arrays = [batch.column(i).take(idx) for i in range(len(keys))]
                 arrays += [_strings(c) for c in cols]
-                names = [batch.schema.names[i] for i in range(len(keys))] + ["json_column", "parent_path", "child_path", "array_path", "variant", "shape", "body"]
+                names = [batch.schema.names[i] for i in range(len(keys))] + own_names
                 own.clear()
                 done = pa.RecordBatch.from_arrays(arrays, names=names)
                 for c in cols:
@@ -168,7 +300,7 @@ def shred(df: DataFrame, keys: list[str], json_columns: list[str], with_body: bo
                         value = parse(text)
                     except ValueError:
                         continue
-                    for row in auto.rows(value, with_body):
+                    for row in auto.rows(value, with_body, with_root, taken):
                         own.append(i)
                         cols[0].append(name)
                         for c, x in zip(cols[1:], row):
@@ -187,54 +319,83 @@ def variants(objects: DataFrame) -> DataFrame:
     return objects.groupBy("json_column", "array_path", "variant").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("n_objects"))
 
 
-def subtype(objects: DataFrame, keys: list[str], shape: str, variant: str) -> DataFrame:
-    """The typed table of one variant: the supertype's keys and links, then a column for each own plain field.
+def subtype(objects: DataFrame, keys: list[str], shape: str, variant: str, fields: str | None = None) -> DataFrame:
+    """The typed table of one variant: the supertype's keys and links, then a column for each own field.
 
-    `objects` must have been made with_body. Fields that hold arrays or objects of their own are
-    left out: their rows are in other subtypes and point here by parent_path. A field named like
-    a key gets the prefix `f_`.
+    `objects` must have been made with_body; without `fields` those of the variant's first row are
+    looked up. Objects that are fields are flattened into dotted columns (`a.b`; a dot or backslash
+    within a key has a backslash before it). Arrays whose elements agree are array columns; others,
+    and arrays of plain values beside objects, are JSON texts in which {} stands for each object.
+    Whole numbers beyond 64 bits are texts. Objects in arrays are rows of other subtypes and point
+    here by parent_path. A column named like one that is there, in whatever case, gets the prefix `f_`.
     """
-    taken = {*keys, "json_column", "parent_path", "child_path"}
-    fields = [(k, t) for k, t in parse(_quoted(shape)).items() if t in _LEAF.values()]
-    kinds = {"null": "string", "bool": "boolean", "long": "long", "double": "double", "string": "string"}
-    at = objects.where(F.col("variant") == variant)
-    base = [*keys, "json_column", "parent_path", "child_path"]
-    if not fields:
+    at = objects.where((F.col("variant") == variant) & (F.col("shape") == shape))
+    if fields is None:
+        row = at.select("fields").first()
+        fields = row["fields"] if row else "{}"
+    return _typed(at, [*keys, "json_column", "parent_path", "child_path"], fields)
+
+
+def _typed(at: DataFrame, base: list[str], fields: str) -> DataFrame:
+    kinds = json.loads(fields)
+    if not kinds:
         return at.select(*base)
-    ddl = ", ".join(f"`{k.replace('`', '``')}` {kinds[t]}" for k, t in fields)
-    seen: set[str] = {x.lower() for x in taken}
-    cols = []
-    for k, _ in fields:
-        name = k
-        while name.lower() in seen:
-            name = f"f_{name}"
-        seen.add(name.lower())
-        cols.append(F.col("__b").getField(k).alias(name))
-    return at.withColumn("__b", F.from_json("body", ddl)).select(*base, *cols)
-
-
-def _quoted(shape: str) -> str:
-    """A shape as JSON: its states are bare words."""
-    out, i = [], 0
-    while i < len(shape):
-        if shape[i] == '"':
-            j = i + 1
-            while shape[j] != '"':
-                j += 2 if shape[j] == "\\" else 1
-            out.append(shape[i : j + 1])
-            i = j + 1
-        elif shape[i] in "{}:,":
-            out.append(shape[i])
-            i += 1
+    struct = T.StructType([T.StructField(c, _type(t)) for c, t in kinds.items()])
+    return at.withColumn("__b", F.from_json("body", struct)).select(*base, *[F.col("__b").getField(c).alias(c) for c in kinds])
+
+
+def _type(t: str) -> T.DataType:
+    if t.startswith("array<"):
+        return T.ArrayType(_type(t[6:-1]))
+    return {"boolean": T.BooleanType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}[t]
+
+
+def write_subtypes(objects: DataFrame, path: str) -> dict[str, str]:
+    """Write the typed tables below path, each to its folder `subtype=...`; gives each one's fields. What was at path goes.
+
+    Variants that agree in all fields and differ only in objects below share a table; its column
+    `variant` tells them apart. A write has one schema, so tables whose columns don't clash in type
+    or case are written together, at most 400 columns at a time, and each file also has the empty
+    columns of its fellows: `read_subtype` gives a table's own. The driver holds the tables' fields.
+    """
+    spark = objects.sparkSession
+    base = [*objects.columns[: objects.columns.index("json_column")], *LINKS]
+    name = F.concat(F.lit("t"), F.substring(F.sha2("fields", 256), 1, 16))
+    routed = stage_path(spark, "subtypes")
+    objects.withColumn("subtype", name).write.parquet(routed)
+    rows = spark.read.parquet(routed)
+    known = {r["subtype"]: r["fields"] for r in rows.groupBy("subtype").agg(F.min("fields").alias("fields")).orderBy("subtype").collect()}
+    drop_path(spark, path)
+    for columns, tables in _fellows(known):
+        part = rows.where(F.col("subtype").isin(tables)).hint("rebalance", "subtype")
+        _typed(part, [*base, "subtype"], json.dumps(columns)).write.mode("append").partitionBy("subtype").parquet(path)
+    drop_path(spark, routed)
+    return known
+
+
+def _fellows(known: dict[str, str], most: int = 400) -> list[tuple[dict[str, str], list[str]]]:
+    """Tables in groups: (columns with types, tables); within a group a column has one type and one spelling."""
+    groups: list[tuple[dict[str, str], dict[str, str], list[str]]] = []
+    for t, fields in known.items():
+        own = json.loads(fields)
+        for columns, spelt, tables in groups:
+            if all(spelt.get(c.lower(), c) == c and columns.get(c, k) == k for c, k in own.items()) and len(columns.keys() | own.keys()) <= most:
+                break
         else:
-            j = i
-            while shape[j] not in ",}":
-                j += 1
-            out.append(f'"{shape[i:j]}"')
-            i = j
-    return "".join(out)
+            columns, spelt, tables = {}, {}, []
+            groups.append((columns, spelt, tables))
+        columns.update(own)
+        spelt.update({c.lower(): c for c in own})
+        tables.append(t)
+    return [(columns, tables) for columns, _, tables in groups]
+
+
+def read_subtype(spark: SparkSession, path: str, name: str, fields: str) -> DataFrame:
+    """One of the tables of `write_subtypes`: keys, links and its own fields."""
+    t = spark.read.parquet(f"{path}/subtype={name}")
+    n = t.columns.index(LINKS[-1]) + 1
+    return t.select(*[F.col(_quoted(c)) for c in [*t.columns[:n], *json.loads(fields)]])
 
 
-def write_subtypes(objects: DataFrame, path: str) -> None:
-    """Route every row to its variant's folder: one write, partitioned by array path and variant."""
-    objects.repartition("array_path", "variant", F.pmod(F.xxhash64("child_path"), F.lit(16))).write.mode("overwrite").partitionBy("array_path", "variant").parquet(path)
+def _quoted(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.tags import tag_key, tag_key_sql
 from tagloom.operators import hierarchy, nested, references, units
-from tagloom.session import table
+from tagloom.session import stage_path, table
 
 
 def p1_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,19 @@ def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.variants(p1_objects(spark, sf_dir))
 
 
+def p1_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the typed tables of all variants over all threads, outermost objects included, and counts their rows by array path.
+
+    A thread's states are told apart by ingested_at; a row told twice counts once.
+    """
+    told = table(spark, sf_dir, "threads").select("thread_id", "ingested_at", "config_json", "result_json").distinct()
+    path = stage_path(spark, "typed")
+    fields = nested.write_subtypes(nested.shred(told, ["thread_id", "ingested_at"], ["config_json", "result_json"], with_body=True, with_root=True), path)
+    named = spark.createDataFrame(list(fields.items()), "subtype string, fields string")
+    tables = spark.read.schema("json_column string, array_path string, variant string, subtype string").parquet(path)
+    return tables.groupBy("json_column", "array_path", "variant", "subtype").agg(F.count(F.lit(1)).alias("n_objects")).join(named, "subtype").select("json_column", "array_path", "variant", "subtype", "fields", "n_objects")
+
+
 def _key(c: str) -> Column:
     """Never null, so that joins needn't work the key out twice to leave nulls out; '' is no tag that holds a digit."""
     return F.coalesce(tag_key(c), F.lit(""))
@@ -78,7 +91,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.normalise(table(spark, sf_dir, "equipment_items"), table(spark, sf_dir, "extraction_sources"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_report, p4_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_subtypes, p2_found, p2_report, p4_found, p6_found)}
 
 _P2 = f"""
 WITH parents AS (
