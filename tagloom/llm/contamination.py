@@ -4,7 +4,8 @@ The test items' words become one automaton over all items. Each document streams
 through it once; at every word the automaton knows the longest passage of any item that ends
 there. Where that is long enough, the state that stands for the last `least` words names the
 items that hold them. Whatever the corpus' size, the automaton is as large as the test items;
-these are cut into blocks of bounded size, and every document meets every block.
+these are cut into blocks of bounded size, and every document meets every block; what it shares
+with them is united before anything is counted or cut.
 """
 
 from __future__ import annotations
@@ -126,8 +127,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     spans are the word ranges covered by shared passages, leaked_words their total; clean_text is
     the text without them. Test items are gathered in blocks of about block_chars characters, a
-    bound on what is sent around; a document that meets items of several blocks has a row for each.
-    Null texts and texts of fewer than `least` words share nothing. Repeated documents give their
+    bound on what is sent around; it changes no result: with several blocks the documents pass them
+    in turn, each adding to the spans and items found so far. Null texts and texts of fewer than `least` words share nothing. Repeated documents give their
     rows each. Empty tables give none.
     """
     spark = docs.sparkSession
@@ -136,46 +137,65 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     total = some.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     n_blocks = -(-total // block_chars) or 1
     kind, ikind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"`{doc_id}` {kind}, items array<{ikind}>, n_words int, leaked_words int, spans array<struct<first:int,last:int>>, clean_text string"
-    out = None
+    now = docs.select(doc_id, text)
     for block in range(n_blocks):
         part = some.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block)
         known = tuple(sorted((r.i, r.t) for r in part.collect()))
+        last = block == n_blocks - 1
 
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], known=known, first=not block, last=last) -> Iterator[pa.RecordBatch]:
             auto = _automaton(known, least)
             for b in batches:
-                own, found, n_words, leaked, spans, cleaned = [], [], [], [], [], []
-                for row, t in enumerate(b.column(1).to_pylist()):
-                    if not t:
-                        continue
-                    ws = words(t)
-                    hit: set[int] = set()
+                own, hits, n_words, leaked, spans, cleaned = [], [], [], [], [], []
+                texts = b.column(1).to_pylist()
+                before = zip(texts, *(([None] * len(texts),) * 2 if first else (b.column(2).to_pylist(), b.column(3).to_pylist())))
+                for row, (t, its0, spans0) in enumerate(before):
+                    ws = words(t) if t else []
+                    hit: set[int] = set(its0 or ())
                     cover: list[list[int]] = []
                     for k, m, its in auto.matches(ws):
                         hit.update(its)
-                        first = k - m + 1
-                        if cover and first <= cover[-1][1] + 1:
-                            cover[-1] = [min(first, cover[-1][0]), k]
+                        start = k - m + 1
+                        if cover and start <= cover[-1][1] + 1:
+                            cover[-1] = [min(start, cover[-1][0]), k]
                         else:
-                            cover.append([first, k])
-                    if hit:
+                            cover.append([start, k])
+                    if spans0:
+                        cover = _united([[x["first"], x["last"]] for x in spans0] + cover)
+                    if hit or not last:
                         own.append(row)
-                        found.append(sorted(hit))
+                        hits.append(sorted(hit))
                         n_words.append(len(ws))
                         leaked.append(sum(b - a + 1 for a, b in cover))
                         spans.append([{"first": a, "last": b} for a, b in cover])
-                        cleaned.append(_without(t, cover) if clean else None)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(own, pa.int32())), pa.array(found, pa.list_(pa.int64())), pa.array(n_words, pa.int32()), pa.array(leaked, pa.int32()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(cleaned, pa.string())],
-                    names=[doc_id, "items", "n_words", "leaked_words", "spans", "clean_text"],
-                )
-
-        one = docs.select(doc_id, text).mapInArrow(run, schema.replace(f"items array<{ikind}>", "items array<bigint>")).withColumn("items", F.col("items").cast(f"array<{ikind}>"))
-        out = one if out is None else out.unionByName(one)
+                        cleaned.append(_without(t, cover) if clean and last else None)
+                taken = pa.array(own, pa.int32())
+                span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+                if last:
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(taken), pa.array(hits, pa.list_(pa.int64())), pa.array(n_words, pa.int32()), pa.array(leaked, pa.int32()), pa.array(spans, span), pa.array(cleaned, pa.string())],
+                        names=[doc_id, "items", "n_words", "leaked_words", "spans", "clean_text"],
+                    )
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.int64())), pa.array(spans, span)], names=[doc_id, "__text", "__items", "__spans"])
+
+        schema = f"`{doc_id}` {kind}, " + ("items array<bigint>, n_words int, leaked_words int, spans array<struct<first:int,last:int>>, clean_text string" if last else "__text string, __items array<bigint>, __spans array<struct<first:int,last:int>>")
+        now = now.mapInArrow(run, schema)
+    out = now.withColumn("items", F.col("items").cast(f"array<{ikind}>"))
     return out if clean else out.drop("clean_text")
 
 
+def _united(spans: list[list[int]]) -> list[list[int]]:
+    """Word ranges in order; those that touch are one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def _without(text: str, cover: list[list[int]]) -> str:
     """The text without the covered words and what stands between them."""
     at = [m.span() for m in _WORD.finditer(text.casefold())]
@@ -190,10 +210,7 @@ def _without(text: str, cover: list[list[int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, **how) -> DataFrame:
-    """doc_id, leaked_words, n_words, action, clean_text of leaking documents: `drop` beyond max_coverage, else `cut`.
-
-    A document that leaks items of several blocks keeps a row for each block.
-    """
+    """doc_id, leaked_words, n_words, action, clean_text of leaking documents: `drop` beyond max_coverage, else `cut`."""
     found = leaks(docs, items, clean=True, **how)
     share = F.col("leaked_words") / F.col("n_words")
     return found.withColumn("action", F.when(share > max_coverage, "drop").otherwise("cut")).withColumn("clean_text", F.when(F.col("action") == "cut", F.col("clean_text")))

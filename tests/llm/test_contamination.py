@@ -66,3 +66,23 @@ def test_empty_tables(spark):
     assert run(spark, [], ((1, ITEM),)) == {}
     d = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     assert C.leaks(d, spark.createDataFrame([], "eval_item_id int, text string")).count() == 0
+
+
+def test_block_size_changes_no_column(spark):
+    rnd = random.Random(3)
+    voc = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rnd.choice(voc) for _ in range(30))) for i in range(24)]
+    texts = [None, "", "nothing of it"]
+    for _ in range(30):
+        text = []
+        for _ in range(rnd.randint(1, 5)):
+            ws = rnd.choice(items)[1].split()
+            at = rnd.randint(0, 14)
+            text += [rnd.choice(voc) for _ in range(rnd.randint(0, 25))] + ws[at : at + rnd.randint(11, 16)]
+        texts.append(", ".join(text))
+    docs = spark.createDataFrame([(i % 31, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame(items, "eval_item_id int, text string")
+    for f in (lambda **k: C.leaks(docs, known, clean=True, **k), lambda **k: C.decontaminate(docs, known, **k)):
+        whole, parts = (sorted(map(str, f(block_chars=n).collect())) for n in (4_000_000, 700))
+        assert whole == parts and len(whole) > 20
+    assert {r.action for r in C.decontaminate(docs, known, block_chars=700).collect()} == {"cut", "drop"}
