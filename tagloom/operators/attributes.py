@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import normalize as N
+from tagloom.operators.neighbours import nearest
 
 # Field, what labels it.
 FIELDS = [
@@ -38,49 +39,48 @@ def _tail(c: Column, label: str) -> Column:
     return F.when(F.length(t) >= 2, t)
 
 
-def _number_unit(c: Column, units: str, default: str) -> Column:
-    return F.concat(_one(c, r"([\d,]+(?:\.\d+)?)"), F.lit(" "), F.coalesce(_one(c, rf"(?i)\b({units})\b"), F.lit(default)))
+# Patterns of values and their units, defaults, and what makes a vendor.
+NUMBER = r"([\d,]+(?:\.\d+)?)"
+DUTY_UNITS, FLOW_UNITS, PRESSURE_UNITS = "kW|MW|HP|BHP", "kg/h|t/h|m3/h|MMSCFD|Sm3/h|Nm3/h|bbl/d", r"barg|bar\s*\(g\)|psig|kPag|MPag"
+PRESSURES = r"(?i)\b((?:FV\s*/\s*)?\d+(?:\.\d+)?(?:\s*/\s*(?:FV|\d+(?:\.\d+)?))*)\b"
+TEMPERATURES, DEGREES = r"(-?\d+[\d.,\s/°CF-]{2,})", r"(°?\s*[CF])"
+QUANTITY = r"(?i)(\d+\s*[xX]\s*\d+%|\d+\s*(?:DUTY|STANDBY|INSTALLED)?)"
+VENDOR_LABEL, CAPITAL_WORD = r"(?i)^\s*(?:VENDOR|MANUFACTURER|SUPPLIER|MFR)\s*[:=]?\s*", r"\b([A-Z0-9-]{2,})\b"
+DEFAULTS = {"duty": "kW", "flow_rate": "kg/h", "pressure": "Barg", "temperature": "°C"}
 
 
-def _pressure(c: Column) -> Column:
-    n = _one(c, r"(?i)\b((?:FV\s*/\s*)?\d+(?:\.\d+)?(?:\s*/\s*(?:FV|\d+(?:\.\d+)?))*)\b")
-    return F.concat(n, F.lit(" "), F.coalesce(_one(c, r"(?i)\b(barg|bar\s*\(g\)|psig|kPag|MPag)\b"), F.lit("Barg")))
+def _with_unit(c: Column, number: Column, units: str, default: str) -> Column:
+    return F.concat(number, F.lit(" "), F.coalesce(_one(c, units), F.lit(default)))
 
 
 def _temperature(c: Column) -> Column:
-    n = F.regexp_replace(F.trim(_one(c, r"(-?\d+[\d.,\s/°CF-]{2,})")), "/+$", "")
-    return F.when(F.length(n) >= 2, F.concat(n, F.lit(" "), F.coalesce(_one(c, r"(°?\s*[CF])"), F.lit("°C"))))
+    n = F.regexp_replace(F.trim(_one(c, TEMPERATURES)), "/+$", "")
+    return F.when(F.length(n) >= 2, _with_unit(c, n, DEGREES, DEFAULTS["temperature"]))
 
 
 def vendor(c: Column) -> Column:
     """The vendor a text names: the line below a VENDOR heading, else what follows the label; null for scope markers and single plain words."""
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    v = F.when((F.size(lines) >= 2) & F.upper(F.get(lines, F.lit(0))).contains("VENDOR"), F.get(lines, F.lit(1))).otherwise(F.trim(F.regexp_replace(c, r"(?i)^\s*(?:VENDOR|MANUFACTURER|SUPPLIER|MFR)\s*[:=]?\s*", "")))
+    v = F.when((F.size(lines) >= 2) & F.upper(F.get(lines, F.lit(0))).contains("VENDOR"), F.get(lines, F.lit(1))).otherwise(F.trim(F.regexp_replace(c, VENDOR_LABEL, "")))
     u = F.upper(v)
     bad = (v == "") | u.isin(NO_VENDOR) | (v.startswith("(") & v.endswith(")")) | u.rlike(NO_VENDOR_WORDS)
-    return F.when(~bad & ((F.size(F.regexp_extract_all(v, F.lit(r"\b([A-Z0-9-]{2,})\b"), F.lit(1))) >= 2) | u.rlike(VENDORS)), v)
+    return F.when(~bad & ((F.size(F.regexp_extract_all(v, F.lit(CAPITAL_WORD), F.lit(1))) >= 2) | u.rlike(VENDORS)), v)
 
 
 def extract(c: Column, field: str) -> Column:
     """The field's value in a labelled text, null if there is none of two characters or more."""
-    label = dict(FIELDS)[field]
-    if field == "duty":
-        v = _number_unit(c, "kW|MW|HP|BHP", "kW")
-    elif field == "flow_rate":
-        v = _number_unit(c, "kg/h|t/h|m3/h|MMSCFD|Sm3/h|Nm3/h|bbl/d", "kg/h")
-    elif field in ("design_pressure", "operating_pressure"):
-        v = _pressure(c)
-    elif field == "design_temperature":
-        v = _temperature(c)
-    elif field == "vendor":
-        v = vendor(c)
-    elif field == "quantity":
-        v = F.trim(_one(c, r"(?i)(\d+\s*[xX]\s*\d+%|\d+\s*(?:DUTY|STANDBY|INSTALLED)?)"))
-    elif field == "type":
-        v = _tail(c, label)
-        v = F.when(~F.trim(c).startswith("(") & ~v.startswith("("), v)
-    else:
-        v = _tail(c, label)
+    tail = _tail(c, dict(FIELDS)[field])
+    value = {
+        "duty": lambda: _with_unit(c, _one(c, NUMBER), rf"(?i)\b({DUTY_UNITS})\b", DEFAULTS["duty"]),
+        "flow_rate": lambda: _with_unit(c, _one(c, NUMBER), rf"(?i)\b({FLOW_UNITS})\b", DEFAULTS["flow_rate"]),
+        "design_pressure": lambda: _with_unit(c, _one(c, PRESSURES), rf"(?i)\b({PRESSURE_UNITS})\b", DEFAULTS["pressure"]),
+        "operating_pressure": lambda: _with_unit(c, _one(c, PRESSURES), rf"(?i)\b({PRESSURE_UNITS})\b", DEFAULTS["pressure"]),
+        "design_temperature": lambda: _temperature(c),
+        "vendor": lambda: vendor(c),
+        "quantity": lambda: F.trim(_one(c, QUANTITY)),
+        "type": lambda: F.when(~F.trim(c).startswith("(") & ~tail.startswith("("), tail),
+    }
+    v = value.get(field, lambda: tail)()
     return F.when(F.length(v) >= 2, v)
 
 
@@ -95,18 +95,12 @@ def labelled(items: DataFrame) -> DataFrame:
 def nearest_in_height(values: DataFrame, anchors: DataFrame, radius: float, keep: list[str]) -> DataFrame:
     """values (drawing_id, item_idx, y, keep...) with anchor: the anchor (drawing_id, tag, ord, y) nearest in height, strictly within radius.
 
-    Equal distances go to the smallest ord. Both sides are cut into bands as high as the radius
-    and anchors at the same height are reduced to the first, so a value meets the anchors of three
-    bands, in tasks of (drawing, band). Null or negative heights meet nothing.
+    Equal distances go to the smallest ord. Null or negative heights meet nothing. It is the
+    nearest-neighbour search with every x the same.
     """
-    a = anchors.where("y >= 0").groupBy(F.col("drawing_id").alias("a_drawing"), F.col("y").alias("ay")).agg(F.min(F.struct("ord", "tag")).alias("a"))
-    band = lambda c: F.floor(c / radius).cast("long")
-    a = a.withColumn("a_band", band(F.col("ay")))
-    v = values.where("y >= 0").select("drawing_id", "item_idx", "y", *keep).withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(F.col("y")) + d)))
-    d = F.abs(F.col("y") - F.col("ay"))
-    met = v.join(a, (F.col("drawing_id") == F.col("a_drawing")) & (F.col("band") == F.col("a_band")) & (d < radius))
-    best = met.groupBy("drawing_id", "item_idx", "y", *keep).agg(F.min(F.struct(d.alias("d"), F.col("a.ord").alias("ord"), F.col("a.tag").alias("tag"))).alias("b"))
-    return best.select("drawing_id", "item_idx", "y", *keep, F.col("b.tag").alias("anchor"))
+    v = values.where("y >= 0").select("drawing_id", "item_idx", F.lit(0.0).alias("x"), "y", *keep)
+    found = nearest(v, anchors.where("y >= 0").select("drawing_id", "tag", "ord", F.lit(0.0).alias("x"), "y"), radius, "anchor", square=True)
+    return found.where("anchor is not null").drop("x")
 
 
 def datasheet(items: DataFrame, elements: DataFrame) -> DataFrame:
@@ -118,37 +112,40 @@ def datasheet(items: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def set_pressures(items: DataFrame, elements: DataFrame) -> DataFrame:
-    """drawing_id, tag, set_pressure: for each relief valve the first pressure whose nearest valve in height, within 0.10, it is."""
+    """drawing_id, tag, set_pressure, told_idx: for each relief valve the first pressure whose nearest valve in height, within 0.10, it is."""
     c = F.trim("text")
     raw = F.coalesce(*[_one(c, p) for p in SET_PRESSURE])
     said = items.select("drawing_id", "item_idx", F.col("center_y").alias("y"), N.pressure_text(F.trim(raw)).alias("value")).where("value is not null")
-    return _first_for_valve(said, elements, ["value"]).select("drawing_id", "tag", F.col("r.value").alias("set_pressure"))
+    return _first_for_valve(said, elements, ["value"]).select("drawing_id", "tag", F.col("r.value").alias("set_pressure"), "told_idx")
 
 
 def flanges(items: DataFrame, elements: DataFrame) -> DataFrame:
-    """drawing_id, tag, inlet_size, outlet_size, inlet_spec, remarks: the first flange text for each relief valve, found like set pressures."""
+    """drawing_id, tag, inlet_size, outlet_size, inlet_spec, remarks, told_idx: the first flange text for each relief valve, found like set pressures."""
     c = F.trim("text")
     inlet, outlet = F.coalesce(_one(c, FLANGE, 3), F.lit("300#")), F.coalesce(_one(c, FLANGE, 4), F.lit("150#"))
     said = items.where(c.rlike(FLANGE)).select("drawing_id", "item_idx", F.col("center_y").alias("y"), _one(c, FLANGE, 1).alias("inlet_size"), _one(c, FLANGE, 2).alias("outlet_size"), inlet.alias("inlet_spec"), F.concat(F.lit("Flange Rating: "), inlet, F.lit(" x "), outlet).alias("remarks"))
     keep = ["inlet_size", "outlet_size", "inlet_spec", "remarks"]
-    return _first_for_valve(said, elements, keep).select("drawing_id", "tag", *[F.col(f"r.{k}").alias(k) for k in keep])
+    return _first_for_valve(said, elements, keep).select("drawing_id", "tag", *[F.col(f"r.{k}").alias(k) for k in keep], "told_idx")
 
 
 def _first_for_valve(said: DataFrame, elements: DataFrame, keep: list[str]) -> DataFrame:
     anchors = elements.where("classification = 'PSV_TAG'").select("drawing_id", "tag", "ord", "y")
     near = nearest_in_height(said, anchors, 0.10, keep)
-    return near.groupBy("drawing_id", F.col("anchor").alias("tag")).agg(F.min_by(F.struct(*keep), F.struct("item_idx", *keep)).alias("r"))
-
-
-def with_twins(valves: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """valves (drawing_id, tag, ...) with `column` from values: by tag, by canonical tag, else the first of a twin (same tag but for the last letter)."""
-    exact = values.select(F.col("drawing_id").alias("e_drawing"), F.col("tag").alias("e_tag"), F.col(column).alias("e"))
-    twin = values.groupBy(F.col("drawing_id").alias("t_drawing"), N.twin_key(F.col("tag")).alias("t_key")).agg(F.min_by(column, "tag").alias("t"))
-    own = exact.select(F.col("e_drawing").alias("c_drawing"), F.col("e_tag").alias("c_tag"), F.col("e").alias("c"))
-    j = valves.join(exact, (F.col("drawing_id") == F.col("e_drawing")) & (F.col("tag") == F.col("e_tag")), "left")
-    j = j.join(own, (F.col("drawing_id") == F.col("c_drawing")) & (N.canonical_tag(F.col("tag")) == F.col("c_tag")), "left")
+    return near.groupBy("drawing_id", F.col("anchor").alias("tag")).agg(F.min_by(F.struct(*keep), F.struct("item_idx", *keep)).alias("r"), F.min("item_idx").alias("told_idx"))
+
+
+def with_twins(valves: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """valves (drawing_id, tag, ...) with `columns` from the same row of values: by tag, else by canonical tag, else the first told (told_idx, else tag) of a twin (same tag but for the last letter)."""
+    first = "told_idx" if "told_idx" in values.columns else "tag"
+    row = F.struct(*columns)
+    own = values.select(F.col("drawing_id").alias("e_drawing"), F.col("tag").alias("e_tag"), row.alias("e"))
+    twin = values.groupBy(F.col("drawing_id").alias("t_drawing"), N.twin_key(F.col("tag")).alias("t_key")).agg(F.min_by(row, F.struct(first, "tag")).alias("t"))
+    canon = own.select(F.col("e_drawing").alias("c_drawing"), F.col("e_tag").alias("c_tag"), F.col("e").alias("c"))
+    j = valves.join(own, (F.col("drawing_id") == F.col("e_drawing")) & (F.col("tag") == F.col("e_tag")), "left")
+    j = j.join(canon, (F.col("drawing_id") == F.col("c_drawing")) & (N.canonical_tag(F.col("tag")) == F.col("c_tag")), "left")
     j = j.join(twin, (F.col("drawing_id") == F.col("t_drawing")) & (N.twin_key(F.col("tag")) == F.col("t_key")), "left")
-    return j.withColumn(column, F.coalesce("e", "c", "t")).drop("e_drawing", "e_tag", "e", "c_drawing", "c_tag", "c", "t_drawing", "t_key", "t")
+    won = F.coalesce("e", "c", "t")
+    return j.withColumns({c: won[c] for c in columns}).drop("e_drawing", "e_tag", "e", "c_drawing", "c_tag", "c", "t_drawing", "t_key", "t")
 
 
 def overlay(old: Column, new: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import normalize as N
 from tagloom.operators import grammar as G
+from tagloom.operators.neighbours import nearest
 from tagloom.session import stage
 
 #: The least confidence an item must have.
@@ -84,8 +85,8 @@ def scan(items: DataFrame) -> DataFrame:
 
 
 def seq(item: Column, rank: Column, pos: Column) -> Column:
-    """A mention's place in reading order as one number."""
-    return item * 2**20 + rank * 2**14 + F.least(pos, F.lit(2**14 - 1))
+    """A mention's place in reading order: item, pattern, match. A struct, so none of them has a bound."""
+    return F.struct(item.cast("long").alias("item"), rank.cast("int").alias("rank"), pos.cast("int").alias("pos"))
 
 
 def first_mentions(found: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def first_mentions(found: DataFrame) -> DataFrame:
     An aggregate, not a window: a tag with a third of all mentions is combined before the shuffle.
     """
     keep = ["item_idx", "rank", "pos", "classification", "confidence", "flag_reason", "t", "center_x", "center_y"]
-    order = seq(F.col("item_idx").cast("long"), F.col("rank"), F.col("pos"))
+    order = seq(F.col("item_idx"), F.col("rank"), F.col("pos"))
     row = F.struct(order.alias("seq"), *keep)
     g = found.groupBy("drawing_id", "tag").agg(F.min(row).alias("a"), F.max(F.when(F.col("again"), row)).alias("z"))
     w = F.coalesce("z", "a")
@@ -110,23 +111,18 @@ def guarded(mentions: DataFrame, items: DataFrame) -> DataFrame:
     """First mentions with set points among the bare three-digit instruments turned into notes.
 
     A set-point word counts in the item itself, in an item at most 0.05 up or down and 0.20
-    sideways (both with positions above 0), or within 35 characters of the match. The neighbour
-    search joins on drawing and grid cell, so one large drawing spreads over many tasks.
+    sideways (both with positions above 0), or within 35 characters of the match. With a quarter
+    of x the box is a square, so the search is for the nearest set point by the larger difference.
     """
     p = next(p for r, _, p in G.PATTERNS if r == 4)
     suspect = (F.col("rank") == 4) & (F.col("classification") == "INSTRUMENT_TAG") & (F.length(F.regexp_replace("tag", "[^0-9]", "")) == 3)
     said = setpoint_words(items)
     own = said.select(F.col("drawing_id").alias("o_drawing"), F.col("item_idx").alias("o_item")).distinct()
-    places = said.where("center_x > 0 and center_y > 0").select(F.col("drawing_id").alias("s_drawing"), F.col("item_idx").alias("s_item"), F.col("center_x").alias("sx"), F.col("center_y").alias("sy"))
-    around = lambda c, size: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: (F.floor(c / size) + d).cast("long")))
-    cells = places.withColumn("gx", (F.floor(F.col("sx") / 0.2)).cast("long")).withColumn("gy", F.floor(F.col("sy") / 0.05).cast("long"))
-    asked = mentions.where(suspect)
-    probe = asked.where("center_x > 0 and center_y > 0").select("drawing_id", "tag", "item_idx", "center_x", "center_y").withColumn("px", around(F.col("center_x"), 0.2)).withColumn("py", around(F.col("center_y"), 0.05))
-    near = probe.join(
-        cells,
-        (F.col("drawing_id") == F.col("s_drawing")) & (F.col("px") == F.col("gx")) & (F.col("py") == F.col("gy")) & (F.col("item_idx") != F.col("s_item")) & (F.abs(F.col("center_y") - F.col("sy")) <= 0.05) & (F.abs(F.col("center_x") - F.col("sx")) <= 0.20),
-        "left_semi",
-    ).select(F.col("drawing_id").alias("n_drawing"), F.col("tag").alias("n_tag")).distinct()
+    square = ["drawing_id", (F.col("center_x") / 4).alias("x"), F.col("center_y").alias("y")]
+    placed = lambda df: df.where("center_x > 0 and center_y > 0")
+    # An item with a set-point word of its own is found by `own`, so it may well find itself here.
+    near = nearest(placed(mentions.where(suspect)).select(*square, "tag"), placed(said).select(*square, F.lit("").alias("tag"), F.col("item_idx").alias("ord")), 0.05, "n_near", square=True, inclusive=True)
+    near = near.where("n_near is not null").select(F.col("drawing_id").alias("n_drawing"), F.col("tag").alias("n_tag"))
     # The match's place: lengths of the parts between matches and of the matches before it.
     whole, parts = F.regexp_extract_all("t", F.lit(p), F.lit(0)), F.split("t", p, -1)
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
@@ -142,27 +138,28 @@ def kept_notes(items: DataFrame, found: DataFrame, mentions: DataFrame) -> DataF
     """Items that brought no new tag, as notes with their own text, first mention of each text."""
     gave = mentions.select("drawing_id", F.col("first_item").alias("item_idx")).unionByName(found.where("again").select("drawing_id", "item_idx")).distinct()
     rest = normalized(items).where(F.length("t") >= 3).join(gave, ["drawing_id", "item_idx"], "left_anti")
-    row = F.struct(seq(F.col("item_idx").cast("long"), F.lit(15), F.lit(0)).alias("seq"), "item_idx", F.round("confidence", 3).alias("confidence"), "center_x", "center_y")
+    row = F.struct(seq(F.col("item_idx"), F.lit(15), F.lit(0)).alias("seq"), "item_idx", F.round("confidence", 3).alias("confidence"), "center_x", "center_y")
     notes = rest.groupBy("drawing_id", F.col("t").alias("tag")).agg(F.min(row).alias("r"))
     fresh = notes.join(mentions.select("drawing_id", "tag"), ["drawing_id", "tag"], "left_anti")
     return fresh.select("drawing_id", "r.seq", "tag", "r.item_idx", F.lit("NOTE").alias("classification"), "r.confidence", F.lit(None).cast("string").alias("flag_reason"), "r.center_x", "r.center_y")
 
 
 def ordered(elements: DataFrame) -> DataFrame:
-    """Adds ord: the place after sorting by class, then by first mention."""
+    """Adds ord: the place after sorting by class, then by first mention (class_no, item, rank, pos)."""
     rank = reduce(lambda c, x: c.when(F.col("classification") == x[0], x[1]), G.PRIORITY.items(), F).otherwise(99)
-    return elements.withColumn("ord", rank.cast("long") * 2**50 + F.col("seq"))
+    return elements.withColumn("ord", F.struct(rank.cast("int").alias("class_no"), "seq.item", "seq.rank", "seq.pos"))
 
 
-def classify(items: DataFrame) -> DataFrame:
+def classify(items: DataFrame, found: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """drawing_id, ord, seq, item_idx, tag, classification, confidence, flag_reason, x, y: all tags and notes, before spellings are folded.
 
     Items need drawing_id, item_idx (distinct in its drawing), text, confidence, center_x and
     center_y. A missing position is 0. Repeated texts are mentions of one tag. Empty tables give none.
+    `found` and `mentions` are the staged results of `scan` and of `guarded` first mentions, if there are any.
     """
     # Both are read several times: written once, the patterns run once over each text.
-    found = stage(scan(items), "scan")
-    mentions = stage(guarded(first_mentions(found), items), "mentions")
+    found = found or stage(scan(items), "scan")
+    mentions = mentions or stage(guarded(first_mentions(found), items), "mentions")
     cols = ["drawing_id", "seq", "item_idx", "tag", "classification", "confidence", "flag_reason", "center_x", "center_y"]
     both = mentions.select(cols).unionByName(kept_notes(items, found, mentions).select(cols))
     return ordered(both).select("drawing_id", "ord", "seq", "item_idx", "tag", "classification", "confidence", "flag_reason", F.coalesce("center_x", F.lit(0.0)).alias("x"), F.coalesce("center_y", F.lit(0.0)).alias("y"))

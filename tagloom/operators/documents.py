@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.normalize import WHITE
 from tagloom.operators.prefix import salted_prefix
 
 # Kinds in order, with label and discipline.
@@ -27,18 +28,18 @@ KEYWORDS = [
     (r"\bSTRUCTURAL\s+LAYOUT\b|\bFRAMING\s+PLAN\b|\bFOUNDATION\s+PLAN\b|\bCIVIL\s+LAYOUT\b", "STRUCTURAL_LAYOUT"),
     (r"\bISOMETRIC\b|\bISO\s+DRAWING\b|\bPIPE\s+ISO\b", "ISOMETRIC"),
 ]
-# Vocabulary with weights, `token:weight` separated by semicolons.
-VOCABULARY = {
-    "PID": "pit:4;tit:4;fit:4;lit:4;ait:4;pdit:4;psv:4;prv:3;pdt:3;pt:2;ti:2;fi:2;li:2;pict:3;frc:3;vsd:3;fc11s:5;ac21s:5;gc11s:5;compressor:3;separator:3;cooler:3;vessel:3;scrubber:3;exchanger:3;glycol:2;flare:3;header:2;nozzle:2;drain:2;coalescer:3;skid:2",
-    "PFD": "stream:5;mass balance:5;flow rate:4;temperature:3;pressure:3;mole:4;composition:4;pfd:6;heat duty:4;enthalpy:4",
-    "ELECTRICAL_LAYOUT": "luminaire:6;lighting:5;light:3;fluorescent:5;led:3;fitting:3;fixture:3;db:3;mdb:5;ldb:5;distribution board:6;panel:3;mcb:5;rccb:5;acb:5;socket:4;outlet:3;switch:3;conduit:4;cable tray:5;wiring:4;circuit:3;kw:2;kvah:3;amps:3;voltage:3;electrical layout:8;power layout:7;el.:3;tl.:3",
-    "EARTHING_LAYOUT": "earthing:8;grounding:8;earth:5;earth bar:8;earth pit:8;earth rod:7;bonding:6;conductor:4;equipotential:7;copper tape:6;copper conductor:6;earth electrode:7;test link:5;eb:4;ep:4;bc:3",
-    "SLD": "busbar:7;bus bar:7;transformer:5;incomer:6;feeder:5;breaker:4;mccb:6;vcb:5;acb:4;relay:4;ct:3;pt:3;mvdb:7;lvdb:7;single line:8;sld:8;switchgear:6;kv:4;mva:5;fault level:5",
-    "HVAC_LAYOUT": "ahu:7;air handling unit:8;vav:6;fcu:6;diffuser:6;grille:5;duct:5;ductwork:6;chiller:5;cooling tower:5;supply air:5;return air:5;exhaust:4;hvac:8;ventilation:5;cfm:4;l/s:3",
-    "STRUCTURAL_LAYOUT": "column:4;beam:4;slab:5;footing:5;foundation:5;rebar:5;reinforcement:5;grid:3;level:2;elevation:3;structural:6;framing:6;civil:4;concrete:4;steel:3",
-    "ISOMETRIC": "isometric:8;iso:5;spool:7;elbow:5;flange:4;tee:4;reducer:4;pipe support:6;weld:4;bw:3;north:3;east:3;up:2",
-    "CABLE_SCHEDULE": "cable:5;cable no:7;cable schedule:9;route:4;from panel:5;to panel:5;core:4;mm2:5;armoured:5;xlpe:5;pvc:3;length:3;tray:4;conduit:4;drum:4",
-}
+# Vocabulary as (kind, token, weight).
+VOCABULARY = [
+    ("PID", "pit", 4), ("PID", "tit", 4), ("PID", "fit", 4), ("PID", "lit", 4), ("PID", "ait", 4), ("PID", "pdit", 4), ("PID", "psv", 4), ("PID", "prv", 3), ("PID", "pdt", 3), ("PID", "pt", 2), ("PID", "ti", 2), ("PID", "fi", 2), ("PID", "li", 2), ("PID", "pict", 3), ("PID", "frc", 3), ("PID", "vsd", 3), ("PID", "fc11s", 5), ("PID", "ac21s", 5), ("PID", "gc11s", 5), ("PID", "compressor", 3), ("PID", "separator", 3), ("PID", "cooler", 3), ("PID", "vessel", 3), ("PID", "scrubber", 3), ("PID", "exchanger", 3), ("PID", "glycol", 2), ("PID", "flare", 3), ("PID", "header", 2), ("PID", "nozzle", 2), ("PID", "drain", 2), ("PID", "coalescer", 3), ("PID", "skid", 2),
+    ("PFD", "stream", 5), ("PFD", "mass balance", 5), ("PFD", "flow rate", 4), ("PFD", "temperature", 3), ("PFD", "pressure", 3), ("PFD", "mole", 4), ("PFD", "composition", 4), ("PFD", "pfd", 6), ("PFD", "heat duty", 4), ("PFD", "enthalpy", 4),
+    ("ELECTRICAL_LAYOUT", "luminaire", 6), ("ELECTRICAL_LAYOUT", "lighting", 5), ("ELECTRICAL_LAYOUT", "light", 3), ("ELECTRICAL_LAYOUT", "fluorescent", 5), ("ELECTRICAL_LAYOUT", "led", 3), ("ELECTRICAL_LAYOUT", "fitting", 3), ("ELECTRICAL_LAYOUT", "fixture", 3), ("ELECTRICAL_LAYOUT", "db", 3), ("ELECTRICAL_LAYOUT", "mdb", 5), ("ELECTRICAL_LAYOUT", "ldb", 5), ("ELECTRICAL_LAYOUT", "distribution board", 6), ("ELECTRICAL_LAYOUT", "panel", 3), ("ELECTRICAL_LAYOUT", "mcb", 5), ("ELECTRICAL_LAYOUT", "rccb", 5), ("ELECTRICAL_LAYOUT", "acb", 5), ("ELECTRICAL_LAYOUT", "socket", 4), ("ELECTRICAL_LAYOUT", "outlet", 3), ("ELECTRICAL_LAYOUT", "switch", 3), ("ELECTRICAL_LAYOUT", "conduit", 4), ("ELECTRICAL_LAYOUT", "cable tray", 5), ("ELECTRICAL_LAYOUT", "wiring", 4), ("ELECTRICAL_LAYOUT", "circuit", 3), ("ELECTRICAL_LAYOUT", "kw", 2), ("ELECTRICAL_LAYOUT", "kvah", 3), ("ELECTRICAL_LAYOUT", "amps", 3), ("ELECTRICAL_LAYOUT", "voltage", 3), ("ELECTRICAL_LAYOUT", "electrical layout", 8), ("ELECTRICAL_LAYOUT", "power layout", 7), ("ELECTRICAL_LAYOUT", "el.", 3), ("ELECTRICAL_LAYOUT", "tl.", 3),
+    ("EARTHING_LAYOUT", "earthing", 8), ("EARTHING_LAYOUT", "grounding", 8), ("EARTHING_LAYOUT", "earth", 5), ("EARTHING_LAYOUT", "earth bar", 8), ("EARTHING_LAYOUT", "earth pit", 8), ("EARTHING_LAYOUT", "earth rod", 7), ("EARTHING_LAYOUT", "bonding", 6), ("EARTHING_LAYOUT", "conductor", 4), ("EARTHING_LAYOUT", "equipotential", 7), ("EARTHING_LAYOUT", "copper tape", 6), ("EARTHING_LAYOUT", "copper conductor", 6), ("EARTHING_LAYOUT", "earth electrode", 7), ("EARTHING_LAYOUT", "test link", 5), ("EARTHING_LAYOUT", "eb", 4), ("EARTHING_LAYOUT", "ep", 4), ("EARTHING_LAYOUT", "bc", 3),
+    ("SLD", "busbar", 7), ("SLD", "bus bar", 7), ("SLD", "transformer", 5), ("SLD", "incomer", 6), ("SLD", "feeder", 5), ("SLD", "breaker", 4), ("SLD", "mccb", 6), ("SLD", "vcb", 5), ("SLD", "acb", 4), ("SLD", "relay", 4), ("SLD", "ct", 3), ("SLD", "pt", 3), ("SLD", "mvdb", 7), ("SLD", "lvdb", 7), ("SLD", "single line", 8), ("SLD", "sld", 8), ("SLD", "switchgear", 6), ("SLD", "kv", 4), ("SLD", "mva", 5), ("SLD", "fault level", 5),
+    ("HVAC_LAYOUT", "ahu", 7), ("HVAC_LAYOUT", "air handling unit", 8), ("HVAC_LAYOUT", "vav", 6), ("HVAC_LAYOUT", "fcu", 6), ("HVAC_LAYOUT", "diffuser", 6), ("HVAC_LAYOUT", "grille", 5), ("HVAC_LAYOUT", "duct", 5), ("HVAC_LAYOUT", "ductwork", 6), ("HVAC_LAYOUT", "chiller", 5), ("HVAC_LAYOUT", "cooling tower", 5), ("HVAC_LAYOUT", "supply air", 5), ("HVAC_LAYOUT", "return air", 5), ("HVAC_LAYOUT", "exhaust", 4), ("HVAC_LAYOUT", "hvac", 8), ("HVAC_LAYOUT", "ventilation", 5), ("HVAC_LAYOUT", "cfm", 4), ("HVAC_LAYOUT", "l/s", 3),
+    ("STRUCTURAL_LAYOUT", "column", 4), ("STRUCTURAL_LAYOUT", "beam", 4), ("STRUCTURAL_LAYOUT", "slab", 5), ("STRUCTURAL_LAYOUT", "footing", 5), ("STRUCTURAL_LAYOUT", "foundation", 5), ("STRUCTURAL_LAYOUT", "rebar", 5), ("STRUCTURAL_LAYOUT", "reinforcement", 5), ("STRUCTURAL_LAYOUT", "grid", 3), ("STRUCTURAL_LAYOUT", "level", 2), ("STRUCTURAL_LAYOUT", "elevation", 3), ("STRUCTURAL_LAYOUT", "structural", 6), ("STRUCTURAL_LAYOUT", "framing", 6), ("STRUCTURAL_LAYOUT", "civil", 4), ("STRUCTURAL_LAYOUT", "concrete", 4), ("STRUCTURAL_LAYOUT", "steel", 3),
+    ("ISOMETRIC", "isometric", 8), ("ISOMETRIC", "iso", 5), ("ISOMETRIC", "spool", 7), ("ISOMETRIC", "elbow", 5), ("ISOMETRIC", "flange", 4), ("ISOMETRIC", "tee", 4), ("ISOMETRIC", "reducer", 4), ("ISOMETRIC", "pipe support", 6), ("ISOMETRIC", "weld", 4), ("ISOMETRIC", "bw", 3), ("ISOMETRIC", "north", 3), ("ISOMETRIC", "east", 3), ("ISOMETRIC", "up", 2),
+    ("CABLE_SCHEDULE", "cable", 5), ("CABLE_SCHEDULE", "cable no", 7), ("CABLE_SCHEDULE", "cable schedule", 9), ("CABLE_SCHEDULE", "route", 4), ("CABLE_SCHEDULE", "from panel", 5), ("CABLE_SCHEDULE", "to panel", 5), ("CABLE_SCHEDULE", "core", 4), ("CABLE_SCHEDULE", "mm2", 5), ("CABLE_SCHEDULE", "armoured", 5), ("CABLE_SCHEDULE", "xlpe", 5), ("CABLE_SCHEDULE", "pvc", 3), ("CABLE_SCHEDULE", "length", 3), ("CABLE_SCHEDULE", "tray", 4), ("CABLE_SCHEDULE", "conduit", 4), ("CABLE_SCHEDULE", "drum", 4),
+]
 #: The score that a kind must reach.
 LEAST = 5
 
@@ -46,7 +47,7 @@ LEAST = 5
 def vocabulary() -> list[tuple[str, int, str, int]]:
     """(kind, place of the kind, token, weight)."""
     place = {k: i for i, (k, _, _) in enumerate(KINDS)}
-    return [(k, place[k], *(lambda t, w: (t, int(w)))(*e.rsplit(":", 1))) for k, v in VOCABULARY.items() for e in v.split(";")]
+    return [(k, place[k], t, w) for k, t, w in VOCABULARY]
 
 
 def signals(texts: DataFrame, doc: str, text: str) -> DataFrame:
@@ -61,16 +62,24 @@ def chained(items: DataFrame, span: int = 4, block: int = 4096) -> DataFrame:
     """drawing_id, text: each confident item with the span - 1 items after it, joined by blanks.
 
     No keyword or token spans more items than that, so these rows hold every hit that the drawing's
-    whole text would. Items get their rank by a bucketed running count; windows run over blocks of
-    ranks, which overlap by the span, so a large drawing is many windows.
+    whole text would. Items of white space don't count as items; where they stood, two blanks join
+    their neighbours, as more than one blank would in the whole text. Items get their rank by a
+    bucketed running count, which counts the white ones beside; windows run over blocks of ranks,
+    which overlap by the span, so a large drawing is many windows.
     """
-    t = items.where((F.col("confidence") >= 0.25) & (F.col("text") != "")).select("drawing_id", "item_idx", "text", F.lit(1).alias("one"))
-    r = salted_prefix(t, ["drawing_id"], ["item_idx"], "one", "rank", bucket=F.floor(F.col("item_idx") / block))
+    said = F.col("text").rlike(f"(?!{WHITE})[\\s\\S]")
+    t = items.where((F.col("confidence") >= 0.25) & (F.col("text") != "")).select("drawing_id", "item_idx", "text", said.alias("said"))
+    t = t.withColumn("one", F.when(F.col("said"), F.lit(2**32)).otherwise(F.lit(1)).cast("long"))
+    r = salted_prefix(t, ["drawing_id"], ["item_idx"], "one", "place", bucket=F.floor(F.col("item_idx") / block)).where("said")
+    r = r.withColumns({"rank": F.shiftright("place", 32), "white": F.col("place").bitwiseAND(F.lit(2**32 - 1))})
     b = F.floor(F.col("rank") / block)
     r = r.withColumn("block", F.explode(F.when((F.col("rank") % block < span - 1) & (b > 0), F.array(b, b - 1)).otherwise(F.array(b))))
     w = Window.partitionBy("drawing_id", "block").orderBy("rank")
-    joined = F.concat_ws(" ", "text", *[F.lead("text", i).over(w) for i in range(1, span)])
-    return r.withColumn("text", joined).where(b == F.col("block")).select("drawing_id", "text")
+    parts = [F.col("text")]
+    for i in range(1, span):
+        before = F.lead("white", i - 1).over(w) if i > 1 else F.col("white")
+        parts.append(F.concat(F.when(F.lead("white", i).over(w) > before, "  ").otherwise(" "), F.lead("text", i).over(w)))
+    return r.withColumn("text", F.concat_ws("", *parts)).where(b == F.col("block")).select("drawing_id", "text")
 
 
 def kinds(texts: DataFrame, doc: str = "drawing_id", text: str = "text", title: str | None = None) -> DataFrame:
@@ -102,7 +111,7 @@ def title_block(items: DataFrame) -> DataFrame:
     """drawing_id, drawing_number, revision: the last items that give one; UNKNOWN and 0 where none does."""
     t = F.trim("text")
     numbered = t.rlike(r"(?i)\b(DWG|DRAWING|DOC)\s*(NO|NUM|\.|#)?:?\s*([A-Z0-9\-_]{6,30})\b")
-    token = F.regexp_extract(t, r"(?i)\b([A-Z0-9\-_]{6,30})\b", 1)
+    token = F.regexp_extract(t, r"\b([A-Z0-9\-_]{6,30})\b", 1)  # the first of capitals, whatever the label's case
     number = F.when(numbered & (F.length(token) > 6), token)
     rev = F.when(~numbered & F.upper(t).contains("REV"), F.nullif(F.regexp_extract(t, r"(?i)\b(REV\s*[-.:]?\s*[A-Z0-9]{1,3})\b", 1), F.lit("")))
     at = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("item_idx")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import normalize as N
 from tagloom.operators import dedup
+from tagloom.operators.neighbours import first_within, nearest
 
 # Kind of equipment by code.
 EQUIPMENT_KINDS = {
@@ -135,8 +136,6 @@ def lines(e: DataFrame, rels: DataFrame, traces: DataFrame | None = None, legacy
     callout within 0.15 of the line's centre (its trace's, else its text's).
     legacy_axis reads trace points as (x, y).
     """
-    from tagloom.operators.spatial import nearest
-
     kinds = ["CONNECTS_TO", "FEEDS", "INSTALLED_ON"]
     t = e.where("classification = 'LINE_TAG'").select("drawing_id", "ord", "tag", "x", "y", parse_line(F.col("tag")).alias("p"))
     t = _join_end(t, _other_end(rels, kinds, True, "source"), "to_rel")
@@ -177,16 +176,13 @@ def instruments(e: DataFrame, rels: DataFrame, line_table: DataFrame, symbols: D
 
 
 def loop_texts(boxed: DataFrame, e: DataFrame) -> DataFrame:
-    """n_drawing, n_ord, near_loop: the first number in texts around a box's centre. Joined by drawing and bands of height 0.10, then by distance."""
+    """n_drawing, n_ord, near_loop: the first number in texts within 0.10 of a box's centre, else in texts less than 0.015 above or below it."""
     c = F.col("coordinates")
-    b = boxed.select(F.col("drawing_id").alias("n_drawing"), F.col("ord").alias("n_ord"), ((F.get(c, F.lit(0)) + F.get(c, F.lit(2))) / 2).alias("cy"), ((F.get(c, F.lit(1)) + F.get(c, F.lit(3))) / 2).alias("cx"))
-    band = lambda v: F.floor(v / 0.10).cast("long")
-    b = b.withColumn("band", F.explode(F.array(*[band(F.col("cy")) + d for d in (-1, 0, 1)])))
-    t = e.where((F.col("x") >= 0) & (F.col("y") >= 0) & F.col("tag").rlike("[0-9]{3,5}")).select(F.col("drawing_id").alias("t_drawing"), F.col("ord").alias("t_ord"), "x", "y", F.regexp_extract("tag", r"([0-9]{3,5}[A-Z]?)", 1).alias("num"), band(F.col("y")).alias("t_band"))
-    d = F.sqrt((F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y")))
-    tier = F.when(d < 0.10, 0).when(F.abs(F.col("y") - F.col("cy")) < 0.015, 1)
-    j = b.join(t, (F.col("n_drawing") == F.col("t_drawing")) & (F.col("band") == F.col("t_band"))).withColumn("tier", tier).where("tier is not null")
-    return j.groupBy("n_drawing", "n_ord").agg(F.min_by("num", F.struct("tier", "t_ord")).alias("near_loop"))
+    b = boxed.select("drawing_id", "ord", ((F.get(c, F.lit(1)) + F.get(c, F.lit(3))) / 2).alias("x"), ((F.get(c, F.lit(0)) + F.get(c, F.lit(2))) / 2).alias("y"))
+    t = e.where((F.col("x") >= 0) & (F.col("y") >= 0) & F.col("tag").rlike("[0-9]{3,5}")).select("drawing_id", "ord", "x", "y", F.regexp_extract("tag", r"([0-9]{3,5}[A-Z]?)", 1).alias("tag"))
+    close = first_within(b, t, 0.10, "close")
+    level = first_within(close.withColumn("x", F.lit(0.0)), t.withColumn("x", F.lit(0.0)), 0.015, "level", square=True)
+    return level.select(F.col("drawing_id").alias("n_drawing"), F.col("ord").alias("n_ord"), F.coalesce("close", "level").alias("near_loop"))
 
 
 def valves(e: DataFrame, rels: DataFrame, line_table: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
@@ -210,10 +206,9 @@ def relief_valves(e: DataFrame, pressures: DataFrame | None = None, flange: Data
     t = e.where("classification = 'PSV_TAG'").select("drawing_id", "ord", "tag")
     na = F.lit("N/A")
     if pressures is not None:
-        t = with_twins(t, pressures, "set_pressure")
+        t = with_twins(t, pressures, ["set_pressure"])
     if flange is not None:
-        for c in ("inlet_size", "outlet_size", "inlet_spec", "remarks"):
-            t = with_twins(t, flange, c)
+        t = with_twins(t, flange, ["inlet_size", "outlet_size", "inlet_spec", "remarks"])
     t = with_box(t, symbols)
     have = lambda c, d: F.coalesce(F.col(c), d).alias(c) if c in t.columns else d.alias(c)
     unit = F.regexp_extract("tag", "^([0-9]{2})-", 1)

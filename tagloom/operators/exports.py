@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tagloom.operators.prefix import salted_prefix
 
 # Entity type, table, and the five properties of the wide form.
 WIDE = [
@@ -19,6 +22,12 @@ def _text(t: DataFrame, c: str | None) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")) if c in t.columns else F.lit("")
 
 
+def _number(c: Column) -> Column:
+    """A double to six places at most, without exponent or idle zeros."""
+    t = F.regexp_replace(F.format_string("%.6f", c), "0+$", "")
+    return F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t)
+
+
 def wide(tables: dict[str, DataFrame]) -> DataFrame:
     """drawing_id, entity_type, tag, property_1 to property_5; relationships as rows with their confidence. Missing tables and columns are empty."""
     rows = []
@@ -46,9 +55,18 @@ def flagged(elements: DataFrame) -> DataFrame:
 
 def sheet(t: DataFrame, columns: list[str]) -> DataFrame:
     """A table as a sheet per drawing: a row number by ord, `-` for what is null, confidence in whole percent."""
-    n = F.row_number().over(Window.partitionBy("drawing_id").orderBy("ord"))
-    show = lambda c: F.concat(F.floor(F.col(c) * 100).cast("string"), F.lit("%")) if c == "confidence" else F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    return t.select("drawing_id", n.alias("row_no"), *[show(c).alias(c) for c in columns])
+
+    def show(c: str) -> Column:
+        if c == "confidence":
+            return F.coalesce(F.concat(F.floor(F.col(c) * 100).cast("string"), F.lit("%")), F.lit("-"))
+        if t.schema[c].dataType.simpleString() == "array<double>":
+            return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(c, _number), ", "), F.lit("]")), F.lit("-"))
+        return F.coalesce(F.col(c).cast("string"), F.lit("-"))
+
+    # Numbered by a bucketed running count: no task sorts a whole drawing.
+    bucket = F.struct("ord.class_no", F.floor(F.col("ord.item") / 4096)) if isinstance(t.schema["ord"].dataType, StructType) else F.floor(F.col("ord") / 4096)
+    numbered = salted_prefix(t.withColumn("__one", F.lit(1)), ["drawing_id"], ["ord"], "__one", "__before", bucket=bucket)
+    return numbered.select("drawing_id", (F.col("__before") + 1).cast("int").alias("row_no"), *[show(c).alias(c) for c in columns])
 
 
 def objects(tables: dict[str, DataFrame]) -> DataFrame:
@@ -63,8 +81,12 @@ def objects(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def write(tables: dict[str, DataFrame], path: str) -> None:
-    """All deliverables below path, each partitioned by drawing: wide and relationship CSV, object JSON and XML, one Parquet table per entity type."""
-    part = lambda df: df.write.mode("overwrite").partitionBy("drawing_id")
+    """All deliverables below path, each partitioned by drawing: wide and relationship CSV, object JSON and XML, one Parquet table per entity type.
+
+    Rows are brought together by drawing before they are written, large drawings in several parts
+    and small ones many to a task, so a drawing gets few files.
+    """
+    part = lambda df: df.hint("rebalance", "drawing_id").write.mode("overwrite").partitionBy("drawing_id")
     part(wide(tables)).option("header", True).csv(f"{path}/wide_csv")
     if "relationships" in tables:
         part(relationship_rows(tables["relationships"])).option("header", True).csv(f"{path}/relationships_csv")

@@ -14,7 +14,7 @@ def merge(*parts: DataFrame) -> DataFrame:
     """The first of equal relations; earlier parts come first. Columns: drawing_id, source_tag, target_tag, rel_type, rel_ord."""
     tagged = [p.select("drawing_id", "source_tag", "target_tag", "rel_type", F.struct(F.lit(i).alias("part"), F.col("rel_ord").alias("o")).alias("w")) for i, p in enumerate(parts)]
     g = reduce(DataFrame.unionByName, tagged).groupBy("drawing_id", "source_tag", "target_tag", "rel_type").agg(F.min("w").alias("w"))
-    return g.select("drawing_id", "source_tag", "target_tag", "rel_type", (F.col("w.part").cast("long") * 2**61 + F.col("w.o")).alias("rel_ord"))
+    return g.select("drawing_id", "source_tag", "target_tag", "rel_type", F.col("w").alias("rel_ord"))
 
 
 def tokens(elements: DataFrame) -> DataFrame:

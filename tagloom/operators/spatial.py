@@ -7,54 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.session import stage
-
-#: Candidates per grid cell that a search aims at; a drawing below it is searched as one cell.
-CELL = 256
-
-
-def nearest(asked: DataFrame, among: DataFrame, radius: float, out: str, scope: str = "drawing_id") -> DataFrame:
-    """Adds `out`: the tag of the nearest candidate of the same drawing strictly within radius, or null.
-
-    asked: scope, id columns, x, y; among: scope, tag, ord, x, y. Equal distances go to the
-    smallest ord. Candidates at the same place are reduced to the first. A drawing is searched in
-    rounds: cells of a side chosen from its number of candidates, the 3 x 3 cells around the asked
-    point, and, for points that found nothing within one side, cells of twice the side. A side of at
-    least the radius ends the search. Small drawings need one round; in large ones a point meets
-    some 9 cells' candidates, not all. Null positions find nothing and are found by nothing.
-    """
-    keys = [c for c in asked.columns if c not in ("x", "y", scope)]
-    c = among.where("x is not null and y is not null and tag is not null").groupBy(scope, "x", "y").agg(F.min(F.struct("ord", "tag")).alias("c"))
-    # The finest level each drawing needs: its cells' side halves with each level.
-    counts = c.groupBy(scope).agg(F.count(F.lit(1)).alias("n"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CELL) / 2)).cast("int")
-    levels = counts.select(scope, level.alias("start"))
-    top = levels.agg(F.max("start").alias("m")).first()["m"]
-    if top is None:
-        return asked.withColumn(out, F.lit(None).cast("string"))
-    cand = c.join(levels, scope).select(F.col(scope).alias("c_scope"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("c.ord").alias("c_ord"), F.col("c.tag").alias("c_tag"), "start")
-    todo = asked.join(levels, scope, "left").withColumn("start", F.coalesce("start", F.lit(-1)))
-    done = [todo.where("start < 0 or x is null or y is null").select(scope, *keys, "x", "y", F.lit(None).cast("string").alias(out))]
-    todo = todo.where("start >= 0 and x is not null and y is not null")
-    for k in range(int(top), -1, -1):
-        side = radius * 2 / 2**k if k else radius * 2
-        now = todo.where(F.col("start") >= k)
-        later = todo.where(F.col("start") < k)
-        g = lambda v: F.floor(v / side).cast("long")  # noqa: E731, B023
-        around = lambda v: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: g(v) + d))  # noqa: E731, B023
-        probe = now.select(scope, *keys, "x", "y", "start", around(F.col("x")).alias("px"), F.col("y").alias("yy")).withColumn("py", around(F.col("yy"))).drop("yy")
-        cells = cand.where(F.col("start") >= k).withColumn("gx", g(F.col("cx"))).withColumn("gy", g(F.col("cy"))).drop("start")
-        d = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))
-        near = probe.join(cells, (F.col(scope) == F.col("c_scope")) & (F.col("px") == F.col("gx")) & (F.col("py") == F.col("gy")), "left")
-        best = near.groupBy(scope, *keys, "x", "y", "start").agg(F.min(F.when((d < radius) & (d <= side), F.struct(d.alias("d"), "c_ord", "c_tag"))).alias("b"))
-        if k:
-            best = stage(best, "nearest")
-        found = best.where(F.col("b").isNotNull()) if k else best
-        done.append(found.select(scope, *keys, "x", "y", F.col("b.c_tag").alias(out)))
-        if k:
-            todo = later.unionByName(best.where(F.col("b").isNull()).select(todo.columns))
-    return reduce(DataFrame.unionByName, done).select(*asked.columns, out)
-
+from tagloom.operators.neighbours import nearest
 
 def number_of(tag: Column) -> Column:
     """The first run of three to five digits; null if there is none."""
@@ -79,8 +32,8 @@ def of_class(elements: DataFrame, *classes: str) -> DataFrame:
 
 
 def _edges(df: DataFrame, target: str, kind: str, part: int) -> DataFrame:
-    """Edges with their order: part, then the source's, then a running number."""
-    return df.where(F.col(target).isNotNull()).select("drawing_id", F.col("tag").alias("source_tag"), F.col(target).alias("target_tag"), F.lit(kind).alias("rel_type"), (F.lit(part).cast("long") * 2**58 + F.col("ord")).alias("rel_ord"))
+    """Edges with rel_ord, their order: the part, then the source's place."""
+    return df.where(F.col(target).isNotNull()).select("drawing_id", F.col("tag").alias("source_tag"), F.col(target).alias("target_tag"), F.lit(kind).alias("rel_type"), F.struct(F.lit(part).alias("part"), F.col("ord").alias("place")).alias("rel_ord"))
 
 
 def valve_lines(e: DataFrame) -> DataFrame:
@@ -119,7 +72,8 @@ def panel_feeds(e: DataFrame) -> DataFrame:
     p = _first(of_class(e, "PANEL_TAG"), 5)
     c = _first(of_class(e, "CIRCUIT_TAG", "LUMINAIRE_TAG"), 20).select(F.col("drawing_id").alias("c_drawing"), F.col("tag").alias("c_tag"), F.col("k").alias("c_k"))
     both = p.join(c, (F.col("drawing_id") == F.col("c_drawing")) & (F.col("tag") != F.col("c_tag")))
-    return both.select("drawing_id", F.col("tag").alias("source_tag"), F.col("c_tag").alias("target_tag"), F.lit("FEEDS").alias("rel_type"), (F.lit(4).cast("long") * 2**58 + F.col("k") * 100 + F.col("c_k")).alias("rel_ord"))
+    place = F.struct(F.col("k").alias("class_no"), F.col("c_k").cast("long").alias("item"), F.lit(0).alias("rank"), F.lit(0).alias("pos"))
+    return both.select("drawing_id", F.col("tag").alias("source_tag"), F.col("c_tag").alias("target_tag"), F.lit("FEEDS").alias("rel_type"), F.struct(F.lit(4).alias("part"), place.alias("place")).alias("rel_ord"))
 
 
 def earthing(e: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.session import ship
+from tagloom.session import stage
 
 BOX = ["ymin", "xmin", "ymax", "xmax"]
 # Symbol classes; a class's number is its place.
@@ -27,60 +27,80 @@ def iou(a: str, b: str) -> Column:
     return F.when(joint <= 0, 0.0).otherwise(h * w / joint)
 
 
-def _kept(g: pd.DataFrame, threshold: float, idx: str) -> pd.DataFrame:
-    """One slice's greedy pass over its boxes."""
-    g = g.sort_values(["confidence", idx], ascending=[False, True], kind="stable")
-    b = g[BOX].to_numpy()
-    area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-    kept: list[int] = []
-    for i in range(len(b)):
-        if kept:
-            k = b[kept]
-            h = (k[:, 2].clip(max=b[i, 2]) - k[:, 0].clip(min=b[i, 0])).clip(min=0)
-            v = (k[:, 3].clip(max=b[i, 3]) - k[:, 1].clip(min=b[i, 1])).clip(min=0)
-            joint = area[kept] + area[i] - h * v
-            if ((joint > 0) & (h * v > threshold * joint)).any():
-                continue
-        kept.append(i)
-    return g.iloc[kept]
+def _clash(threshold: float, a: Column, b: Column) -> Column:
+    """Whether two boxes (structs) overlap by more than the threshold."""
+    h = F.greatest(F.lit(0.0), F.least(a["ymax"], b["ymax"]) - F.greatest(a["ymin"], b["ymin"]))
+    v = F.greatest(F.lit(0.0), F.least(a["xmax"], b["xmax"]) - F.greatest(a["xmin"], b["xmin"]))
+    area = lambda z: (z["ymax"] - z["ymin"]) * (z["xmax"] - z["xmin"])
+    joint = area(a) + area(b) - h * v
+    return (joint > 0) & (h * v > threshold * joint)
 
 
 def suppress(boxes: DataFrame, threshold: float = 0.45, idx: str = "box_idx", small: int = 256) -> DataFrame:
     """The boxes that greedy suppression keeps, by drawing and symbol type: best confidence first, then the smallest idx; a box goes if it overlaps a kept one by more than the threshold.
 
-    Whether a box stays depends on better boxes that stay, so a group can't be cut blindly. It can
-    be cut at gaps along y, which no box crosses: the slices between them are independent. Slices
-    of one box stay as they are, those of up to `small` boxes are folded inside Spark, larger ones
-    go through numpy. Boxes with a null coordinate overlap nothing and stay.
+    Boxes without a confidence (null or NaN) come last. Boxes with a null coordinate or without an
+    area overlap nothing and stay. Groups of up to `small` boxes are folded, larger ones decided in
+    rounds (`_rounds`); the answer is the same. The threshold is at least 0.01; from 1 on all stay.
     """
-    ship(boxes.sparkSession)
+    if threshold < 0.01:
+        raise ValueError("the threshold must be at least 0.01")
+    if threshold >= 1:
+        return boxes
     keys = ["drawing_id", "symbol_type"]
     columns = boxes.columns
-    sound = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in BOX])
-    w = Window.partitionBy(*keys).orderBy("ymin", idx)
-    cut = boxes.where(sound).withColumn("__new", F.coalesce((F.col("ymin") > F.max("ymax").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
-    cut = cut.withColumn("__slice", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = cut.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__slice"))).drop("__new")
-    one = sized.where("__n = 1").select(columns)
-    row = F.struct((-F.col("confidence")).alias("__c"), F.col(idx).alias("__i"), F.struct(*columns).alias("r"))
-    few = sized.where((F.col("__n") > 1) & (F.col("__n") <= small)).groupBy(*keys, "__slice").agg(F.array_sort(F.collect_list(row)).alias("v"))
-    few = few.withColumn("v", F.transform("v", lambda x: x["r"]))
-
-    def clash(k: Column, b: Column) -> Column:
-        h = F.greatest(F.lit(0.0), F.least(k["ymax"], b["ymax"]) - F.greatest(k["ymin"], b["ymin"]))
-        v = F.greatest(F.lit(0.0), F.least(k["xmax"], b["xmax"]) - F.greatest(k["xmin"], b["xmin"]))
-        area = lambda z: (z["ymax"] - z["ymin"]) * (z["xmax"] - z["xmin"])
-        joint = area(k) + area(b) - h * v
-        return (joint > 0) & (h * v > threshold * joint)
-
-    kept = F.aggregate("v", F.slice("v", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda k: clash(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
-    few = few.select(F.inline(kept)).select(columns)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return _kept(g, threshold, idx)[columns]
-
-    many = sized.where(F.col("__n") > small).groupBy(*keys, "__slice").applyInPandas(run, boxes.schema)
-    return one.unionByName(few).unionByName(many).unionByName(boxes.where(~sound))
+    solid = F.coalesce((F.col("ymax") > F.col("ymin")) & (F.col("xmax") > F.col("xmin")), F.lit(False))
+    order = F.struct(F.when(F.col("confidence") <= 1e308, -F.col("confidence").cast("double")).otherwise(F.lit(float("inf"))).alias("c"), F.col(idx).alias("i"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys])
+    sized = boxes.where(solid).groupBy(*[F.col(k).alias(f"n_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    crowded = sized.where(F.col("n") > small).select(*[f"n_{k}" for k in keys])
+    few = boxes.where(solid)
+    done = [boxes.where(~solid)]
+    if not crowded.isEmpty():
+        crowded = stage(crowded, "crowded")
+        done.append(_rounds(few.join(crowded, same("", "n_"), "left_semi"), keys, order, threshold).select(columns))
+        few = few.join(crowded, same("", "n_"), "left_anti")
+    g = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*columns).alias("r")))).alias("v")).withColumn("v", F.transform("v", lambda x: x["r"]))
+    kept = F.aggregate("v", F.slice("v", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda k: _clash(threshold, k, b)), acc).otherwise(F.concat(acc, F.array(b))))
+    done.append(g.select(F.inline(kept)).select(columns))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _rounds(boxes: DataFrame, keys: list[str], order: Column, threshold: float) -> DataFrame:
+    """Greedy suppression of large groups: a box that comes before all undecided ones around it is kept and settles those it overlaps.
+
+    Two boxes can overlap by more than the threshold only if their longer sides differ by less
+    than its inverse. So a box lies in a cell as large as itself, and the cells around, of sizes
+    near its own, hold all that it can meet. Only cells' first boxes are sent around, one a cell;
+    kept boxes don't overlap each other much, so few of them meet a box. A round decides at least
+    one box of each group, usually a large part.
+    """
+    spread = max(1, math.ceil(math.log2(1 / threshold)))
+    side = F.greatest(F.col("ymax") - F.col("ymin"), F.col("xmax") - F.col("xmin"))
+    level = F.floor(F.log2(side)).cast("int")
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__l") + 1)).cast("long")
+    at = ["__l", "__y", "__x"]
+    todo = stage(boxes.withColumn("__o", order).withColumn("__l", level).withColumn("__y", cell("ymin")).withColumn("__x", cell("xmin")), "boxes")
+    # Box extents in cells are below 2, so cells i (of one level) and k (d levels up) can meet if their doubled ranges do.
+    lo = lambda c, d: (F.floor(F.col(c) * 2.0**-d - 2) + 1).cast("long")
+    hi = lambda c, d: (F.ceil((F.col(c) + 2) * 2.0**-d) - 1).cast("long")
+
+    def cells(d: int) -> Column:
+        row = lambda y: F.transform(F.sequence(lo("__x", d), hi("__x", d)), lambda x: F.struct((F.col("__l") + d).alias("l"), y.alias("y"), x.alias("x")))
+        return F.flatten(F.transform(F.sequence(lo("__y", d), hi("__y", d)), row))
+
+    near = F.flatten(F.array(*[cells(d) for d in range(-spread, spread + 1)]))
+    on = lambda p: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{p}_{k}")) for k in keys] + [F.col(f"__{c}") == F.col(f"{p}.{c}") for c in "lyx"])
+    kept = []
+    while not todo.isEmpty():
+        first = todo.groupBy(*keys, *at).agg(F.min("__o").alias("first"))
+        around = first.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.explode(near).alias("r"), F.col("first").alias("other")).groupBy(*[f"r_{k}" for k in keys], "r").agg(F.min("other").alias("other"))
+        wins = first.join(around, on("r")).where(F.col("first") <= F.col("other")).select(*[F.col(k).alias(f"w_{k}") for k in keys], F.struct(*[F.col(f"__{c}").alias(c) for c in "lyx"]).alias("w"), F.col("first").alias("w_first"))
+        won = stage(todo.join(wins, on("w") & (F.col("__o") == F.col("w_first"))).drop(*[f"w_{k}" for k in keys], "w", "w_first").dropDuplicates([*keys, "__o"]), "kept")
+        kept.append(won)
+        cover = won.select(*[F.col(k).alias(f"c_{k}") for k in keys], F.explode(near).alias("c"), F.col("__o").alias("c_o"), F.struct(*BOX).alias("c_box"))
+        todo = stage(todo.join(cover, on("c") & ((F.col("__o") == F.col("c_o")) | _clash(threshold, F.struct(*BOX), F.col("c_box"))), "left_anti"), "boxes")
+    return reduce(DataFrame.unionByName, kept)
 
 
 def tiles(pages: DataFrame, size: int = 800, stride: int = 500, least: int = 1200) -> DataFrame:

@@ -74,7 +74,8 @@ _NOTE = re.compile(r"(?:notes?|holds?|class|cl|rating|rev|sheet|sht|dwg|item|pn|
 _CLASS = re.compile(r"[0-9]+ ?(?:#|lbs? class|class(?![a-z])|%)(?: ?class)?")
 _SEPARATOR = re.compile(r"[/;&]|to(?![a-z])|and(?![a-z])|\.\.+")
 _WORD = re.compile(r"[a-z]+")
-_SAID = {f.name: re.compile(rf"(?<![a-z]){f.said}(?![a-z])(?: ?[:=]| +(?:is|are|all|given|stated|shown|quoted|in|as|units?|of))* *[\[(]?") for f in FIELDS}
+_SAID = {f.name: re.compile(rf"(?<![a-z]){f.said}(?![a-z])(?P<link>(?: ?[:=]| +(?:is|are|all|given|stated|shown|quoted|in|as|units?|of))*) *(?P<open>[\[(]?)") for f in FIELDS}
+_GOES_ON = re.compile(rf" +(?!(?:{'|'.join(f.said for f in FIELDS)})(?![a-z]))[a-z]")
 
 
 class Unit(NamedTuple):
@@ -194,10 +195,15 @@ def read(field: Field, text: str) -> list[tuple[float | None, Unit | None]]:
 
 @lru_cache(200_000)
 def named_unit(field: Field, description: str) -> Unit | None:
-    """The unit that a description names for the field: its name, words like 'given in', then a unit."""
+    """The unit that a description names for the field: its name, words like 'given in' or a colon or bracket, then a unit.
+
+    Without anything between name and unit ('pressures barg') the unit must end its phrase: in
+    'Duty hp cooler' hp says which cooler it is.
+    """
     s = description.translate(_CHARS).lower()
     for m in _SAID[field.name].finditer(s):
-        if u := _unit_at(field, s, m.end()):
+        u = _unit_at(field, s, m.end())
+        if u and (m["link"] or m["open"] or s[u[1] - 1] == "." or not _GOES_ON.match(s, u[1])):
             return u[0]
     return None
 

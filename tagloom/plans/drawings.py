@@ -2,53 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import normalize as N
 from tagloom.operators import attributes, classify, corpus, dedup, documents, entities, exports, history, pages, relations, spatial, state, symbols, validation
 from tagloom.plans import sql as S
 from tagloom.plans import views as V
-from tagloom.session import stage, table
+from tagloom.session import once, stage, table
+
+
+def _once(spark: SparkSession, d: str, name: str, build):
+    """The chain's stages are shared by all queries of a session on the same tables."""
+    return once(spark, [f"{d}/lineitem.parquet"], name, build)
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """The view of recognised items, written once: every stage of the chain reads it."""
-    return stage(V.ocr_items(spark, d), "items")
+    return _once(spark, d, "items", lambda: stage(V.ocr_items(spark, d), "items"))
 
 
-def _elements(spark: SparkSession, d: str) -> DataFrame:
-    """Classified, folded elements, written once: relations and entities read them many times."""
-    return _elements_of(_items(spark, d))
+def _scan(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, d, "scan", lambda: stage(classify.scan(_items(spark, d)), "scan"))
 
 
-def _elements_of(items: DataFrame) -> DataFrame:
-    return stage(dedup.fold_aliases(stage(classify.classify(items), "classified")), "elements")
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, d, "mentions", lambda: stage(classify.guarded(classify.first_mentions(_scan(spark, d)), _items(spark, d)), "mentions"))
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, d, "classified", lambda: stage(classify.classify(_items(spark, d), _scan(spark, d), _mentions(spark, d)), "classified"))
+
+
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    """Classified, folded elements: relations and entities read them many times."""
+    return _once(spark, d, "elements", lambda: stage(dedup.fold_aliases(_classified(spark, d)), "elements"))
 
 
 def _relations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = _elements(spark, d)
-    return e, stage(spatial.relations(e), "relations")
+    return e, _once(spark, d, "relations", lambda: stage(spatial.relations(e), "relations"))
+
+
+#: Tags whose symbol was found: those with an even last digit.
+_BOXED = "[02468][^0-9]*$"
+
+
+def _symbols(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, d, "symbols", lambda: stage(symbols.from_tags(_elements(spark, d)).where(F.col("inferred_tag").rlike(_BOXED)).withColumn("sym_ord", F.lit(0)), "symbols"))
+
+
+def _sheets(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What texts say beside tags: datasheet fields, set pressures, flanges."""
+    i, e = _items(spark, d), _elements(spark, d)
+    told = {"values": attributes.datasheet, "pressures": attributes.set_pressures, "flanges": attributes.flanges}
+    return {k: _once(spark, d, k, lambda f=f, k=k: stage(f(i, e), k)) for k, f in told.items()}
 
 
 def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """All entity tables with their boxes and what the sheets say, and the resolved relationships."""
     e, r = _relations(spark, d)
-    lines = stage(entities.lines(e, r), "lines")
-    t: dict[str, DataFrame] = {
-        "equipment": stage(entities.equipment(e), "equipment"),
-        "lines": lines,
-        "instruments": stage(entities.instruments(e, r, lines), "instruments"),
-        "valves": stage(entities.valves(e, r, lines), "valves"),
-        "relief_valves": entities.relief_valves(e),
-        "luminaires": entities.luminaires(e),
-        "panels": entities.panels(e),
-        "cables": entities.cables(e, r),
-        "earthing": entities.earthing(e),
-        "generic": entities.generic(e),
-    }
-    aliases = relations.alias_map([t["equipment"], t["instruments"], t["valves"], t["lines"], t["relief_valves"]])
-    t["relationships"] = relations.resolve(r, aliases)
-    return e, t
+
+    def build() -> dict[str, DataFrame]:
+        sym, said = _symbols(spark, d), _sheets(spark, d)
+        lines = stage(entities.lines(e, r, spatial.traces(e)), "lines")
+        t: dict[str, DataFrame] = {
+            "equipment": entities.equipment(e, said["values"], sym),
+            "lines": lines,
+            "instruments": entities.instruments(e, r, lines, sym),
+            "valves": entities.valves(e, r, lines, sym),
+            "relief_valves": entities.relief_valves(e, said["pressures"], said["flanges"], sym),
+            "luminaires": entities.luminaires(e, sym),
+            "panels": entities.panels(e, sym),
+            "cables": entities.cables(e, r),
+            "earthing": entities.earthing(e, sym),
+            "generic": entities.generic(e),
+        }
+        t |= {k: stage(t[k], k) for k in t if k != "lines"}
+        aliases = relations.alias_map([t["equipment"], t["instruments"], t["valves"], t["lines"], t["relief_valves"]])
+        t["relationships"] = stage(relations.resolve(r, aliases), "relationships")
+        return t
+
+    return e, _once(spark, d, "entities", build)
+
+
+def _box(c: str) -> Column:
+    return F.array_join(F.transform(c, exports._number), ",").alias(c)
+
+
+def _seq(c: str = "seq") -> Column:
+    """A place as one number, as the SQL has it. For comparison only: the operators order by the struct."""
+    return F.col(f"{c}.item") * 2**20 + F.col(f"{c}.rank") * 2**14 + F.least(f"{c}.pos", F.lit(2**14 - 1))
+
+
+def _ord(c: str = "ord") -> Column:
+    return F.col(f"{c}.class_no").cast("long") * 2**50 + _seq(c)
+
+
+def _rel_ord() -> Column:
+    feeds = F.col("rel_ord.place.class_no") * 100 + F.col("rel_ord.place.item")
+    return F.col("rel_ord.part").cast("long") * 2**58 + F.when(F.col("rel_ord.part") == 4, feeds).otherwise(_ord("rel_ord.place"))
 
 
 def normalize_text(spark, d):
@@ -66,7 +119,7 @@ def confidence_filter(spark, d):
 
 
 def scan_tags(spark, d):
-    return classify.scan(_items(spark, d)).select("drawing_id", "item_idx", "rank", "pos", "tag", "classification", "confidence", "flag_reason")
+    return _scan(spark, d).select("drawing_id", "item_idx", "rank", "pos", "tag", "classification", "confidence", "flag_reason")
 
 
 def line_size_check(spark, d):
@@ -75,50 +128,48 @@ def line_size_check(spark, d):
 
 
 def setpoint_guard(spark, d):
-    i = _items(spark, d)
-    return classify.guarded(classify.first_mentions(classify.scan(i)), i).where("flag_reason = 'ambiguous_setpoint_vs_tag'").select("drawing_id", "tag", "classification", "confidence")
+    return _mentions(spark, d).where("flag_reason = 'ambiguous_setpoint_vs_tag'").select("drawing_id", "tag", "classification", "confidence")
 
 
 def first_wins_tags(spark, d):
-    return classify.first_mentions(classify.scan(_items(spark, d))).select("drawing_id", "tag", "seq", "item_idx", "classification", "flag_reason")
+    return classify.first_mentions(_scan(spark, d)).select("drawing_id", "tag", _seq().alias("seq"), "item_idx", "classification", "flag_reason")
 
 
 def preserved_notes(spark, d):
-    i = _items(spark, d)
-    f = stage(classify.scan(i), "scan")
-    return classify.kept_notes(i, f, classify.first_mentions(f)).select("drawing_id", "seq", "tag", "confidence")
+    f = _scan(spark, d)
+    return classify.kept_notes(_items(spark, d), f, classify.first_mentions(f)).select("drawing_id", _seq().alias("seq"), "tag", "confidence")
 
 
 def classified_elements(spark, d):
-    return classify.classify(_items(spark, d)).select("drawing_id", "ord", "tag", "classification", "confidence", "flag_reason", "x", "y")
+    return _classified(spark, d).select("drawing_id", _ord().alias("ord"), "tag", "classification", "confidence", "flag_reason", "x", "y")
 
 
 def class_breakdown(spark, d):
-    return classify.breakdown(classify.classify(_items(spark, d)))
+    return classify.breakdown(_classified(spark, d))
 
 
 def priority_sorted_topk(spark, d):
     w = Window.partitionBy("drawing_id").orderBy("ord")
-    return classify.classify(_items(spark, d)).withColumn("place", F.row_number().over(w)).where("place <= 10").select("drawing_id", "place", "tag", "classification")
+    return _classified(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 10").select("drawing_id", "place", "tag", "classification")
 
 
 def canonical_dedup(spark, d):
-    return dedup.fold_aliases(classify.classify(_items(spark, d))).select("drawing_id", "tag", "classification", "ord")
+    return _elements(spark, d).select("drawing_id", "tag", "classification", _ord().alias("ord"))
 
 
 def alias_list(spark, d):
-    return dedup.fold_aliases(classify.classify(_items(spark, d))).where(F.size("aliases") > 0).select("drawing_id", "tag", F.array_join("aliases", ",").alias("aliases"))
+    return _elements(spark, d).where(F.size("aliases") > 0).select("drawing_id", "tag", F.array_join("aliases", ",").alias("aliases"))
 
 
 def _edges(f):
-    return lambda spark, d: f(_elements(spark, d)).select("drawing_id", "source_tag", "target_tag", "rel_type", "rel_ord")
+    return lambda spark, d: f(_elements(spark, d)).select("drawing_id", "source_tag", "target_tag", "rel_type", _rel_ord().alias("rel_ord"))
 
 
 valve_on_line, instrument_monitors, psv_installed_on, line_connects_to, panel_feeds, earthed_to = map(_edges, (spatial.valve_lines, spatial.instrument_lines, spatial.relief_hosts, spatial.line_ends, spatial.panel_feeds, spatial.earthing))
 
 
 def all_relations(spark, d):
-    return _relations(spark, d)[1]
+    return _relations(spark, d)[1].withColumn("rel_ord", _rel_ord())
 
 
 def synthetic_traces(spark, d):
@@ -145,58 +196,47 @@ def relationships_resolved(spark, d):
 
 
 def equipment_list(spark, d):
-    i = _items(spark, d)
-    e = _elements_of(i)
-    v = attributes.datasheet(i, e)
-    return entities.equipment(e, v).select("drawing_id", "tag", "name", "type", "description", "duty", "confidence")
+    return _entities(spark, d)[1]["equipment"].select("drawing_id", "tag", "name", "type", "description", *entities.DATASHEET, _box("coordinates"), "confidence")
 
 
 def line_list(spark, d):
-    e, r = _relations(spark, d)
-    return entities.lines(e, r).select("drawing_id", "tag", "size", "service", "spec", "sequence_number", "insulation", "from_node", "to_node")
+    return _entities(spark, d)[1]["lines"].select("drawing_id", "tag", "size", "service", "spec", "sequence_number", "insulation", "from_node", "to_node")
 
 
 def instrument_list(spark, d):
-    e, r = _relations(spark, d)
-    return entities.instruments(e, r, entities.lines(e, r), symbols.from_tags(e).withColumn("sym_ord", F.lit(0))).select("drawing_id", "tag", "type", "service", "loop_id")
+    return _entities(spark, d)[1]["instruments"].select("drawing_id", "tag", "type", "service", "loop_id", _box("coordinates"))
 
 
 def valve_list(spark, d):
-    e, r = _relations(spark, d)
-    return entities.valves(e, r, entities.lines(e, r)).select("drawing_id", "tag", "type", "size", "line_tag", "confidence", F.array_join("aliases", ",").alias("aliases"))
+    return _entities(spark, d)[1]["valves"].select("drawing_id", "tag", "type", "size", "line_tag", "confidence", F.array_join("aliases", ",").alias("aliases"))
 
 
 def datasheet_fields(spark, d):
-    i = _items(spark, d)
-    return attributes.datasheet(i, _elements_of(i))
+    return _sheets(spark, d)["values"]
 
 
 def psv_set_pressure(spark, d):
-    i = _items(spark, d)
-    return attributes.set_pressures(i, _elements_of(i))
+    return _sheets(spark, d)["pressures"].drop("told_idx")
 
 
 def relief_valve_list(spark, d):
-    i = _items(spark, d)
-    e = _elements_of(i)
-    return entities.relief_valves(e, attributes.set_pressures(i, e)).select("drawing_id", "tag", "unit", "set_pressure", "inlet_size")
+    return _entities(spark, d)[1]["relief_valves"].select("drawing_id", "tag", "unit", "set_pressure", "inlet_size", "outlet_size", "inlet_spec", "remarks", _box("coordinates"))
 
 
 def luminaire_list(spark, d):
-    return entities.luminaires(_elements(spark, d)).select("drawing_id", "tag", "fitting_type", "wattage", "quantity")
+    return _entities(spark, d)[1]["luminaires"].select("drawing_id", "tag", "fitting_type", "wattage", "quantity")
 
 
 def panel_list(spark, d):
-    return entities.panels(_elements(spark, d)).select("drawing_id", "tag", "panel_type", "voltage", "description")
+    return _entities(spark, d)[1]["panels"].select("drawing_id", "tag", "panel_type", "voltage", "description")
 
 
 def cable_list(spark, d):
-    e, r = _relations(spark, d)
-    return entities.cables(e, r).select("drawing_id", "tag", "cable_type", "from_panel", "to_equipment")
+    return _entities(spark, d)[1]["cables"].select("drawing_id", "tag", "cable_type", "from_panel", "to_equipment")
 
 
 def earthing_list(spark, d):
-    return entities.earthing(_elements(spark, d)).select("drawing_id", "tag", "component_type", "material", "size", "resistance")
+    return _entities(spark, d)[1]["earthing"].select("drawing_id", "tag", "component_type", "material", "size", "resistance")
 
 
 def annotation_list(spark, d):
@@ -225,7 +265,7 @@ def validation_report(spark, d):
 
 def missing_entities(spark, d):
     _, t = _entities(spark, d)
-    return validation.missing(validation.validate(t), t["valves"], t["instruments"]).select("drawing_id", "item_type", "target_tag", F.array_join(F.transform("coordinates", lambda x: x.cast("string")), ",").alias("coordinates"), "reason")
+    return validation.missing(validation.validate(t), t["valves"], t["instruments"]).select("drawing_id", "item_type", "target_tag", _box("coordinates"), "reason")
 
 
 def orphan_instruments(spark, d):
@@ -251,9 +291,10 @@ def items_described(spark, d):
 
 
 def box_iou(spark, d):
-    b = V.boxes(spark, d)
-    nxt = b.select(F.col("drawing_id").alias("b_drawing"), (F.col("box_idx") - 1).alias("b_idx"), *[F.col(c).alias(f"b_{c}") for c in symbols.BOX])
-    return b.join(nxt, (F.col("drawing_id") == F.col("b_drawing")) & (F.col("box_idx") == F.col("b_idx"))).select("drawing_id", "box_idx", F.round(symbols.iou("", "b_"), 9).alias("iou"))
+    """Each box with the next one of its drawing."""
+    w = Window.partitionBy("drawing_id").orderBy("box_idx")
+    b = V.boxes(spark, d).withColumns({f"b_{c}": F.lead(c).over(w) for c in symbols.BOX}).where("b_ymin is not null")
+    return b.select("drawing_id", "box_idx", F.round(symbols.iou("", "b_"), 9).alias("iou"))
 
 
 def nms_boxes(spark, d):
@@ -276,8 +317,12 @@ def sheet_regions(spark, d):
 
 
 def title_blocks(spark, d):
+    return documents.title_block(_items(spark, d))
+
+
+def document_title_blocks(spark, d):
     o = table(spark, d, "documents").select(F.col("doc_id").alias("drawing_id"), F.posexplode(F.split("text", "\n")).alias("item_idx", "text"))
-    return documents.title_block(o).where("drawing_number <> 'UNKNOWN' or revision <> '0'")
+    return documents.title_block(o)
 
 
 def yolo_rows(spark, d):
@@ -289,7 +334,8 @@ def coco_rows(spark, d):
 
 
 def symbol_class_ids(spark, d):
-    return table(spark, d, "part").select("p_type").distinct().select("p_type", symbols.class_id(F.col("p_type")).alias("class_id"))
+    names = table(spark, d, "part").select(F.col("p_type").alias("name")).unionByName(V.boxes(spark, d).select(F.col("symbol_type").alias("name"))).distinct()
+    return names.select("name", symbols.class_id(F.col("name")).alias("class_id"))
 
 
 def corpus_metrics(spark, d):
@@ -346,12 +392,12 @@ def export_relationships(spark, d):
 
 
 def export_sheet(spark, d):
-    return exports.sheet(entities.panels(_elements(spark, d)), ["tag", "panel_type", "coordinates"])
+    return exports.sheet(_entities(spark, d)[1]["panels"], ["tag", "panel_type", "coordinates"])
 
 
 def export_objects(spark, d):
     _, t = _entities(spark, d)
-    return exports.objects({"panels": t["panels"], "luminaires": t["luminaires"]})
+    return exports.objects({k: x for k, x in t.items() if k != "relationships"})
 
 
 def flagged_queue(spark, d):
@@ -362,7 +408,7 @@ _FUNCTIONS = """normalize_text canonical_tags confidence_filter scan_tags line_s
 priority_sorted_topk canonical_dedup alias_list valve_on_line instrument_monitors psv_installed_on line_connects_to panel_feeds earthed_to all_relations synthetic_traces provenance_clean
 provenance_dropped relationships_resolved equipment_list line_list instrument_list valve_list datasheet_fields psv_set_pressure relief_valve_list luminaire_list panel_list cable_list earthing_list
 annotation_list total_items symbols_from_tags drawing_type document_type validation_report missing_entities orphan_instruments word_line_assembly bubble_assembly text_lines items_described box_iou
-nms_boxes tile_grid crop_boxes sheet_regions title_blocks yolo_rows coco_rows symbol_class_ids corpus_metrics corpus_summary train_val_split chat_records job_status_kpi job_list job_current_state json_props thread_fields export_wide_csv
+nms_boxes tile_grid crop_boxes sheet_regions title_blocks document_title_blocks yolo_rows coco_rows symbol_class_ids corpus_metrics corpus_summary train_val_split chat_records job_status_kpi job_list job_current_state json_props thread_fields export_wide_csv
 export_relationships export_sheet export_objects flagged_queue""".split()
 QUERIES = {f: globals()[f] for f in _FUNCTIONS}
 
@@ -401,7 +447,7 @@ ends AS (SELECT drawing_id, source_tag tag, target_tag other, rel_type, rel_ord,
 outs AS (SELECT drawing_id, source_tag tag, arg_max(target_tag, rel_ord) other FROM rels WHERE rel_type IN ('CONNECTS_TO', 'FEEDS', 'INSTALLED_ON') GROUP BY 1, 2),
 ins_ AS (SELECT drawing_id, target_tag tag, arg_max(source_tag, rel_ord) other FROM rels WHERE rel_type IN ('CONNECTS_TO', 'FEEDS', 'INSTALLED_ON') AND source_tag <> target_tag GROUP BY 1, 2),
 called AS (SELECT * FROM (SELECT drawing_id, ord, x, y, trim(regexp_extract(tag, '(?i)\\bTO\\s+([A-Z0-9\\s-]+(?:FLARE|DRAIN|HEADER|UNIT|SYSTEM|ATMOSPHERE)?)\\b', 1)) tag FROM el) WHERE length(tag) >= 3 AND upper(tag) NOT IN ('BE', 'THE', 'SUCTION', 'A', 'AN')),
-line_rows AS (SELECT * FROM el WHERE classification = 'LINE_TAG'),
+line_rows AS (SELECT * EXCLUDE (x, y), (round(greatest(0.05, x - 0.20), 4) + round(least(0.95, x + 0.20), 4)) / 2 x, round(y, 4) y FROM el WHERE classification = 'LINE_TAG'),
 """
     + S.nearest("calls", "SELECT * FROM line_rows", "SELECT * FROM called", 0.15)
     + """,
@@ -416,7 +462,44 @@ line_table AS (SELECT l.drawing_id, l.ord, l.tag, CASE WHEN has THEN p[1] ELSE '
 in_host AS (SELECT drawing_id, tag, other host FROM ends WHERE rel_type IN ('MONITORS', 'INSTALLED_ON') QUALIFY row_number() OVER (PARTITION BY drawing_id, tag ORDER BY rel_ord, s) = 1),
 va_host AS (SELECT drawing_id, tag, other host FROM ends WHERE rel_type IN ('MONITORS', 'INSTALLED_ON', 'CONNECTS_TO') QUALIFY row_number() OVER (PARTITION BY drawing_id, tag ORDER BY rel_ord, s) = 1)"""
 )
-_INCODE = "coalesce(nullif(regexp_extract(first_tag, '([A-Z]{2,5})-?[0-9]', 1), ''), nullif(regexp_extract(first_tag, '([A-Z]+)', 1), ''), 'INST')"
+_INCODE = "coalesce(nullif(regexp_extract(i.first_tag, '([A-Z]{2,5})-?[0-9]', 1), ''), nullif(regexp_extract(i.first_tag, '([A-Z]+)', 1), ''), 'INST')"
+_LO, _HI = "round(greatest(0.0, {0} - 0.02), 4)", "round(least(1.0, {0} + 0.02), 4)"
+_SYMBOL = "CASE classification WHEN 'VALVE_TAG' THEN CASE WHEN regexp_matches(upper(tag), 'CB|CHECK') THEN 'CHECK_VALVE' ELSE 'VALVE' END " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in symbols.OF_TAG.items()) + " END"
+_LAMPS = entities.FITTINGS
+_PANEL = _cascade("upper(e.tag)", [("LIGHTING", "Lighting Panel"), ("EARTHING", "Earthing Main Panel"), *[(p, p) for p in entities.PANEL_TYPES]], "Distribution Board")
+_XY = "CASE WHEN {0}.y0 IS NULL THEN NULL ELSE array_to_string([{0}.y0, {0}.x0, {0}.y1, {0}.x1], ',') END coordinates"
+_SYM = f"""sym AS (SELECT * FROM (SELECT drawing_id, {_SYMBOL} symbol_type, tag, {_LO.format('y')} y0, {_LO.format('x')} x0, {_HI.format('y')} y1, {_HI.format('x')} x1 FROM el) WHERE symbol_type IS NOT NULL AND regexp_matches(tag, {S.q(_BOXED)}))"""
+_FIELDS = [*entities.DATASHEET, "type", "service"]
+#: The entity tables with boxes and what the sheets say.
+_TABLES = (
+    S.SHEETS
+    + f""",
+{_SYM},
+canon_sheet AS (SELECT drawing_id, k, field, arg_min(value, tag) AS value FROM (SELECT *, {S.canon("tag")} k, min(tag) OVER (PARTITION BY drawing_id, {S.canon("tag")}) one FROM sheet) WHERE tag = one GROUP BY 1, 2, 3),
+eq_said AS (SELECT q.drawing_id, q.key, s.field, s.value FROM eq q JOIN sheet s ON s.drawing_id = q.drawing_id AND s.tag = q.first_tag
+  UNION ALL SELECT q.drawing_id, q.key, s.field, s.value FROM eq q JOIN canon_sheet s ON s.drawing_id = q.drawing_id AND s.k = {S.canon("q.first_tag")} WHERE NOT EXISTS (SELECT 1 FROM sheet x WHERE x.drawing_id = q.drawing_id AND x.tag = q.first_tag)),
+eq_wide AS (SELECT drawing_id, key, {", ".join(f"max(value) FILTER (WHERE field = '{f}') v_{f}" for f in _FIELDS)} FROM eq_said GROUP BY 1, 2),
+equipment_table AS (SELECT q.drawing_id, q.tag, q.first_tag AS name, coalesce(v_type, y.symbol_type, {_kind("upper(regexp_extract(q.first_tag, '(?i)([A-Z]{1,3})-?[0-9]', 1))", entities.EQUIPMENT_KINDS, "'Generic Equipment'")}) AS type, coalesce(v_service, q.first_tag) description,
+  {", ".join(f"v_{f} {f}" for f in entities.DATASHEET)}, {_XY.format("y")}, round(0.60 + 0.40 * (({" + ".join(f"(CASE WHEN v_{f} IS NULL THEN 0 ELSE 1 END)" for f in entities.DATASHEET)}) / 7.0::DOUBLE), 2) confidence
+  FROM eq q LEFT JOIN eq_wide w USING (drawing_id, key) LEFT JOIN sym y ON y.drawing_id = q.drawing_id AND y.tag = q.first_tag),
+centres AS (SELECT i.drawing_id, i.first_tag, (y.y0 + y.y1) / 2 cy, (y.x0 + y.x1) / 2 cx FROM inst i JOIN sym y ON y.drawing_id = i.drawing_id AND y.tag = i.first_tag),
+near_texts AS (SELECT c.drawing_id, c.first_tag, regexp_extract(t.tag, '([0-9]{{3,5}}[A-Z]?)', 1) num, t.ord, CASE WHEN sqrt((cx - t.x) * (cx - t.x) + (cy - t.y) * (cy - t.y)) < 0.10 THEN 0 WHEN abs(t.y - cy) < 0.015 THEN 1 END tier
+  FROM centres c JOIN el t ON t.drawing_id = c.drawing_id AND t.x >= 0 AND t.y >= 0 AND regexp_matches(t.tag, '[0-9]{{3,5}}')),
+loops AS (SELECT * FROM near_texts WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY drawing_id, first_tag ORDER BY tier, ord) = 1),
+instrument_table AS (SELECT i.drawing_id, i.tag, {_kind(_INCODE, entities.INSTRUMENT_KINDS, _INCODE)} AS type, CASE WHEN l.tag IS NOT NULL THEN l.service || ' (' || l.tag || ')' ELSE h.host END service, 'Field' AS location,
+  coalesce(lo.num, nullif(regexp_extract(i.first_tag, '([0-9]{{3,5}}[A-Z]?)', 1), ''), '0000') loop_id, {_XY.format("y")}
+  FROM inst i LEFT JOIN in_host h ON h.drawing_id = i.drawing_id AND h.tag = i.first_tag LEFT JOIN line_table l ON l.drawing_id = i.drawing_id AND l.tag = h.host LEFT JOIN loops lo ON lo.drawing_id = i.drawing_id AND lo.first_tag = i.first_tag LEFT JOIN sym y ON y.drawing_id = i.drawing_id AND y.tag = i.first_tag),
+sp_twins AS (SELECT drawing_id, {S.twin("tag")} k, arg_min(set_pressure, told_idx) v FROM pressures GROUP BY 1, 2),
+fl_twins AS (SELECT drawing_id, {S.twin("tag")} k, arg_min(f, told_idx) f FROM flanges GROUP BY 1, 2),
+relief_table AS (SELECT e.drawing_id, e.tag, 'PSV' AS type, regexp_extract(e.tag, '^([0-9]{{2}})-', 1) unit, coalesce(a.set_pressure, b.set_pressure, t.v, 'N/A') set_pressure, coalesce(fa.f, fb.f, ft.f) f, {_XY.format("y")} FROM el e
+ LEFT JOIN pressures a ON a.drawing_id = e.drawing_id AND a.tag = e.tag LEFT JOIN pressures b ON b.drawing_id = e.drawing_id AND b.tag = {S.canon("e.tag")} LEFT JOIN sp_twins t ON t.drawing_id = e.drawing_id AND t.k = {S.twin("e.tag")}
+ LEFT JOIN flanges fa ON fa.drawing_id = e.drawing_id AND fa.tag = e.tag LEFT JOIN flanges fb ON fb.drawing_id = e.drawing_id AND fb.tag = {S.canon("e.tag")} LEFT JOIN fl_twins ft ON ft.drawing_id = e.drawing_id AND ft.k = {S.twin("e.tag")} LEFT JOIN sym y ON y.drawing_id = e.drawing_id AND y.tag = e.tag WHERE e.classification = 'PSV_TAG'),
+luminaire_table AS (SELECT e.drawing_id, e.tag, coalesce(y.symbol_type, {_cascade('upper(e.tag)', _LAMPS, 'Lighting Fitting')}) fitting_type, coalesce(nullif(regexp_extract(upper(e.tag), '([0-9]{{2,3}}\\s*W\\b)', 1), ''), {S.q(entities.WATTAGE)}) wattage, 1 quantity FROM el e LEFT JOIN sym y ON y.drawing_id = e.drawing_id AND y.tag = e.tag WHERE e.classification = 'LUMINAIRE_TAG'),
+panel_table AS (SELECT e.drawing_id, e.ord, e.tag, {_PANEL} panel_type, {S.q(entities.VOLTAGE)} voltage, e.tag description, {_XY.format("y")} FROM el e LEFT JOIN sym y ON y.drawing_id = e.drawing_id AND y.tag = e.tag WHERE e.classification = 'PANEL_TAG'),
+cable_table AS (SELECT e.drawing_id, e.tag, {S.q(entities.CABLE)} cable_type, (SELECT arg_max(source_tag, rel_ord) FROM rels r WHERE r.drawing_id = e.drawing_id AND r.target_tag = e.tag AND r.source_tag <> e.tag AND rel_type IN ('FEEDS', 'CONNECTS_TO')) from_panel, (SELECT arg_max(target_tag, rel_ord) FROM rels r WHERE r.drawing_id = e.drawing_id AND r.source_tag = e.tag AND rel_type IN ('FEEDS', 'CONNECTS_TO')) to_equipment FROM el e WHERE classification IN ('CIRCUIT_TAG', 'CABLE_TAG')),
+earthing_table AS (SELECT drawing_id, tag, replace(classification, '_TAG', '') component_type, CASE classification WHEN 'EARTH_BAR_TAG' THEN CASE WHEN regexp_matches(tag, 'COPPER|CU') THEN 'Tinned Copper Flat Bar' ELSE 'Tinned Copper / GI Bar' END WHEN 'EARTH_PIT_TAG' THEN 'Copper-Bonded Steel Electrode (50mm Dia, 3m L)' ELSE CASE WHEN regexp_matches(tag, 'COPPER|CU') THEN 'Bare Copper Tape' WHEN regexp_matches(tag, 'GI|GS') THEN 'Galvanized Iron Flat Strip' ELSE 'Bare Copper Tape / GI Strip' END END material,
+ CASE classification WHEN 'EARTH_BAR_TAG' THEN coalesce(nullif(regexp_extract(tag, '([0-9]{{2,3}}\\s*[xX]\\s*[0-9]{{1,2}})', 1), ''), '50x6 mm') WHEN 'BOND_CONDUCTOR_TAG' THEN coalesce(nullif(regexp_extract(tag, '([0-9]{{2,3}}\\s*[xX]\\s*[0-9]{{1,2}}|[0-9]{{2,3}}\\s*SQMM)', 1), ''), '25x3 mm') END size, CASE classification WHEN 'EARTH_PIT_TAG' THEN '< 1.0 Ohm (Earth Electrode Grid)' END resistance FROM el WHERE classification IN ('EARTH_BAR_TAG', 'EARTH_PIT_TAG', 'BOND_CONDUCTOR_TAG'))"""
+)
 _VATYPE = _cascade("upper(v.first_tag)", entities.VALVE_HOLDS, "Valve")
 _VALVES = f"""valve_table AS (SELECT v.drawing_id, v.first_o ord, v.tag, {_VATYPE} AS type, l.size, h.host line_tag, e.confidence, e.aliases own, v.aliases folded
   FROM va v JOIN el e ON e.drawing_id = v.drawing_id AND e.tag = v.first_tag LEFT JOIN va_host h ON h.drawing_id = v.drawing_id AND h.tag = v.first_tag LEFT JOIN line_table l ON l.drawing_id = v.drawing_id AND l.tag = h.host)"""
@@ -433,9 +516,6 @@ resolved AS (SELECT r.drawing_id, r.rel_ord, lower(r.rel_type) AS type, coalesce
 edges AS (SELECT * FROM resolved WHERE source <> target AND {S.canon("source")} <> {S.canon("target")} QUALIFY row_number() OVER (PARTITION BY drawing_id, {S.canon("source")}, {S.canon("target")}, type ORDER BY rel_ord) = 1)"""
 _ALL = f"{_ENT},\n{_VALVES},\n{_PSV},\n{_MAP}"
 _ORPHANS = "orphans AS (SELECT i.drawing_id, i.tag FROM inst i WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.drawing_id = i.drawing_id AND (e.source = i.tag OR e.target = i.tag)))"
-_LO, _HI = "round(greatest(0.0, {0} - 0.02), 4)", "round(least(1.0, {0} + 0.02), 4)"
-_LAMPS = [(p.replace("HIGH.*BAY|BAY.*HIGH", "HIGH.*BAY|BAY.*HIGH"), v) for p, v in entities.FITTINGS]
-_SYMBOL = "CASE classification WHEN 'VALVE_TAG' THEN CASE WHEN regexp_matches(upper(tag), 'CB|CHECK') THEN 'CHECK_VALVE' ELSE 'VALVE' END " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in symbols.OF_TAG.items()) + " END"
 _CLASS = lambda c: f"coalesce(CASE {' '.join(f'WHEN upper(trim({c})) = {S.q(x)} THEN {i}' for i, x in enumerate(symbols.CLASSES))} END, CASE {' '.join(f'WHEN contains(upper(trim({c})), {S.q(x)}) OR contains({S.q(x)}, upper(trim({c}))) THEN {i}' for i, x in enumerate(symbols.CLASSES))} END, 0)"
 _REPORTS = f"""{_ALL}, {_ORPHANS},
 four AS (SELECT drawing_id, 0 i, 'Equipment' kind, tag, first_o o FROM eq UNION ALL SELECT drawing_id, 1, 'Line', tag, ord FROM line_table UNION ALL SELECT drawing_id, 2, 'Instrument', tag, first_o FROM inst UNION ALL SELECT drawing_id, 3, 'Valve', tag, ord FROM valve_table),
@@ -465,56 +545,42 @@ ORACLES = {
     "provenance_clean": _FOREIGN + " SELECT drawing_id, source_tag, target_tag, rel_type FROM judged WHERE known",
     "provenance_dropped": _FOREIGN + " SELECT drawing_id, source_tag, target_tag, rel_type, 'cross_document_contamination' flag_reason FROM judged WHERE NOT known",
     "relationships_resolved": _ALL + " SELECT drawing_id, source, target, type FROM edges",
-    "equipment_list": S.VALUES
-    + ",\neq_rows AS (SELECT * FROM el WHERE classification = 'EQUIPMENT_TAG'),"
-    + S.fold("eq", "eq_rows", _EQKEY, "ord")
-    + f""",
-canon_sheet AS (SELECT drawing_id, {S.canon("tag")} k, arg_min(value, tag) value FROM sheet WHERE field = 'duty' GROUP BY 1, 2)
-SELECT q.drawing_id, q.tag, first_tag AS name, {_kind("upper(regexp_extract(first_tag, '(?i)([A-Z]{1,3})-?[0-9]', 1))", entities.EQUIPMENT_KINDS, "'Generic Equipment'")} AS type, first_tag description, coalesce(s.value, c.value) duty,
- round(0.60 + 0.40 * (CASE WHEN coalesce(s.value, c.value) IS NULL THEN 0 ELSE 1 END / 7.0::DOUBLE), 2) confidence
-FROM eq q LEFT JOIN sheet s ON s.drawing_id = q.drawing_id AND s.tag = q.first_tag AND s.field = 'duty' LEFT JOIN canon_sheet c ON c.drawing_id = q.drawing_id AND c.k = {S.canon("q.first_tag")}""",
+    "equipment_list": _ENT + _TABLES + f" SELECT drawing_id, tag, name, type, description, {', '.join(entities.DATASHEET)}, coordinates, confidence FROM equipment_table",
     "line_list": _ENT + " SELECT drawing_id, tag, size, service, spec, sequence_number, insulation, from_node, to_node FROM line_table",
-    "instrument_list": _ENT
-    + f""",
-centres AS (SELECT i.drawing_id, i.first_tag, ({_LO.format("e.y")} + {_HI.format("e.y")}) / 2 cy, ({_LO.format("e.x")} + {_HI.format("e.x")}) / 2 cx FROM inst i JOIN el e ON e.drawing_id = i.drawing_id AND e.tag = i.first_tag),
-near_texts AS (SELECT c.drawing_id, c.first_tag, regexp_extract(t.tag, '([0-9]{{3,5}}[A-Z]?)', 1) num, t.ord, CASE WHEN sqrt((cx - t.x) * (cx - t.x) + (cy - t.y) * (cy - t.y)) < 0.10 THEN 0 WHEN abs(t.y - cy) < 0.015 THEN 1 END tier
-  FROM centres c JOIN el t ON t.drawing_id = c.drawing_id AND t.x >= 0 AND t.y >= 0 AND regexp_matches(t.tag, '[0-9]{{3,5}}')),
-loops AS (SELECT * FROM near_texts WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY drawing_id, first_tag ORDER BY tier, ord) = 1)
-SELECT i.drawing_id, i.tag, {_kind(_INCODE.replace("first_tag", "i.first_tag"), entities.INSTRUMENT_KINDS, _INCODE.replace("first_tag", "i.first_tag"))} AS type, CASE WHEN l.tag IS NOT NULL THEN l.service || ' (' || l.tag || ')' ELSE h.host END service,
- coalesce(lo.num, nullif(regexp_extract(i.first_tag, '([0-9]{{3,5}}[A-Z]?)', 1), ''), '0000') loop_id
-FROM inst i LEFT JOIN in_host h ON h.drawing_id = i.drawing_id AND h.tag = i.first_tag LEFT JOIN line_table l ON l.drawing_id = i.drawing_id AND l.tag = h.host LEFT JOIN loops lo ON lo.drawing_id = i.drawing_id AND lo.first_tag = i.first_tag""",
+    "instrument_list": _ENT + _TABLES + " SELECT drawing_id, tag, type, service, loop_id, coordinates FROM instrument_table",
     "valve_list": _ENT + f",\n{_VALVES} SELECT drawing_id, tag, type, size, line_tag, confidence, array_to_string(list_distinct(list_filter(string_split(own || ',' || folded, ','), lambda x: x <> '')), ',') aliases FROM valve_table",
     "datasheet_fields": S.VALUES + " SELECT drawing_id, tag, field, value FROM sheet",
     "psv_set_pressure": S.VALUES + " SELECT drawing_id, tag, set_pressure FROM pressures",
-    "relief_valve_list": S.VALUES
-    + f""",
-twins AS (SELECT drawing_id, {S.twin("tag")} k, arg_min(set_pressure, tag) v FROM pressures GROUP BY 1, 2)
-SELECT e.drawing_id, e.tag, regexp_extract(e.tag, '^([0-9]{{2}})-', 1) unit, coalesce(a.set_pressure, b.set_pressure, t.v, 'N/A') set_pressure, 'N/A' inlet_size FROM el e
- LEFT JOIN pressures a ON a.drawing_id = e.drawing_id AND a.tag = e.tag LEFT JOIN pressures b ON b.drawing_id = e.drawing_id AND b.tag = {S.canon("e.tag")} LEFT JOIN twins t ON t.drawing_id = e.drawing_id AND t.k = {S.twin("e.tag")} WHERE e.classification = 'PSV_TAG'""",
-    "luminaire_list": S.FOLDED + f" SELECT drawing_id, tag, {_cascade('upper(tag)', _LAMPS, 'Lighting Fitting')} fitting_type, coalesce(nullif(regexp_extract(upper(tag), '([0-9]{{2,3}}\\s*W\\b)', 1), ''), {S.q(entities.WATTAGE)}) wattage, 1 quantity FROM el WHERE classification = 'LUMINAIRE_TAG'",
-    "panel_list": S.FOLDED + f" SELECT drawing_id, tag, {_cascade('upper(tag)', [('LIGHTING', 'Lighting Panel'), ('EARTHING', 'Earthing Main Panel'), *[(p, p) for p in entities.PANEL_TYPES]], 'Distribution Board')} panel_type, {S.q(entities.VOLTAGE)} voltage, tag description FROM el WHERE classification = 'PANEL_TAG'",
-    "cable_list": S.RELATIONS + f" SELECT e.drawing_id, e.tag, {S.q(entities.CABLE)} cable_type, (SELECT arg_max(source_tag, rel_ord) FROM rels r WHERE r.drawing_id = e.drawing_id AND r.target_tag = e.tag AND r.source_tag <> e.tag AND rel_type IN ('FEEDS', 'CONNECTS_TO')) from_panel, (SELECT arg_max(target_tag, rel_ord) FROM rels r WHERE r.drawing_id = e.drawing_id AND r.source_tag = e.tag AND rel_type IN ('FEEDS', 'CONNECTS_TO')) to_equipment FROM el e WHERE classification IN ('CIRCUIT_TAG', 'CABLE_TAG')",
-    "earthing_list": S.FOLDED + """ SELECT drawing_id, tag, replace(classification, '_TAG', '') component_type, CASE classification WHEN 'EARTH_BAR_TAG' THEN CASE WHEN regexp_matches(tag, 'COPPER|CU') THEN 'Tinned Copper Flat Bar' ELSE 'Tinned Copper / GI Bar' END WHEN 'EARTH_PIT_TAG' THEN 'Copper-Bonded Steel Electrode (50mm Dia, 3m L)' ELSE CASE WHEN regexp_matches(tag, 'COPPER|CU') THEN 'Bare Copper Tape' WHEN regexp_matches(tag, 'GI|GS') THEN 'Galvanized Iron Flat Strip' ELSE 'Bare Copper Tape / GI Strip' END END material,
- CASE classification WHEN 'EARTH_BAR_TAG' THEN coalesce(nullif(regexp_extract(tag, '([0-9]{2,3}\\s*[xX]\\s*[0-9]{1,2})', 1), ''), '50x6 mm') WHEN 'BOND_CONDUCTOR_TAG' THEN coalesce(nullif(regexp_extract(tag, '([0-9]{2,3}\\s*[xX]\\s*[0-9]{1,2}|[0-9]{2,3}\\s*SQMM)', 1), ''), '25x3 mm') END size, CASE classification WHEN 'EARTH_PIT_TAG' THEN '< 1.0 Ohm (Earth Electrode Grid)' END resistance FROM el WHERE classification IN ('EARTH_BAR_TAG', 'EARTH_PIT_TAG', 'BOND_CONDUCTOR_TAG')""",
+    "relief_valve_list": _ENT + _TABLES + " SELECT drawing_id, tag, unit, set_pressure, coalesce(f.inlet_size, 'N/A') inlet_size, coalesce(f.outlet_size, 'N/A') outlet_size, coalesce(f.inlet_spec, 'N/A') inlet_spec, f.remarks remarks, coordinates FROM relief_table",
+    "luminaire_list": _ENT + _TABLES + " SELECT drawing_id, tag, fitting_type, wattage, quantity FROM luminaire_table",
+    "panel_list": _ENT + _TABLES + " SELECT drawing_id, tag, panel_type, voltage, description FROM panel_table",
+    "cable_list": _ENT + _TABLES + " SELECT * FROM cable_table",
+    "earthing_list": _ENT + _TABLES + " SELECT * FROM earthing_table",
     "annotation_list": S.FOLDED + " SELECT drawing_id, tag AS text, CASE classification WHEN 'ELEVATION_TAG' THEN 'ELEVATION' ELSE classification END annotation_type, x position_x, y position_y FROM el WHERE classification IN ('NOTE', 'ELEVATION_TAG', 'RATING')",
     "total_items": _ALL + " SELECT drawing_id, count(*) total_items FROM (SELECT drawing_id FROM eq UNION ALL SELECT drawing_id FROM line_table UNION ALL SELECT drawing_id FROM inst UNION ALL SELECT drawing_id FROM valve_table UNION ALL SELECT drawing_id FROM el WHERE classification IN ('PSV_TAG', 'LUMINAIRE_TAG', 'PANEL_TAG', 'CIRCUIT_TAG', 'CABLE_TAG', 'EARTH_BAR_TAG', 'EARTH_PIT_TAG', 'BOND_CONDUCTOR_TAG', 'EQUIPMENT_TAG', 'GENERIC_TAG')) GROUP BY 1",
+    "title_blocks": f"WITH {V.OCR_ITEMS}, t AS (SELECT drawing_id, item_idx, trim(text) t, regexp_matches(trim(text), '(?i)\\b(DWG|DRAWING|DOC)\\s*(NO|NUM|\\.|#)?:?\\s*([A-Z0-9\\-_]{{6,30}})\\b') numbered FROM ocr_items), v AS (SELECT *, regexp_extract(t, '\\b([A-Z0-9\\-_]{{6,30}})\\b', 1) n, nullif(regexp_extract(t, '(?i)\\b(REV\\s*[-.:]?\\s*[A-Z0-9]{{1,3}})\\b', 1), '') r FROM t) SELECT drawing_id, coalesce(arg_max(n, item_idx) FILTER (WHERE numbered AND length(n) > 6), 'UNKNOWN') drawing_number, coalesce(arg_max(r, item_idx) FILTER (WHERE NOT numbered AND contains(upper(t), 'REV') AND r IS NOT NULL), '0') revision FROM v GROUP BY 1",
     "symbols_from_tags": S.FOLDED + f" SELECT * FROM (SELECT drawing_id, {_SYMBOL} symbol_type, tag inferred_tag, {_LO.format('y')} ymin, {_LO.format('x')} xmin, {_HI.format('y')} ymax, {_HI.format('x')} xmax FROM el) WHERE symbol_type IS NOT NULL",
     "drawing_type": f"WITH {V.OCR_ITEMS}, whole AS (SELECT drawing_id, string_agg(text, ' ' ORDER BY item_idx) body FROM ocr_items WHERE confidence >= 0.25 AND text <> '' GROUP BY 1), {S.kinds('whole', 'drawing_id')} SELECT drawing_id, drawing_type, {_kind('drawing_type', {k: a for k, _, a in documents.KINDS}, 'NULL')} discipline, score FROM kinds",
     "document_type": f"WITH whole AS (SELECT doc_id, text body FROM documents), {S.kinds('whole', 'doc_id')} SELECT doc_id, drawing_type, score FROM kinds",
     "validation_report": _REPORTS + " SELECT * FROM reports",
-    "missing_entities": _REPORTS + " SELECT drawing_id, CASE rule_id WHEN 'VAL-003' THEN 'PIPING_CONNECTION' ELSE 'INSTRUMENT_LINK' END item_type, target_tag, '0.2,0.4,0.35,0.65' coordinates, message reason FROM reports WHERE rule_id IN ('VAL-003', 'VAL-004')",
+    "missing_entities": _REPORTS + f", {_SYM}, boxed AS (SELECT i.drawing_id bd, i.tag bt, array_to_string([y0, x0, y1, x1], ',') box FROM (SELECT drawing_id, tag, first_tag FROM inst UNION ALL SELECT drawing_id, tag, first_tag FROM va) i JOIN sym y ON y.drawing_id = i.drawing_id AND y.tag = i.first_tag)" + " SELECT drawing_id, CASE rule_id WHEN 'VAL-003' THEN 'PIPING_CONNECTION' ELSE 'INSTRUMENT_LINK' END item_type, target_tag, coalesce(box, '0.2,0.4,0.35,0.65') coordinates, message reason FROM reports LEFT JOIN boxed ON bd = drawing_id AND bt = target_tag WHERE rule_id IN ('VAL-003', 'VAL-004')",
     "orphan_instruments": f"{_ALL}, {_ORPHANS} SELECT drawing_id, count(*) n_orphans FROM orphans GROUP BY 1",
     "word_line_assembly": f"WITH {V.OCR_ITEMS}, {V.WORDS}, g AS (SELECT drawing_id, line_idx, round(y0, 1) b, string_agg(text, '' ORDER BY x0, word_idx) a, string_agg(text, ' ' ORDER BY x0, word_idx) c, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 FROM words GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT drawing_id, line_idx, a AS text, x0, y0, x1, y1 FROM g UNION ALL SELECT drawing_id, line_idx, c, x0, y0, x1, y1 FROM g WHERE a <> c",
     "bubble_assembly": f"WITH {V.OCR_ITEMS}, {V.WORDS} SELECT a.drawing_id, upper(a.text) || '-' || upper(b.text) AS text, a.center_x, a.center_y FROM words a JOIN words b ON a.drawing_id = b.drawing_id AND regexp_full_match(b.text, '[0-9]{{3,5}}[A-Z]?') AND abs(a.center_x - b.center_x) < 0.02 AND b.center_y - a.center_y > 0.005 AND b.center_y - a.center_y < 0.04 WHERE upper(a.text) IN {S.among(pages.INSTRUMENT_CODES)}",
     "text_lines": "SELECT doc_id, count(*) n_lines, sum(length(t))::BIGINT n_chars, max(i)::INTEGER last_idx FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) t, unnest(range(len(string_split(text, chr(10))))) i FROM documents) WHERE t <> '' GROUP BY 1",
     "items_described": f"WITH {V.OCR_ITEMS} SELECT drawing_id, item_idx, md5(text || ' | ' || printf('%.3f', confidence)) line_md5 FROM ocr_items",
-    "box_iou": f"WITH {V.OCR_ITEMS}, {V.BOXES}, p AS (SELECT a.drawing_id, a.box_idx, greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) * greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) i, (a.ymax - a.ymin) * (a.xmax - a.xmin) + (b.ymax - b.ymin) * (b.xmax - b.xmin) s FROM boxes a JOIN boxes b ON a.drawing_id = b.drawing_id AND b.box_idx = a.box_idx + 1) SELECT drawing_id, box_idx, round(CASE WHEN s - i <= 0 THEN 0 ELSE i / (s - i) END, 9) iou FROM p",
+    "box_iou": f"WITH {V.OCR_ITEMS}, {V.BOXES}, n AS (SELECT *, lead(ymin) OVER w ny0, lead(xmin) OVER w nx0, lead(ymax) OVER w ny1, lead(xmax) OVER w nx1 FROM boxes WINDOW w AS (PARTITION BY drawing_id ORDER BY box_idx)), p AS (SELECT drawing_id, box_idx, greatest(0, least(ymax, ny1) - greatest(ymin, ny0)) * greatest(0, least(xmax, nx1) - greatest(xmin, nx0)) i, (ymax - ymin) * (xmax - xmin) + (ny1 - ny0) * (nx1 - nx0) s FROM n WHERE ny0 IS NOT NULL) SELECT drawing_id, box_idx, round(CASE WHEN s - i <= 0 THEN 0 ELSE i / (s - i) END, 9) iou FROM p",
+    "nms_boxes": f"""WITH RECURSIVE {V.OCR_ITEMS}, {V.BOXES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY drawing_id, symbol_type ORDER BY confidence DESC, box_idx) r FROM boxes),
+pass AS (SELECT DISTINCT drawing_id, symbol_type, 0::BIGINT r, []::STRUCT(i BIGINT, y0 DOUBLE, x0 DOUBLE, y1 DOUBLE, x1 DOUBLE)[] kept FROM ranked
+ UNION ALL SELECT p.drawing_id, p.symbol_type, b.r, CASE WHEN len(list_filter(p.kept, lambda k: greatest(0, least(k.y1, b.ymax) - greatest(k.y0, b.ymin)) * greatest(0, least(k.x1, b.xmax) - greatest(k.x0, b.xmin)) > 0.45::DOUBLE * ((k.y1 - k.y0) * (k.x1 - k.x0) + (b.ymax - b.ymin) * (b.xmax - b.xmin) - greatest(0, least(k.y1, b.ymax) - greatest(k.y0, b.ymin)) * greatest(0, least(k.x1, b.xmax) - greatest(k.x0, b.xmin))))) > 0 THEN p.kept
+  ELSE list_append(p.kept, {{'i': b.box_idx, 'y0': b.ymin, 'x0': b.xmin, 'y1': b.ymax, 'x1': b.xmax}}) END FROM pass p JOIN ranked b ON b.drawing_id = p.drawing_id AND b.symbol_type = p.symbol_type AND b.r = p.r + 1)
+SELECT drawing_id, unnest(kept).i box_idx, symbol_type FROM pass QUALIFY row_number() OVER (PARTITION BY drawing_id, symbol_type ORDER BY r DESC) = 1""",
     "tile_grid": "WITH p AS (SELECT p_partkey page_id, p_size * 60 w, p_size * 40 h FROM part), t AS (SELECT *, w > 1200 OR h > 1200 big FROM p), ys AS (SELECT *, unnest(CASE WHEN big THEN range(0, h::BIGINT, 500) ELSE [0::BIGINT] END) y FROM t), xs AS (SELECT *, unnest(CASE WHEN big THEN range(0, w::BIGINT, 500) ELSE [0::BIGINT] END) x FROM ys) SELECT page_id, x::INTEGER x, y::INTEGER y, (CASE WHEN big THEN least(x + 800, w) ELSE w END)::INTEGER x2, (CASE WHEN big THEN least(y + 800, h) ELSE h END)::INTEGER y2 FROM xs",
     "crop_boxes": f"WITH {V.OCR_ITEMS}, {V.BOXES}, c AS (SELECT drawing_id, box_idx, greatest(0, least(trunc(xmin * 3300)::INTEGER, 3299)) l, greatest(0, least(trunc(ymin * 2338)::INTEGER, 2337)) t, trunc(xmax * 3300)::INTEGER r, trunc(ymax * 2338)::INTEGER b FROM boxes) SELECT drawing_id, box_idx, l AS \"left\", t AS top, greatest(l + 1, least(r, 3300)) AS \"right\", greatest(t + 1, least(b, 2338)) AS bottom FROM c",
     "sheet_regions": f"WITH {V.OCR_ITEMS} SELECT drawing_id, CASE {' '.join(f"WHEN center_y BETWEEN {y0} AND {y1} AND center_x BETWEEN {x0} AND {x1} THEN '{n}'" for n, y0, x0, y1, x1 in state.REGIONS)} ELSE '' END region, count(*) n_items FROM ocr_items GROUP BY 1, 2",
     "yolo_rows": f"WITH {V.OCR_ITEMS}, {V.BOXES}, c AS (SELECT drawing_id, box_idx, symbol_type, greatest(ymin, 0) y0, greatest(xmin, 0) x0, least(ymax, 1.0) y1, least(xmax, 1.0) x1 FROM boxes WHERE xmax > xmin AND ymax > ymin) SELECT drawing_id, box_idx, {_CLASS('symbol_type')} class_id, round((x0 + x1) / 2, 9) x_center, round((y0 + y1) / 2, 9) y_center, round(x1 - x0, 9) width, round(y1 - y0, 9) height FROM c",
     "coco_rows": f"WITH {V.OCR_ITEMS}, {V.BOXES} SELECT drawing_id, box_idx, {_CLASS('symbol_type')} class_id, round(xmin * 3300, 2) bbox_x, round(ymin * 2338, 2) bbox_y, round((xmax - xmin) * 3300, 2) bbox_w, round((ymax - ymin) * 2338, 2) bbox_h FROM boxes",
-    "symbol_class_ids": f"SELECT DISTINCT p_type, {_CLASS('p_type')} class_id FROM part",
+    "symbol_class_ids": f"WITH {V.OCR_ITEMS}, {V.BOXES} SELECT name, {_CLASS('name')} class_id FROM (SELECT p_type AS name FROM part UNION SELECT symbol_type FROM boxes)",
     "corpus_metrics": _ALL + " SELECT drawing_id, count(*) FILTER (WHERE t = 'e') n_equipment, count(*) FILTER (WHERE t = 'l') n_lines, count(*) FILTER (WHERE t = 'i') n_instruments, count(*) FILTER (WHERE t = 'v') n_valves, count(*) FILTER (WHERE t = 'r') n_relationships FROM (SELECT drawing_id, 'e' t FROM eq UNION ALL SELECT drawing_id, 'l' FROM line_table UNION ALL SELECT drawing_id, 'i' FROM inst UNION ALL SELECT drawing_id, 'v' FROM valve_table UNION ALL SELECT drawing_id, 'r' FROM edges) GROUP BY 1",
     "corpus_summary": "SELECT round(avg(o_totalprice) FILTER (WHERE o_orderstatus <> 'F'), 4) avg_price, round(count(*) FILTER (WHERE o_orderstatus <> 'F') / count(*)::DOUBLE, 9) success_rate FROM orders",
     "train_val_split": "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= floor(0.8::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'val' END part FROM orders",
@@ -523,19 +589,20 @@ SELECT e.drawing_id, e.tag, regexp_extract(e.tag, '^([0-9]{{2}})-', 1) unit, coa
     "job_current_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE value > 50) kind_seen, arg_max(value, (ts, event_id)) FILTER (WHERE value <= 50) value_seen, max(ts) updated_at FROM events GROUP BY 1",
     "json_props": "SELECT event_id, props->>'$.k' k FROM events",
     "export_wide_csv": _ALL
-    + f""", {"lum AS (" + "SELECT drawing_id, tag, " + _cascade("upper(tag)", _LAMPS, "Lighting Fitting") + " f FROM el WHERE classification = 'LUMINAIRE_TAG')"}
-SELECT drawing_id, 'EQUIPMENT' entity_type, tag, first_tag property_1, {_kind("upper(regexp_extract(first_tag, '(?i)([A-Z]{1,3})-?[0-9]', 1))", entities.EQUIPMENT_KINDS, "'Generic Equipment'")} property_2, first_tag property_3, '' property_4, '' property_5 FROM eq
+    + _TABLES
+    + """
+SELECT drawing_id, 'EQUIPMENT' entity_type, tag, name property_1, type property_2, description property_3, '' property_4, '' property_5 FROM equipment_table
 UNION ALL SELECT drawing_id, 'PIPING_LINE', tag, size, service, spec, coalesce(from_node, ''), coalesce(to_node, '') FROM line_table
-UNION ALL SELECT drawing_id, 'INSTRUMENT', tag, {_kind(_INCODE, entities.INSTRUMENT_KINDS, _INCODE)}, coalesce(nullif(regexp_extract(first_tag, '([0-9]{{3,5}}[A-Z]?)', 1), ''), '0000'), 'Field', '', '' FROM inst
+UNION ALL SELECT drawing_id, 'INSTRUMENT', tag, type, loop_id, location, '', '' FROM instrument_table
 UNION ALL SELECT drawing_id, 'VALVE', tag, type, coalesce(size, ''), coalesce(line_tag, ''), '', '' FROM valve_table
-UNION ALL SELECT drawing_id, 'SAFETY_RELIEF_VALVE', tag, 'PSV', 'N/A', 'N/A', 'N/A', '' FROM psv_rows
-UNION ALL SELECT drawing_id, 'LUMINAIRE', tag, f, {S.q(entities.WATTAGE)}, '', '', '' FROM lum
-UNION ALL SELECT drawing_id, 'ELECTRICAL_PANEL', tag, {_cascade("upper(tag)", [("LIGHTING", "Lighting Panel"), ("EARTHING", "Earthing Main Panel"), *[(p, p) for p in entities.PANEL_TYPES]], "Distribution Board")}, {S.q(entities.VOLTAGE)}, '', '', '' FROM el WHERE classification = 'PANEL_TAG'
-UNION ALL SELECT drawing_id, 'EARTHING', tag, replace(classification, '_TAG', ''), CASE classification WHEN 'EARTH_BAR_TAG' THEN 'Tinned Copper / GI Bar' WHEN 'EARTH_PIT_TAG' THEN 'Copper-Bonded Steel Electrode (50mm Dia, 3m L)' ELSE 'Bare Copper Tape / GI Strip' END, CASE classification WHEN 'EARTH_BAR_TAG' THEN '50x6 mm' WHEN 'BOND_CONDUCTOR_TAG' THEN '25x3 mm' ELSE '' END, '', CASE classification WHEN 'EARTH_PIT_TAG' THEN '< 1.0 Ohm (Earth Electrode Grid)' ELSE '' END FROM el WHERE classification IN ('EARTH_BAR_TAG', 'EARTH_PIT_TAG', 'BOND_CONDUCTOR_TAG')
+UNION ALL SELECT drawing_id, 'SAFETY_RELIEF_VALVE', tag, 'PSV', set_pressure, coalesce(f.inlet_size, 'N/A'), coalesce(f.outlet_size, 'N/A'), '' FROM relief_table
+UNION ALL SELECT drawing_id, 'LUMINAIRE', tag, fitting_type, wattage, '', '', '' FROM luminaire_table
+UNION ALL SELECT drawing_id, 'ELECTRICAL_PANEL', tag, panel_type, voltage, '', '', '' FROM panel_table
+UNION ALL SELECT drawing_id, 'EARTHING', tag, component_type, material, coalesce(size, ''), '', coalesce(resistance, '') FROM earthing_table
 UNION ALL SELECT drawing_id, 'GENERIC_COMPONENT', tag, classification, tag, '', '', '' FROM el WHERE classification = 'EQUIPMENT_TAG'
-UNION ALL SELECT drawing_id, 'CABLE', tag, {S.q(entities.CABLE)}, '', '', '', '' FROM el WHERE classification IN ('CIRCUIT_TAG', 'CABLE_TAG')
+UNION ALL SELECT drawing_id, 'CABLE', tag, cable_type, '', '', coalesce(from_panel, ''), coalesce(to_equipment, '') FROM cable_table
 UNION ALL SELECT drawing_id, 'RELATIONSHIP', source, upper(type), target, 'conf=1.00', '', '' FROM edges""",
     "export_relationships": _ALL + " SELECT drawing_id, source, target, type, 1.0::DOUBLE confidence, '{}' attributes, '' flag_reason FROM edges",
-    "export_sheet": S.FOLDED + f" SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY ord)::INTEGER row_no, tag, {_cascade('upper(tag)', [('LIGHTING', 'Lighting Panel'), ('EARTHING', 'Earthing Main Panel'), *[(p, p) for p in entities.PANEL_TYPES]], 'Distribution Board')} panel_type, '-' coordinates FROM el WHERE classification = 'PANEL_TAG'",
+    "export_sheet": _ALL + _TABLES + " SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY ord)::INTEGER row_no, tag, panel_type, CASE WHEN coordinates IS NULL THEN '-' ELSE '[' || replace(coordinates, ',', ', ') || ']' END coordinates FROM panel_table",
     "flagged_queue": S.FOLDED + " SELECT drawing_id, classification item_type, tag, confidence, flag_reason FROM el WHERE flag_reason IS NOT NULL",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tagloom.functions.normalize import WHITE
+from tagloom.operators import attributes as A
 from tagloom.operators import documents as D
 from tagloom.operators import grammar as G
 from tagloom.plans.views import OCR_ITEMS
@@ -178,21 +179,52 @@ r_earth AS ({_edge(5, "b.bar", "EARTHED_TO", f"({of_class('EARTH_PIT_TAG', 'BOND
 rels AS (SELECT drawing_id, source_tag, target_tag, rel_type, min(rel_ord) rel_ord FROM (SELECT * FROM r_valve UNION ALL SELECT * FROM r_inst UNION ALL SELECT * FROM r_psv UNION ALL SELECT * FROM r_line UNION ALL SELECT * FROM r_feeds UNION ALL SELECT * FROM r_earth) GROUP BY ALL)"""
 )
 
-#: Datasheet values and set pressures by nearest tag in height.
-VALUES = (
-    FOLDED
-    + """,
-told AS (SELECT drawing_id, item_idx, center_y y, 'duty' field, regexp_extract(text, '([0-9,]+(?:\\.[0-9]+)?)', 1) || ' ' || coalesce(nullif(regexp_extract(text, '(?i)\\b(kW|MW|HP|BHP)\\b', 1), ''), 'kW') value
-  FROM ocr_items WHERE regexp_matches(text, '(?i)\\b(?:DUTY|POWER|RATED\\s*POWER|MOTOR\\s*POWER)\\b') AND regexp_matches(text, '[0-9,]')),
-told_near AS (SELECT t.*, e.tag FROM told t JOIN el e ON e.drawing_id = t.drawing_id AND e.classification = 'EQUIPMENT_TAG' AND abs(t.y - e.y) < 0.15 AND t.y >= 0
+_C = "trim(text)"
+
+
+def _told(field: str) -> str:
+    """The value that a text tells of a field, as SQL."""
+    one = lambda p: f"nullif(regexp_extract({_C}, {q(p)}, 1), '')"
+    label = dict(A.FIELDS)[field]
+    tail = f"trim(regexp_replace(trim(regexp_replace({_C}, {q(label)}, '', 'g')), '^[:=\\- ]+', ''))"
+    united = lambda n, units, default: f"{n} || ' ' || coalesce({one(units)}, {q(default)})"
+    if field in ("duty", "flow_rate"):
+        return united(one(A.NUMBER), rf"(?i)\b({A.DUTY_UNITS if field == 'duty' else A.FLOW_UNITS})\b", A.DEFAULTS[field])
+    if field.endswith("pressure"):
+        return united(one(A.PRESSURES), rf"(?i)\b({A.PRESSURE_UNITS})\b", A.DEFAULTS["pressure"])
+    if field == "design_temperature":
+        n = f"regexp_replace(trim({one(A.TEMPERATURES)}), '/+$', '')"
+        return f"CASE WHEN length({n}) >= 2 THEN {united(n, A.DEGREES, A.DEFAULTS['temperature'])} END"
+    if field == "vendor":
+        v = f"trim(regexp_replace({_C}, {q(A.VENDOR_LABEL)}, '', 'g'))"
+        bad = f"({v} = '' OR upper({v}) IN {among(A.NO_VENDOR)} OR (starts_with({v}, '(') AND ends_with({v}, ')')) OR regexp_matches(upper({v}), {q(A.NO_VENDOR_WORDS)}))"
+        return f"CASE WHEN NOT {bad} AND (len(regexp_extract_all({v}, {q(A.CAPITAL_WORD)})) >= 2 OR regexp_matches(upper({v}), {q(A.VENDORS)})) THEN {v} END"
+    if field == "quantity":
+        return f"trim({one(A.QUANTITY)})"
+    tail = f"CASE WHEN length({tail}) >= 2 THEN {tail} END"
+    return f"CASE WHEN NOT starts_with({_C}, '(') AND NOT starts_with({tail}, '(') THEN {tail} END" if field == "type" else tail
+
+
+_CLEAN = r"coalesce(nullif(upper(regexp_extract(tag, '\b([0-9]{2,3}-[A-Z]{2,3}-[0-9]{3,4}[A-Z0-9]*)\b', 1)), ''), trim(tag))"
+_NEAR_PSV = "JOIN el e ON e.drawing_id = t.drawing_id AND e.classification = 'PSV_TAG' AND t.y >= 0 AND e.y >= 0 AND abs(t.y - e.y) < 0.10 QUALIFY row_number() OVER (PARTITION BY t.drawing_id, t.item_idx ORDER BY abs(t.y - e.y), e.ord) = 1"
+
+#: What texts say beside tags: datasheet fields, set pressures and flanges, as further expressions behind FOLDED.
+SHEETS = (
+    ",\ntold AS (SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT drawing_id, item_idx, center_y y, '{f}' field, {_told(f)} AS value FROM ocr_items WHERE length({_C}) >= 3 AND regexp_matches({_C}, {q(label)})" for f, label in A.FIELDS)
+    + f""") WHERE length(value) >= 2),
+told_near AS (SELECT t.*, e.tag FROM told t JOIN el e ON e.drawing_id = t.drawing_id AND e.classification = 'EQUIPMENT_TAG' AND abs(t.y - e.y) < 0.15 AND t.y >= 0 AND e.y >= 0
   QUALIFY row_number() OVER (PARTITION BY t.drawing_id, t.item_idx, t.field ORDER BY abs(t.y - e.y), e.ord) = 1),
-sheet AS (SELECT drawing_id, coalesce(nullif(upper(regexp_extract(tag, '\\b([0-9]{2,3}-[A-Z]{2,3}-[0-9]{3,4}[A-Z0-9]*)\\b', 1)), ''), trim(tag)) tag, field, value FROM told_near
-  QUALIFY row_number() OVER (PARTITION BY drawing_id, 2, field ORDER BY item_idx) = 1),
-sp AS (SELECT drawing_id, item_idx, center_y y, trim(regexp_extract(text, '(?i)SP\\s*=\\s*([\\d.,]+\\s*(?:bar[\\s(g)]*|barg|psig|kPag))', 1)) raw FROM ocr_items WHERE regexp_matches(text, '(?i)SP\\s*=\\s*[\\d.,]+\\s*(?:bar|psig|kPag)')),
-sp_text AS (SELECT *, CASE WHEN regexp_matches(v, '\\s+bar\\(g\\)') THEN v ELSE replace(v, 'bar(g)', ' bar(g)') END value FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '(?i)bar\\s*\\(g\\)', 'bar(g)', 'g'), '(?i)barg', 'bar(g)', 'g') v FROM sp)),
-sp_near AS (SELECT t.*, e.tag FROM sp_text t JOIN el e ON e.drawing_id = t.drawing_id AND e.classification = 'PSV_TAG' AND abs(t.y - e.y) < 0.10 QUALIFY row_number() OVER (PARTITION BY t.drawing_id, t.item_idx ORDER BY abs(t.y - e.y), e.ord) = 1),
-pressures AS (SELECT drawing_id, tag, arg_min(value, item_idx) set_pressure FROM sp_near GROUP BY 1, 2)"""
-).replace("PARTITION BY drawing_id, 2, field", "PARTITION BY drawing_id, coalesce(nullif(upper(regexp_extract(tag, '\\b([0-9]{2,3}-[A-Z]{2,3}-[0-9]{3,4}[A-Z0-9]*)\\b', 1)), ''), trim(tag)), field")
+sheet AS (SELECT drawing_id, clean tag, field, arg_min(value, item_idx) AS value FROM (SELECT *, {_CLEAN} clean FROM told_near) GROUP BY 1, 2, 3),
+sp AS (SELECT drawing_id, item_idx, center_y y, trim(coalesce({", ".join(f"nullif(regexp_extract({_C}, {q(p)}, 1), '')" for p in A.SET_PRESSURE)})) raw FROM ocr_items),
+sp_text AS (SELECT *, CASE WHEN regexp_matches(v, '\\s+bar\\(g\\)') THEN v ELSE replace(v, 'bar(g)', ' bar(g)') END AS value FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '(?i)bar\\s*\\(g\\)', 'bar(g)', 'g'), '(?i)barg', 'bar(g)', 'g') v FROM sp WHERE raw IS NOT NULL)),
+sp_near AS (SELECT t.*, e.tag FROM sp_text t {_NEAR_PSV}),
+pressures AS (SELECT drawing_id, tag, arg_min(value, item_idx) set_pressure, min(item_idx) told_idx FROM sp_near GROUP BY 1, 2),
+fl AS (SELECT drawing_id, item_idx, center_y y, regexp_extract({_C}, {q(A.FLANGE)}, 1) a, regexp_extract({_C}, {q(A.FLANGE)}, 2) b, coalesce(nullif(regexp_extract({_C}, {q(A.FLANGE)}, 3), ''), '300#') c, coalesce(nullif(regexp_extract({_C}, {q(A.FLANGE)}, 4), ''), '150#') d FROM ocr_items WHERE regexp_matches({_C}, {q(A.FLANGE)})),
+fl_near AS (SELECT t.*, e.tag FROM fl t {_NEAR_PSV}),
+flanges AS (SELECT drawing_id, tag, arg_min({{'inlet_size': a, 'outlet_size': b, 'inlet_spec': c, 'remarks': 'Flange Rating: ' || c || ' x ' || d}}, item_idx) f, min(item_idx) told_idx FROM fl_near GROUP BY 1, 2)"""
+)
+VALUES = FOLDED + SHEETS
 
 
 def kinds(texts: str, doc: str) -> str:

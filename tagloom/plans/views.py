@@ -17,7 +17,19 @@ _TEXTS = """CASE kind
  WHEN 10 THEN 'DUTY kW ' || CAST(1000 + p % 900 AS {s}) WHEN 11 THEN 'TO HP DRAIN ' || CAST(p % 9 AS {s})
  WHEN 12 THEN 'DB-' || CAST(10 + p % 9 AS {s}) WHEN 13 THEN 'TL-' || CAST(100 + p % 50 AS {s})
  WHEN 14 THEN CASE WHEN n % 2 = 0 THEN 'EB-' ELSE 'EP-' END || CAST(10 + p % 20 AS {s})
- ELSE '  HIGH   POINT   NOTE ' || CAST(p % 50 AS {s}) || '  ' END"""
+ WHEN 15 THEN '  HIGH   POINT   NOTE ' || CAST(p % 50 AS {s}) || '  '
+ WHEN 16 THEN CASE WHEN n % 3 = 0 THEN 'COPPER TAPE' WHEN n % 3 = 1 THEN 'GI STRIP' ELSE 'BC-' || CAST(10 + p % 9 AS {s}) END WHEN 17 THEN 'CK-' || CAST(100 + p % 60 AS {s})
+ WHEN 18 THEN CAST(10 + p % 90 AS {s}) || 'barg' WHEN 19 THEN '6"-PV-26-' || CAST(9100 + p % 40 AS {s}) || '-FC11S-08NOTE' || CAST(p % 9 AS {s})
+ WHEN 20 THEN 'MASS FLOW kg/h ' || CAST(60000 + p % 900 AS {s}) WHEN 21 THEN 'DESIGN PRESSURE: FV / ' || CAST(200 + p % 90 AS {s}) || ' barg' WHEN 22 THEN 'OPERATING PRESSURE ' || CAST(40 + p % 90 AS {s}) || ' psig'
+ WHEN 23 THEN 'DESIGN TEMPERATURE -29 / ' || CAST(150 + p % 90 AS {s}) || ' C' WHEN 24 THEN 'MATERIAL: SS' || CAST(304 + p % 20 AS {s})
+ WHEN 25 THEN CASE WHEN n % 3 = 0 THEN 'VENDOR: MAN ENERGY SOLUTIONS' WHEN n % 3 = 1 THEN '* VENDOR SCOPE OF SUPPLY' ELSE 'MFR = Sulzer' END WHEN 26 THEN 'QTY ' || CAST(1 + p % 3 AS {s}) || 'x100%'
+ WHEN 27 THEN 'SERVICE: GAS ' || CAST(p % 7 AS {s}) WHEN 28 THEN CASE WHEN n % 2 = 0 THEN 'TYPE: CENTRIFUGAL' ELSE 'TYPE: (SEE LIST)' END WHEN 29 THEN CAST(2 + p % 3 AS {s}) || '"x' || CAST(3 + p % 3 AS {s}) || '" 300#' || CASE WHEN n % 2 = 0 THEN ' 150#' ELSE '' END
+ WHEN 30 THEN 'LIT-' || CAST(70000 + p % 40 AS {s}) WHEN 31 THEN 'XV-' || CAST(70100 + p % 30 AS {s})
+ WHEN 32 THEN 'Drawing no: AB-' || CAST(12000 + p % 700 AS {s}) || '-C' ELSE 'rev ' || CAST(n AS {s}) END"""
+#: Kinds of items; those of 30 and 31 lie far aside, so that nothing is near them.
+_KINDS = 34
+#: The detector's name for a box by kind.
+_SYMBOLS = "CASE kind % 8 WHEN 0 THEN 'PSV' WHEN 1 THEN ' gate_valve' WHEN 2 THEN 'BIG PUMP HOUSE' WHEN 3 THEN 'VALVE' WHEN 4 THEN 'INST_BUBBLE' WHEN 5 THEN 'motor' WHEN 6 THEN 'FLANGE 300' ELSE 'class_' || CAST(kind AS {s}) END"
 
 
 def ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,17 +41,18 @@ def ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         idx.cast("long").alias("item_idx"),
         F.col("l_partkey").alias("p"),
         F.col("l_linenumber").cast("long").alias("n"),
-        ((F.col("l_partkey") + F.col("l_linenumber")) % 16).cast("int").alias("kind"),
+        ((F.col("l_partkey") + F.col("l_linenumber")) % _KINDS).cast("int").alias("kind"),
         (F.lit(1.0) - F.col("l_tax") * 12).alias("confidence"),
         (((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 10007).cast("double") / 10007).alias("center_x"),
         (((F.col("l_partkey") * 1299709 + F.col("l_linenumber") * F.lit(15485863).cast("long") + F.col("l_orderkey") * 31) % 10009).cast("double") / 10009).alias("center_y"),
     )
-    return base.select("drawing_id", "item_idx", "kind", F.expr(_TEXTS.format(s="string")).alias("text"), "confidence", "center_x", "center_y", "p", "n")
+    aside = F.when(F.col("kind").isin(30, 31), 3.0).otherwise(0.0)
+    return base.select("drawing_id", "item_idx", "kind", F.expr(_TEXTS.format(s="string")).alias("text"), "confidence", (F.col("center_x") + aside).alias("center_x"), (F.col("center_y") + aside).alias("center_y"), "p", "n")
 
 
-OCR_ITEMS = f"""ocr_items AS (SELECT drawing_id, item_idx, kind, {_TEXTS.format(s="VARCHAR")} AS text, confidence, center_x, center_y, p, n FROM (
+OCR_ITEMS = f"""ocr_items AS (SELECT drawing_id, item_idx, kind, {_TEXTS.format(s="VARCHAR")} AS text, confidence, center_x + CASE WHEN kind IN (30, 31) THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END center_x, center_y + CASE WHEN kind IN (30, 31) THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END center_y, p, n FROM (
  SELECT l_suppkey drawing_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS item_idx, l_partkey p, l_linenumber::BIGINT n,
-  ((l_partkey + l_linenumber) % 16)::INTEGER kind, 1.0::DOUBLE - l_tax * 12 confidence,
+  ((l_partkey + l_linenumber) % {_KINDS})::INTEGER kind, 1.0::DOUBLE - l_tax * 12 confidence,
   ((l_orderkey * 7919 + l_linenumber::BIGINT * 104729) % 10007)::DOUBLE / 10007 center_x,
   ((l_partkey * 1299709 + l_linenumber::BIGINT * 15485863 + l_orderkey * 31) % 10009)::DOUBLE / 10009 center_y FROM lineitem))"""
 
@@ -72,9 +85,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
     q = l.select(F.col("l_suppkey").alias("q_drawing"), idx.cast("long").alias("q_idx"), (F.col("l_quantity") / 1000).alias("side"))
     return o.join(q, (F.col("drawing_id") == F.col("q_drawing")) & (F.col("item_idx") == F.col("q_idx"))).select(
-        "drawing_id", F.col("item_idx").alias("box_idx"), F.format_string("class_%d", "kind").alias("symbol_type"), "text", "confidence", F.col("center_y").alias("ymin"), F.col("center_x").alias("xmin"), (F.col("center_y") + F.col("side")).alias("ymax"), (F.col("center_x") + F.col("side")).alias("xmax")
+        "drawing_id", F.col("item_idx").alias("box_idx"), F.expr(_SYMBOLS.format(s="string")).alias("symbol_type"), "text", "confidence", F.col("center_y").alias("ymin"), F.col("center_x").alias("xmin"), (F.col("center_y") + F.col("side")).alias("ymax"), (F.col("center_x") + F.col("side")).alias("xmax")
     )
 
 
-BOXES = """sides AS (SELECT l_suppkey drawing_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS item_idx, l_quantity / 1000 side FROM lineitem),
-boxes AS (SELECT drawing_id, item_idx box_idx, 'class_' || kind symbol_type, text, confidence, center_y ymin, center_x xmin, center_y + side ymax, center_x + side xmax FROM ocr_items JOIN sides USING (drawing_id, item_idx))"""
+BOXES = f"""sides AS (SELECT l_suppkey drawing_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS item_idx, l_quantity / 1000 side FROM lineitem),
+boxes AS (SELECT drawing_id, item_idx box_idx, {_SYMBOLS.format(s="VARCHAR")} symbol_type, text, confidence, center_y ymin, center_x xmin, center_y + side ymax, center_x + side xmax FROM ocr_items JOIN sides USING (drawing_id, item_idx))"""

@@ -82,8 +82,29 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_ONCE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, inputs: list[str], name: str, build):
+    """build() once a session for these input files as they are now; later calls get the same staged tables.
+
+    The key holds the files' lengths and times, so a changed input is read again. `release` forgets all.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for f in inputs:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        seen.append((f, s.getLen(), s.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, *seen)
+    if key not in _ONCE:
+        _ONCE[key] = build()
+    return _ONCE[key]
+
+
 def release() -> None:
     """Delete every staged table. For the end of a job step: DataFrames built on them can't be read any more."""
+    _ONCE.clear()
     while _STAGED:
         drop_path(*_STAGED.pop())
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import normalize as N
-from tagloom.operators import attributes, classify, dedup, documents, entities, pages, relations, spatial, symbols, validation
+from tagloom.operators import attributes, classify, dedup, documents, entities, neighbours, pages, relations, spatial, symbols, validation
 
 ITEM = "drawing_id long, item_idx long, text string, confidence double, center_x double, center_y double, tag string"
 
@@ -119,21 +119,26 @@ def points(rnd, n, drawing, cls):
     return [(drawing, f"{cls}{i}", i, rnd.choice([rnd.random(), 0.25, 0.5]), rnd.choice([rnd.random(), 0.25])) for i in range(n)]
 
 
-@pytest.mark.parametrize("radius", [0.05, 0.45])
-def test_nearest_equals_brute_force_on_every_grid(spark, monkeypatch, radius):
-    monkeypatch.setattr(spatial, "CELL", 4)  # a small cell, so that the search runs over several levels
+@pytest.mark.parametrize("square", [False, True])
+@pytest.mark.parametrize("cell", [4, 2048])
+def test_neighbours_equal_brute_force(spark, monkeypatch, square, cell):
+    monkeypatch.setattr(neighbours, "CELL", cell)  # few, so that the search goes down a tree, or so many that arrays do
+    monkeypatch.setattr(neighbours, "LEAF", 2)
     rnd = random.Random(6)
     asked, cand = [], []
     for d, n in ((1, 300), (2, 3), (3, 40)):
         asked += points(rnd, 60, d, "a")
-        cand += points(rnd, n, d, "c")
-    asked += [(9, "lonely", 1, 0.1, 0.1), (1, "nowhere", 2, None, 0.5)]
+        cand += points(rnd, n, d, "c") + [(d, f"k{i}", i, 0.5 + rnd.gauss(0, 1e-4), 0.5 + rnd.gauss(0, 1e-4)) for i in range(n)]
+    asked += [(9, "lonely", 1, 0.1, 0.1), (1, "nowhere", 2, None, 0.5), (1, "nowhere", 2, None, 0.5)]
     s = "drawing_id long, tag string, ord long, x double, y double"
-    got = {(r.drawing_id, r.tag): r.near for r in spatial.nearest(spark.createDataFrame(asked, s), spark.createDataFrame(cand, s), radius, "near").collect()}
-    for d, t, _, x, y in asked:
-        best = min((((x - c[3]) ** 2 + (y - c[4]) ** 2, c[2], c[1]) for c in cand if c[0] == d), default=None) if x is not None else None
-        assert got[d, t] == (best[2] if best and best[0] ** 0.5 < radius else None), (d, t)
-    assert spatial.nearest(spark.createDataFrame(asked, s), spark.createDataFrame([], s), radius, "near").where("near is not null").count() == 0
+    a, c = spark.createDataFrame(asked, s), spark.createDataFrame(cand, s)
+    d2 = (lambda x, y: max(abs(x), abs(y))) if square else (lambda x, y: (x * x + y * y) ** 0.5)
+    reach = lambda d, x, y: [(d2(x - k[3], y - k[4]), k[2], k[1]) for k in cand if k[0] == d and d2(x - k[3], y - k[4]) < 0.3] if x is not None else []
+    got = sorted((r.drawing_id, r.tag, r.near or "") for r in neighbours.nearest(a, c, 0.3, "near", square=square).collect())
+    assert got == sorted((d, t, min(reach(d, x, y), default=("", "", ""))[2]) for d, t, _, x, y in asked)
+    got = sorted((r.drawing_id, r.tag, r.near or "") for r in neighbours.first_within(a, c, 0.3, "near", square=square).collect())
+    assert got == sorted((d, t, min((k[1:] for k in reach(d, x, y)), default=("", ""))[1]) for d, t, _, x, y in asked)
+    assert neighbours.nearest(a, c.limit(0), 0.3, "near").where("near is not null").count() == 0
 
 
 def rels(spark, *rows):
@@ -183,7 +188,7 @@ def test_relief_valves_and_twins(spark):
 def test_off_page_callout_takes_the_near_line(spark):
     i = items(spark, [('8"-PV-26-9035-FC11S-08', 0.9, 0.11, 0.11), ('6"-PV-26-9036-FC11S-08', 0.9, 0.85, 0.85), ("FROM 27-PIT-0001B UNIT", 0.9, 0.10, 0.10)])
     e = classify.classify(i).where("tag <> '27-PIT-0001B'")
-    e = e.unionByName(e.limit(1).withColumns({"tag": F.lit("FROM 27-PIT-0001B UNIT"), "classification": F.lit("NOTE"), "x": F.lit(0.1), "y": F.lit(0.1), "ord": F.lit(2**60)}))
+    e = e.unionByName(e.limit(1).withColumns({"tag": F.lit("FROM 27-PIT-0001B UNIT"), "classification": F.lit("NOTE"), "x": F.lit(0.1), "y": F.lit(0.1)}))
     got = {r.tag: r.from_node for r in entities.lines(e, rels(spark).limit(0)).collect()}
     assert got['8"-PV-26-9035-FC11S-08'].startswith("27-PIT-0001B") and got['6"-PV-26-9036-FC11S-08'] is None
 
@@ -230,7 +235,7 @@ def brute_nms(rows, thr):
         return h * w / j if j > 0 else 0
 
     kept = []
-    for r in sorted(rows, key=lambda r: (-r[3], r[1])):
+    for r in sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[1])):
         if not any(k[0] == r[0] and k[2] == r[2] and iou(k, r) > thr for k in kept):
             kept.append(r)
     return sorted(k[1] for k in kept)
@@ -242,7 +247,8 @@ def test_suppression_equals_the_greedy_pass(spark, small):
     rows = []
     for i in range(400):
         y, x, s = rnd.choice([rnd.random(), 0.5]), rnd.choice([rnd.random() * 0.2, 0.1]), rnd.choice([0.05, 0.1])
-        rows.append((rnd.randint(1, 2), i, rnd.choice("ab"), rnd.choice([0.5, 0.9, rnd.random()]), y, x, y + s, x + s))
+        rows.append((rnd.randint(1, 2), i, rnd.choice("ab"), rnd.choice([0.5, 0.9, rnd.random(), None]), y, x, y + s, x + s))
+    rows += [(1, 400, "a", 0.5, 0.5, 0.5, 0.5, 0.6), (1, 401, "a", 0.9, 0.1, 0.1, 0.1, 0.1)]  # no area
     df = spark.createDataFrame(rows, "drawing_id long, box_idx long, symbol_type string, confidence double, ymin double, xmin double, ymax double, xmax double")
     assert sorted(r.box_idx for r in symbols.suppress(df, 0.3, small=small).collect()) == brute_nms(rows, 0.3)
     assert symbols.suppress(df.limit(0)).count() == 0
@@ -263,10 +269,25 @@ def test_kinds(spark):
     df = spark.createDataFrame(d, "drawing_id long, item_idx long, text string, confidence double")
     got = {r.drawing_id: r.drawing_type for r in documents.kinds(documents.chained(df)).collect()}
     assert got == {1: "SLD", 2: "PID"}
+    blanks = spark.createDataFrame([(1, i, t, 0.9) for i, t in enumerate(["PIPING", " ", "\n ", " ", "INSTRUMENTATION"])] + [(2, i, t, 0.9) for i, t in enumerate(["heat", " ", "duty", "stream"])] + [(3, i, t, 0.9) for i, t in enumerate(["heat", "duty", "stream"])], "drawing_id long, item_idx long, text string, confidence double")
+    got = {r.drawing_id: (r.drawing_type, r.score) for r in documents.kinds(documents.chained(blanks)).collect()}
+    assert got[1][0] == "PID" and (got[2][1], got[3][1]) == (5, 9)  # as in the whole text, where the blanks between stand
     t = spark.createDataFrame([(1, "P&ID of unit 26", "earthing"), (2, None, "hello")], "doc_id long, title string, text string")
     assert {r.doc_id: r.drawing_type for r in documents.kinds(t, "doc_id", title="title").collect()} == {1: "PID", 2: "GENERIC"}
     b = spark.createDataFrame([(1, 0, "DWG NO: AB-12345-C"), (1, 1, "REV B"), (1, 2, "DRAWING DOC-998877")], "drawing_id long, item_idx long, text string")
     assert tuple(documents.title_block(b).first())[1:] == ("DRAWING", "REV B")
+    b = spark.createDataFrame([(1, 0, "Drawing no: AB-12345-C")], "drawing_id long, item_idx long, text string")
+    assert documents.title_block(b).first().drawing_number == "AB-12345-C"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chained_texts_hold_what_the_whole_text_does(spark, seed):
+    rnd = random.Random(seed)
+    pool = ["PIPING", "AND", "INSTRUMENTATION", " ", "  ", "P", "&", "I", "D", "SINGLE", "LINE", "DIAGRAM", "heat", "duty", "fault level", "x", "CABLE", "TRAY", "distribution", "board"]
+    texts = {d: [rnd.choice(pool) for _ in range(rnd.randint(1, 12))] for d in range(40)}
+    df = spark.createDataFrame([(d, i, t, 0.9) for d, ts in texts.items() for i, t in enumerate(ts)], "drawing_id long, item_idx long, text string, confidence double")
+    whole = spark.createDataFrame([(d, " ".join(ts)) for d, ts in texts.items() if any(t.strip() for t in ts)], "drawing_id long, text string")
+    assert sorted(map(tuple, documents.kinds(documents.chained(df)).collect())) == sorted(map(tuple, documents.kinds(whole).collect()))
 
 
 def test_datasheet_column_of_blocks(spark):
@@ -292,3 +313,13 @@ def test_state(spark):
 def test_overlay_fills_only_what_is_empty(spark):
     df = spark.createDataFrame([({"a": "1", "b": ""}, {"a": "9", "b": "2", "c": "3"}), (None, None)], "o map<string,string>, n map<string,string>")
     assert [r[0] for r in df.select(attributes.overlay(F.col("o"), F.col("n"))).collect()] == [{"a": "1", "b": "2", "c": "3"}, {}]
+
+
+def test_many_matches_in_one_text_keep_their_order(spark):
+    """The place of a match has no bound: the first of equals is the first of the text, however long it is."""
+    text = " ".join(f"26-KA-{i:04d}" for i in range(20_000))
+    got = classify.classify(items(spark, [text])).where("classification = 'EQUIPMENT_TAG' and seq.rank = 3").orderBy("ord").select("tag").collect()
+    assert [r.tag for r in got] == [f"26-KA-{i:04d}" for i in range(20_000)]
+    far = items(spark, ["26-KA-901"]).withColumn("item_idx", F.lit(2**40))
+    near = items(spark, ["PIT-9087"])
+    assert [r.tag for r in classify.classify(far.unionByName(near)).where("classification <> 'NOTE'").orderBy("ord").collect()] == ["26-KA-901", "PIT-9087"]

@@ -65,6 +65,8 @@ def test_unit_of_last_resort(spark):
         (3, 1, "pump, relief valve set at 225 barg", "10", None, "", "-", "x"),
         (4, None, None, "10", "20 C", "5 kg/h", None, "x"),
         (5, 1, None, None, None, None, None, "x"),
+        (6, 2, "Duty hp cooler", None, None, None, "7134", "x"),
+        (7, 2, "duty hp, hp cooler", None, None, None, "100", "x"),
     ]
     df = spark.createDataFrame(items, "item_id long, source_id int, description string, design_pressure string, design_temperature string, flow_rate string, duty string, pressure_unit string")
     src = spark.createDataFrame([(1, "kPag", "degC", "m3/h", "hp"), (2, "psig", "degC", "kg/h", "kW")], "source_id int, pressure_unit string, temperature_unit string, flow_unit string, duty_unit string")
@@ -73,6 +75,7 @@ def test_unit_of_last_resort(spark):
         (1, "design_pressure"): ("pressure", 10), (1, "design_temperature"): ("temperature", 20), (1, "flow_rate"): ("volume_flow", 30), (1, "duty"): ("duty", 30),
         (2, "design_pressure"): ("pressure", 1000), (2, "design_temperature"): ("temperature", 10), (2, "flow_rate"): ("mass_flow", 907), (2, "duty"): ("duty", 1500),
         (3, "design_pressure"): ("pressure", 10), (4, "design_temperature"): ("temperature", 20), (4, "flow_rate"): ("mass_flow", 5),
+        (6, "duty"): ("duty", 7134), (7, "duty"): ("duty", 75),
     }
     assert U.normalise(df.limit(0), src).count() == 0
 
