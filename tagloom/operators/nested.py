@@ -4,8 +4,13 @@ A bottom-up tree automaton runs over each parsed text: a leaf's state is its typ
 set of its elements' states, an object's the sorted list of its (key, state) pairs. Two objects
 have the same shape exactly if they end in the same state, so the state names the structural
 variant. Every object that is an array element becomes one row of the supertype table (its owner,
-path, parent link and variant), on demand also the text's outermost value; `subtype` then reads the
-rows of one variant as a typed table. Together the subtype tables hold every value of the texts.
+path, parent link and variant), on demand also the text's outermost value.
+
+Each variant is routed to a typed subtype table. Variants of one array path share a table as long
+as their fields agree in type where both have them: a field that is absent, null or told as a
+whole number beside fractions makes a variant of its own but no table of its own, so the tables
+follow the schema, not the number of rows. Fields that can't agree part the tables. Together the
+subtype tables hold every value of the texts, and their rows point to each other by parent_path.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.session import drop_path, ship, stage_path
+from tagloom.session import drop_path, ship, stage
 
 LINKS = ["json_column", "parent_path", "child_path", "array_path", "variant"]
 SUPERTYPE = "json_column string, parent_path string, child_path string, array_path string, variant string, shape string, body string, fields string"
@@ -62,9 +67,15 @@ def _inside(value):
     return value
 
 
-_LEAF = {type(None): "null", bool: "bool", int: "long", float: "double", str: "string"}
-_TYPE = {"null": None, "bool": "boolean", "long": "bigint", "double": "double", "string": "string"}
-_LONG = 2**63
+_LEAF = {type(None): "null", bool: "boolean", float: "double", str: "string"}
+_LONG, _EXACT = 2**63, 2**53
+
+
+def _leaf(x) -> str:
+    """A plain value's type; whole numbers are `bigint`, `wide` if a double can't hold them, `integer` beyond 64 bits."""
+    if type(x) is int:
+        return "bigint" if -_EXACT <= x <= _EXACT else "wide" if -_LONG <= x < _LONG else "integer"
+    return _LEAF[type(x)]
 
 
 class Automaton:
@@ -83,7 +94,7 @@ class Automaton:
             s = self.states[transition] = hashlib.blake2b(transition.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
         return s
 
-    def rows(self, value, with_body: bool, with_root: bool = False, taken: frozenset[str] = frozenset()) -> Iterator[tuple]:
+    def rows(self, value, with_body: bool, with_root: bool = False, with_fields: bool = False, taken: frozenset[str] = frozenset()) -> Iterator[tuple]:
         """(parent_path, child_path, array_path, variant, shape, body, fields) of each object in an array, children first; with_root, of the outermost value last."""
         # A frame: value, path, pattern, element?, enclosing object's path, parts so far, iterator over children
         out = []
@@ -100,29 +111,25 @@ class Automaton:
                     e = isinstance(v, list) and isinstance(child, dict)
                     stack.append((child, cpath, cpattern, e, path if element else owner, [], _children(child, cpath, cpattern), parts, k))
                     break
-                t = type(child)
-                parts.append((k, _LEAF[t] if t is not int or -_LONG <= child < _LONG else "integer"))
+                parts.append((k, _leaf(child)))
             else:
                 stack.pop()
                 if isinstance(v, list):
-                    kinds = {p for _, p in parts}
-                    if "long" in kinds and "double" in kinds and _wide(v):
-                        kinds.add("wide")
-                    shape = "[" + ",".join(sorted(kinds)) + "]"
+                    shape = "[" + ",".join(sorted({p for _, p in parts})) + "]"
                 else:
                     shape = "{" + ",".join(f"{json.dumps(k)}:{p}" for k, p in sorted(parts)) + "}"
                 s = self.state(shape)
                 root = with_root and up is top
                 if element or root:
-                    body, fields = self._content(v, s, taken) if with_body else (None, None)
+                    body, fields = self._content(v, s, taken, with_body) if with_body or with_fields else (None, None)
                     out.append((None if root else owner, path, pattern, s, shape, body, fields))
                 up.append((key, s)) if up is not top else None
         return iter(out)
 
-    def _content(self, v, s: str, taken: frozenset[str]) -> tuple[str, str]:
+    def _content(self, v, s: str, taken: frozenset[str], with_body: bool) -> tuple[str | None, str]:
         """The body and its fields: column -> type. The columns are the same for all values of a state."""
-        own = _own(v)
         known = self.columns.get(s)
+        own = _own(v) if with_body or known is None else {}
         if known is None:
             if len(self.columns) >= self.keep:
                 self.columns.clear()
@@ -135,7 +142,7 @@ class Automaton:
                 names[name] = column
             known = self.columns[s] = names, json.dumps({c: own[n][0] for n, c in names.items()}, ensure_ascii=False)
         names, fields = known
-        return json.dumps({c: own[n][1] for n, c in names.items()}, ensure_ascii=False), fields
+        return json.dumps({c: own[n][1] for n, c in names.items()}, ensure_ascii=False) if with_body else None, fields
 
 
 def _own(v) -> dict[str, tuple[str, object]]:
@@ -160,10 +167,9 @@ def _own(v) -> dict[str, tuple[str, object]]:
                 todo.append((f"{name}.", x))
             elif isinstance(x, list):
                 _add_array(out, name, x)
-            elif type(x) is int and not -_LONG <= x < _LONG:
-                out[name] = "string", str(x)
             else:
-                out[name] = _TYPE[_LEAF[type(x)]] or "string", x
+                kind = _leaf(x)
+                out[name] = ("string", str(x)) if kind == "integer" else (kind, x)
     return out
 
 
@@ -176,7 +182,7 @@ def _add_array(out: dict, name: str, v: list) -> None:
         out[name] = "string", _text(v)
     else:
         depth, leaf = kind
-        out[name] = "array<" * depth + (leaf or "string") + ">" * depth, _read(inner)
+        out[name] = "array<" * depth + (leaf or "null") + ">" * depth, _read(inner)
 
 
 def _array_type(v: list, depth: int = 1) -> tuple[int, str | None] | None:
@@ -195,7 +201,7 @@ def _array_type(v: list, depth: int = 1) -> tuple[int, str | None] | None:
                 return None
             below.add(t)
         elif x is not None:
-            plain.add(_LEAF[type(x)])
+            plain.add(_leaf(x))
     if below:
         # An empty array, or one of nulls, agrees with every array that is no less deep.
         deepest = max(d for d, _ in below)
@@ -203,14 +209,18 @@ def _array_type(v: list, depth: int = 1) -> tuple[int, str | None] | None:
         if plain or len(full) > 1 or full and next(iter(full))[0] < deepest:
             return None
         return deepest + 1 if not full else next(iter(full))[0] + 1, next(iter(full))[1] if full else None
-    if plain == {"long", "double"}:
-        return None if _wide(v) else (1, "double")
-    return None if len(plain) > 1 else (1, _TYPE[plain.pop()] if plain else None)
+    if len(plain) > 1:
+        joint = _agree(plain)
+        return (1, joint) if joint else None
+    return 1, plain.pop() if plain else None
 
 
-def _wide(v: list) -> bool:
-    """Whether an array holds a whole number that a double can't."""
-    return any(type(x) is int and not -(2**53) <= x <= 2**53 for x in v)
+def _agree(kinds: set[str]) -> str | None:
+    """The type that holds the values of all these plain types exactly, null if there is none."""
+    kinds = kinds - {"null"}
+    if len(kinds) <= 1:
+        return next(iter(kinds), "null")
+    return {frozenset(("bigint", "wide")): "wide", frozenset(("bigint", "double")): "double"}.get(frozenset(kinds))
 
 
 def _read(v: list) -> list:
@@ -257,14 +267,14 @@ def _children(v, path: str, pattern: str):
             yield k, x, f"{path}.{k}" if path else k, f"{pattern}.{k}" if pattern else k
 
 
-def shred(df: DataFrame, keys: list[str], json_columns: list[str], with_body: bool = False, with_root: bool = False) -> DataFrame:
+def shred(df: DataFrame, keys: list[str], json_columns: list[str], with_body: bool = False, with_root: bool = False, with_fields: bool = False) -> DataFrame:
     """The supertype table: one row per JSON object that is an array element, at any depth.
 
     Columns: the keys, then json_column, parent_path ('' at the top), child_path, array_path (the
     child path with every position left open), variant (the automaton's state), shape (its
     transition: own keys with their types or states), body (as JSON, all that lies in the object and
     in no object with a row of its own) and fields (the body's columns with their types; both only
-    with_body, see `subtype`). with_root adds a row for the outermost object or array of each text:
+    with_body, fields also with_fields, see `subtype`). with_root adds a row for the outermost object or array of each text:
     its child_path is '', its parent_path null, its body what no array element holds.
     Strings that hold an object or array are read as if written in place. Null, empty and invalid
     texts give no rows; of a key told twice in one object the last counts; an empty table gives
@@ -300,7 +310,7 @@ def shred(df: DataFrame, keys: list[str], json_columns: list[str], with_body: bo
                         value = parse(text)
                     except ValueError:
                         continue
-                    for row in auto.rows(value, with_body, with_root, taken):
+                    for row in auto.rows(value, with_body, with_root, with_fields, taken):
                         own.append(i)
                         cols[0].append(name)
                         for c, x in zip(cols[1:], row):
@@ -347,29 +357,92 @@ def _typed(at: DataFrame, base: list[str], fields: str) -> DataFrame:
 def _type(t: str) -> T.DataType:
     if t.startswith("array<"):
         return T.ArrayType(_type(t[6:-1]))
-    return {"boolean": T.BooleanType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}[t]
+    return {"boolean": T.BooleanType(), "bigint": T.LongType(), "wide": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "null": T.StringType()}[t]
+
+
+def _parted(kinds: set[str]) -> dict[str, str]:
+    """Each of a field's types -> the type of its column; types that can't agree get columns in different tables."""
+    plain = {k for k in kinds if not k.startswith("array<")}
+    out = {k: k for k in plain}
+    for pair in ({"bigint", "wide"}, {"bigint", "double"}):
+        # Whole numbers join fractions unless one of them is too wide for that.
+        if pair <= plain and (pair == {"bigint", "wide"} or "wide" not in plain):
+            out |= {k: _agree(pair) for k in pair}
+    shapes = {k: (d, k[6 * d : len(k) - d]) for k in kinds - plain for d in (k.count("array<"),)}
+    deep: dict[int, set[str]] = {}
+    for d, leaf in shapes.values():
+        if leaf != "null":
+            deep.setdefault(d, set()).add(leaf)
+    for k, (d, leaf) in shapes.items():
+        if leaf == "null":  # empty, or nulls only: goes with any array no less deep
+            full = sorted((e, x) for e, leaves in deep.items() if e >= d for x in leaves)
+            e, x = full[0] if full else (max(e for e, _ in shapes.values()), "null")
+        else:
+            e, x = d, leaf
+        x = _parted(deep[e])[x] if e in deep and x in deep[e] else x
+        out[k] = "array<" * e + x + ">" * e
+    real = [v for k, v in out.items() if k != "null"]
+    if "null" in out and real:
+        out["null"] = min(real)
+    return out
+
+
+def routes(objects: DataFrame) -> tuple[DataFrame, dict[str, dict[str, str]]]:
+    """Where each variant goes: json_column, array_path, variant, subtype; and each subtype's columns with types.
+
+    `objects` must have been made with_body or with_fields. Only the fields' names and types by
+    array path are gathered at the driver: they follow the schema of the texts.
+    """
+    spark = objects.sparkSession
+    place = ["json_column", "array_path"]
+    states = stage(objects.groupBy(*place, "variant").agg(F.min("fields").alias("fields")).withColumn("f", F.map_entries(F.from_json("fields", "map<string,string>"))), "states")
+    told = states.select(*place, F.explode_outer("f").alias("e")).select(*place, F.col("e.key").alias("name"), F.col("e.value").alias("kind")).distinct().collect()
+    kinds: dict[tuple, dict[str, dict[str, set[str]]]] = {}
+    for r in told:
+        names = kinds.setdefault((r.json_column, r.array_path), {})
+        if r.name is not None:
+            names.setdefault(r.name.lower(), {}).setdefault(r.name, set()).add(r.kind)
+    classes, columns = [], {}
+    for (c, path), names in kinds.items():
+        for spelt in names.values():
+            parts = {name: _parted(k) for name, k in spelt.items()}
+            apart = len({(name, t) for name, p in parts.items() for t in p.values()}) > 1
+            classes += [(c, path, name, k, t, apart) for name, p in parts.items() for k, t in p.items()]
+    known = spark.createDataFrame(classes, "json_column string, array_path string, name string, kind string, type string, apart boolean")
+    each = states.select(*place, "variant", F.explode_outer("f").alias("e")).select(*place, "variant", F.col("e.key").alias("name"), F.col("e.value").alias("kind")).join(known, [*place, "name", "kind"], "left")
+    mark = F.concat_ws("\x00", "json_column", "array_path", F.array_join(F.array_sort(F.collect_list(F.when(F.col("apart"), F.concat_ws("\x01", "name", "type")))), "\x02"))
+    routed = each.groupBy(*place, "variant").agg(F.concat(F.lit("t"), F.substring(F.sha2(mark, 256), 1, 16)).alias("subtype"))
+    routed = stage(routed, "routes")
+    for r in each.join(routed, [*place, "variant"]).select("subtype", "name", "type").distinct().collect():
+        own = columns.setdefault(r.subtype, {})
+        if r.name is not None:
+            own[r.name] = r.type
+    return routed, {t: dict(sorted(own.items())) for t, own in sorted(columns.items())}
+
+
+def routed(objects: DataFrame, where: DataFrame) -> DataFrame:
+    """The supertype rows with the subtype that their variant is routed to."""
+    return objects.join(where, ["json_column", "array_path", "variant"])
 
 
 def write_subtypes(objects: DataFrame, path: str) -> dict[str, str]:
     """Write the typed tables below path, each to its folder `subtype=...`; gives each one's fields. What was at path goes.
 
-    Variants that agree in all fields and differ only in objects below share a table; its column
-    `variant` tells them apart. A write has one schema, so tables whose columns don't clash in type
-    or case are written together, at most 400 columns at a time, and each file also has the empty
-    columns of its fellows: `read_subtype` gives a table's own. The driver holds the tables' fields.
+    The column `variant` keeps a row's shape. A write has one schema, so tables whose columns don't
+    clash in type or case are written together, at most 400 columns at a time, and each file also
+    has the empty columns of its fellows: `read_subtype` gives a table's own.
     """
     spark = objects.sparkSession
     base = [*objects.columns[: objects.columns.index("json_column")], *LINKS]
-    name = F.concat(F.lit("t"), F.substring(F.sha2("fields", 256), 1, 16))
-    routed = stage_path(spark, "subtypes")
-    objects.withColumn("subtype", name).write.parquet(routed)
-    rows = spark.read.parquet(routed)
-    known = {r["subtype"]: r["fields"] for r in rows.groupBy("subtype").agg(F.min("fields").alias("fields")).orderBy("subtype").collect()}
+    objects = stage(objects, "objects")  # parsed once
+    where, columns = routes(objects)
+    known = {t: json.dumps(own, ensure_ascii=False) for t, own in columns.items()}
+    rows = routed(objects, where)
     drop_path(spark, path)
-    for columns, tables in _fellows(known):
-        part = rows.where(F.col("subtype").isin(tables)).hint("rebalance", "subtype")
+    groups = _fellows(known)
+    for columns, tables in groups:
+        part = (rows if len(groups) == 1 else rows.where(F.col("subtype").isin(tables))).hint("rebalance", "subtype")
         _typed(part, [*base, "subtype"], json.dumps(columns)).write.mode("append").partitionBy("subtype").parquet(path)
-    drop_path(spark, routed)
     return known
 
 

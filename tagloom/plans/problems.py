@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.tags import tag_key, tag_key_sql
 from tagloom.operators import hierarchy, nested, references, units
-from tagloom.session import stage_path, table
+from tagloom.session import once, stage, stage_path, table
 
 
 def p1_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.shred(table(spark, sf_dir, "threads"), ["thread_id"], ["config_json", "result_json"])
+    return nested.shred(table(spark, sf_dir, "threads"), ["thread_id"], ["config_json", "result_json"], with_fields=True)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per JSON object that is an array element anywhere in a thread's two JSON texts."""
-    return p1_objects(spark, sf_dir).select("thread_id", "json_column", "parent_path", "child_path").distinct()
+    """One row per JSON object that is an array element anywhere in a thread's two JSON texts: the rows that are routed to a typed subtype table, by their common keys and parent link."""
+    objects = stage(p1_objects(spark, sf_dir), "objects")
+    where, _ = nested.routes(objects)
+    return nested.routed(objects, where).select("thread_id", "json_column", "parent_path", "child_path").distinct()
 
 
 def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,17 +26,36 @@ def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.variants(p1_objects(spark, sf_dir))
 
 
-def p1_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Builds the typed tables of all variants over all threads, outermost objects included, and counts their rows by array path.
+def _typed_tables(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str]]:
+    """The folder of the typed subtype tables of all threads, outermost objects included, and their fields; written once a session.
 
     A thread's states are told apart by ingested_at; a row told twice counts once.
     """
-    told = table(spark, sf_dir, "threads").select("thread_id", "ingested_at", "config_json", "result_json").distinct()
-    path = stage_path(spark, "typed")
-    fields = nested.write_subtypes(nested.shred(told, ["thread_id", "ingested_at"], ["config_json", "result_json"], with_body=True, with_root=True), path)
+
+    def build() -> tuple[str, dict[str, str]]:
+        told = table(spark, sf_dir, "threads").select("thread_id", "ingested_at", "config_json", "result_json").distinct()
+        path = stage_path(spark, "typed")
+        return path, nested.write_subtypes(nested.shred(told, ["thread_id", "ingested_at"], ["config_json", "result_json"], with_body=True, with_root=True), path)
+
+    return once(spark, [f"{sf_dir}/threads.parquet"], "typed", build)
+
+
+def p1_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed subtype tables over all threads: their fields, rows and the variants routed to each."""
+    path, fields = _typed_tables(spark, sf_dir)
     named = spark.createDataFrame(list(fields.items()), "subtype string, fields string")
     tables = spark.read.schema("json_column string, array_path string, variant string, subtype string").parquet(path)
-    return tables.groupBy("json_column", "array_path", "variant", "subtype").agg(F.count(F.lit(1)).alias("n_objects")).join(named, "subtype").select("json_column", "array_path", "variant", "subtype", "fields", "n_objects")
+    counts = tables.groupBy("json_column", "array_path", "subtype").agg(F.count(F.lit(1)).alias("n_objects"), F.count_distinct("variant").alias("n_variants"))
+    return counts.join(named, "subtype").select("json_column", "array_path", "subtype", "fields", "n_objects", "n_variants")
+
+
+def p1_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects below each object, over all typed tables: every row finds the row that encloses it by the parent link."""
+    path, _ = _typed_tables(spark, sf_dir)
+    rows = spark.read.schema("thread_id string, json_column string, parent_path string, child_path string").parquet(path).distinct()
+    kids = rows.where("parent_path is not null")
+    above = rows.select("thread_id", "json_column", F.col("child_path").alias("parent_path")).distinct()
+    return kids.join(above, ["thread_id", "json_column", "parent_path"]).groupBy("thread_id", "json_column", "parent_path").agg(F.count(F.lit(1)).alias("n_children"))
 
 
 def _key(c: str) -> Column:
@@ -91,7 +112,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.normalise(table(spark, sf_dir, "equipment_items"), table(spark, sf_dir, "extraction_sources"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_subtypes, p2_found, p2_report, p4_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_subtypes, p1_children, p2_found, p2_report, p4_found, p6_found)}
 
 _P2 = f"""
 WITH parents AS (
@@ -111,8 +132,7 @@ judged AS (
 found AS (SELECT ref_table, ref_field, item_id, CASE WHEN n = 0 THEN 'missing' WHEN NOT there THEN 'late' ELSE 'deleted' END ref_state, period FROM judged WHERE NOT fine)
 """
 
-ORACLES = {
-    "p1_found": """
+_P1 = """
 WITH RECURSIVE src AS (
   SELECT DISTINCT thread_id, 'config_json' json_column, config_json t FROM threads WHERE json_valid(config_json)
   UNION ALL SELECT DISTINCT thread_id, 'result_json', result_json FROM threads WHERE json_valid(result_json)),
@@ -133,7 +153,11 @@ node AS (
         unnest(CASE WHEN json_type(n.v) = 'ARRAY' THEN list_transform(range(json_array_length(n.v)::BIGINT), lambda i: i::VARCHAR) ELSE json_keys(n.v) END) key,
         unnest(CASE WHEN json_type(n.v) = 'ARRAY' THEN json_extract(n.v, '$[*]') ELSE json_extract(n.v, '$.*') END) x
       FROM node n WHERE json_type(n.v) IN ('ARRAY', 'OBJECT'))))
-SELECT DISTINCT thread_id, json_column, owner parent_path, path child_path FROM node WHERE elem""",
+SELECT DISTINCT thread_id, json_column, owner parent_path, path child_path FROM node WHERE elem"""
+
+ORACLES = {
+    "p1_found": _P1,
+    "p1_children": f"SELECT thread_id, json_column, parent_path, count(*) n_children FROM ({_P1}) GROUP BY ALL",
     "p2_found": _P2 + "SELECT * FROM found",
     "p2_report": _P2 + "SELECT ref_table, ref_field, ref_state, period, count(*) n_references FROM found GROUP BY ALL",
     "p4_found": f"""

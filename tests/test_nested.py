@@ -100,6 +100,40 @@ def test_subtypes_are_routed(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).select("variant").distinct().count() == 2
 
 
+def test_optional_and_null_fields_fold_into_one_table(spark, tmp_path):
+    """The number of tables follows the schema: what is absent, null or whole among fractions makes variants, not tables."""
+    def tables(texts, at):
+        df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "thread_id string, a string")
+        return nested.write_subtypes(nested.shred(df, ["thread_id"], ["a"], with_body=True), str(tmp_path / at))
+
+    import itertools
+
+    objects = [{k: v for k, v in zip("abcd", vs) if v != "absent"} for vs in itertools.product([1, None, "absent"], [0.5, 2, "absent"], [[], [1], [None]], ["x", None])]
+    few, many = tables([json.dumps({"e": objects[:9]})], "few"), tables([json.dumps({"e": [o]}) for o in objects], "many")
+    assert len(few) == len(many) == 1
+    (name, fields), *_ = many.items()
+    assert json.loads(fields) == {"a": "bigint", "b": "double", "c": "array<bigint>", "d": "string"}
+    t = nested.read_subtype(spark, str(tmp_path / "many"), name, fields)
+    assert t.count() == len(objects) and t.select("variant").distinct().count() > 9
+    assert sorted(str((r.a, r.b, r.c, r.d)) for r in t.collect()) == sorted(str((o.get("a"), None if o.get("b") is None else float(o["b"]), o["c"], o["d"])) for o in objects)
+    apart = tables(['{"e": [{"x": 1, "y": 1}, {"x": "s"}, {"X": 1}, {"y": null}, {"x": 9007199254740993}, {"x": 0.5}]}'], "apart")
+    assert len(apart) == 5  # by x as a whole number, a text, a fraction, by X, and without it
+
+
+@pytest.mark.parametrize(
+    "kinds,want",
+    [
+        ({"null"}, {"null": "null"}),
+        ({"null", "bigint", "double"}, {"null": "double", "bigint": "double", "double": "double"}),
+        ({"bigint", "wide", "double"}, {"bigint": "wide", "wide": "wide", "double": "double"}),
+        ({"array<null>", "array<array<double>>", "array<array<bigint>>"}, {"array<null>": "array<array<double>>", "array<array<double>>": "array<array<double>>", "array<array<bigint>>": "array<array<double>>"}),
+        ({"array<array<null>>", "array<string>"}, {"array<array<null>>": "array<array<null>>", "array<string>": "array<string>"}),
+    ],
+)
+def test_types_of_a_field(kinds, want):
+    assert nested._parted(kinds) == want
+
+
 def leaves(v, path=""):
     """(path, value) of every plain value and every array without elements."""
     if isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
