@@ -4,28 +4,29 @@ The test items' words become one automaton over all items. Each document streams
 through it once; at every word the automaton knows the longest passage of any item that ends
 there. Where that is long enough, the state that stands for the last `least` words names the
 items that hold them. Whatever the corpus' size, the automaton is as large as the test items;
-these are cut into blocks of bounded size, and every document meets every block; what it shares
-with them is united before anything is counted or cut.
+these are cut into blocks of bounded size, and every document meets every block, one block at a
+time; what it shares with them is united before anything is counted or cut.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.session import ship
+from tagloom.session import ship, stage
 
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
-    """Unbroken runs of letters or digits, case folded."""
-    return _WORD.findall(text.casefold())
+    """Unbroken runs of letters or digits, each case folded: folding the text first could part a word."""
+    return list(map(str.casefold, _WORD.findall(text)))
 
 
 class Automaton:
@@ -117,9 +118,34 @@ class Automaton:
             i = j + 1
 
 
-@lru_cache(4)
-def _automaton(items: tuple[tuple[int, str], ...], least: int) -> Automaton:
-    return Automaton({i: words(t) for i, t in items}, least)
+_held: list = [None, None]
+
+
+def _automaton(block: Broadcast, least: int) -> Automaton:
+    """The block's automaton; a worker holds one at a time."""
+    key = (block.id if hasattr(block, "id") else id(block), least, len(block.value))
+    if _held[0] != key:
+        _held[:] = [None, None]  # the old one goes before the new one is built
+        _held[:] = [key, Automaton({i: words(t) for i, t in block.value}, least)]
+    return _held[1]
+
+
+def _cover(auto: Automaton, ws: list[str]) -> tuple[list[int], list[list[int]]]:
+    """The items that share a passage with these words, and the word ranges shared."""
+    hit: set[int] = set()
+    cover: list[list[int]] = []
+    for k, m, its in auto.matches(ws):
+        hit.update(its)
+        start = k - m + 1
+        if cover and start <= cover[-1][1] + 1:
+            cover[-1] = [min(start, cover[-1][0]), k]
+        else:
+            cover.append([start, k])
+    return sorted(hit), _united(cover)
+
+
+_SPAN = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_SPANS = "array<struct<first:int,last:int>>"
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "eval_item_id", item_text: str = "text", least: int = 12, block_chars: int = 4_000_000, clean: bool = False) -> DataFrame:
@@ -127,9 +153,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     spans are the word ranges covered by shared passages, leaked_words their total; clean_text is
     the text without them. Test items are gathered in blocks of about block_chars characters, a
-    bound on what is sent around; it changes no result: with several blocks the documents pass them
-    in turn, each adding to the spans and items found so far. Null texts and texts of fewer than `least` words share nothing. Repeated documents give their
-    rows each. Empty tables give none.
+    bound on what is sent around at a time. Several blocks change no column: each finds its
+    documents in a run of its own, whose few hits are written to the shared folder; then items and
+    spans are united by document before anything is counted or cut. Null texts and texts of fewer
+    than `least` words share nothing. Repeated documents give their rows each. Empty tables give none.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -137,54 +164,55 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     total = some.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     n_blocks = -(-total // block_chars) or 1
     kind, ikind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    now = docs.select(doc_id, text)
-    for block in range(n_blocks):
-        part = some.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block)
-        known = tuple(sorted((r.i, r.t) for r in part.collect()))
-        last = block == n_blocks - 1
-
-        def run(batches: Iterator[pa.RecordBatch], known=known, first=not block, last=last) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(known, least)
+
+    def send(block: int) -> Broadcast:
+        part = some if n_blocks == 1 else some.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block)
+        return spark.sparkContext.broadcast(tuple(sorted((r.i, r.t) for r in part.collect())))
+
+    def found(block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(block, least)
             for b in batches:
-                own, hits, n_words, leaked, spans, cleaned = [], [], [], [], [], []
-                texts = b.column(1).to_pylist()
-                before = zip(texts, *(([None] * len(texts),) * 2 if first else (b.column(2).to_pylist(), b.column(3).to_pylist())))
-                for row, (t, its0, spans0) in enumerate(before):
-                    ws = words(t) if t else []
-                    hit: set[int] = set(its0 or ())
-                    cover: list[list[int]] = []
-                    for k, m, its in auto.matches(ws):
-                        hit.update(its)
-                        start = k - m + 1
-                        if cover and start <= cover[-1][1] + 1:
-                            cover[-1] = [min(start, cover[-1][0]), k]
-                        else:
-                            cover.append([start, k])
-                    if spans0:
-                        cover = _united([[x["first"], x["last"]] for x in spans0] + cover)
-                    if hit or not last:
-                        own.append(row)
-                        hits.append(sorted(hit))
-                        n_words.append(len(ws))
-                        leaked.append(sum(b - a + 1 for a, b in cover))
-                        spans.append([{"first": a, "last": b} for a, b in cover])
-                        cleaned.append(_without(t, cover) if clean and last else None)
-                taken = pa.array(own, pa.int32())
-                span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-                if last:
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(taken), pa.array(hits, pa.list_(pa.int64())), pa.array(n_words, pa.int32()), pa.array(leaked, pa.int32()), pa.array(spans, span), pa.array(cleaned, pa.string())],
-                        names=[doc_id, "items", "n_words", "leaked_words", "spans", "clean_text"],
-                    )
-                else:
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.int64())), pa.array(spans, span)], names=[doc_id, "__text", "__items", "__spans"])
-
-        schema = f"`{doc_id}` {kind}, " + ("items array<bigint>, n_words int, leaked_words int, spans array<struct<first:int,last:int>>, clean_text string" if last else "__text string, __items array<bigint>, __spans array<struct<first:int,last:int>>")
-        now = now.mapInArrow(run, schema)
-    out = now.withColumn("items", F.col("items").cast(f"array<{ikind}>"))
+                rows = [(i, *_cover(auto, words(t))) for i, t in enumerate(b.column(1).to_pylist()) if t]
+                yield _hits(b, [r for r in rows if r[1]])
+
+        return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, __text string, __items array<bigint>, __spans {_SPANS}")
+
+    if n_blocks == 1:
+        hits = found(send(0))
+    else:
+        parts = []
+        for n in range(n_blocks):
+            block = send(n)
+            parts.append(stage(found(block).select(doc_id, F.md5("__text").alias("__h"), "__items", "__spans").distinct(), "leaks"))
+            block.destroy()
+        every = reduce(DataFrame.unionByName, parts)
+        both = every.groupBy(F.col(doc_id).alias("__d"), "__h").agg(F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"), F.flatten(F.collect_list("__spans")).alias("__spans"))
+        own = docs.select(doc_id, F.col(text).alias("__text"))
+        hits = own.join(both, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.md5("__text") == F.col("__h"))).select(doc_id, "__text", "__items", "__spans")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_words, leaked, spans, cleaned = [], [], [], []
+            for t, s in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
+                cover = _united([[x["first"], x["last"]] for x in s])
+                n_words.append(len(_WORD.findall(t)))
+                leaked.append(sum(z - a + 1 for a, z in cover))
+                spans.append([{"first": a, "last": z} for a, z in cover])
+                cleaned.append(_without(t, cover) if clean else None)
+            its = pa.array([sorted(x) for x in b.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), its, pa.array(n_words, pa.int32()), pa.array(leaked, pa.int32()), pa.array(spans, _SPAN), pa.array(cleaned, pa.string())], names=[doc_id, "items", "n_words", "leaked_words", "spans", "clean_text"])
+
+    out = hits.mapInArrow(count, f"`{doc_id}` {kind}, items array<bigint>, n_words int, leaked_words int, spans {_SPANS}, clean_text string").withColumn("items", F.col("items").cast(f"array<{ikind}>"))
     return out if clean else out.drop("clean_text")
 
 
+def _hits(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    at = pa.array([r[0] for r in rows], pa.int32())
+    spans = pa.array([[{"first": a, "last": z} for a, z in r[2]] for r in rows], _SPAN)
+    return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.list_(pa.int64())), spans], names=[b.schema.names[0], "__text", "__items", "__spans"])
+
+
 def _united(spans: list[list[int]]) -> list[list[int]]:
     """Word ranges in order; those that touch are one."""
     out: list[list[int]] = []
@@ -198,14 +226,11 @@ def _united(spans: list[list[int]]) -> list[list[int]]:
 
 def _without(text: str, cover: list[list[int]]) -> str:
     """The text without the covered words and what stands between them."""
-    at = [m.span() for m in _WORD.finditer(text.casefold())]
-    if len(text.casefold()) != len(text):  # folding made letters longer: count words in the text itself
-        at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(text)]
     out, pos = [], 0
     for a, b in cover:
-        if b < len(at):
-            out.append(text[pos : at[a][0]])
-            pos = at[b][1]
+        out.append(text[pos : at[a][0]])
+        pos = at[b][1]
     return "".join(out) + text[pos:]
 
 

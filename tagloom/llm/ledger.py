@@ -3,13 +3,15 @@
 The ledger is a table of canonical keys with their number of copies and their earliest
 representative, cut into hash buckets. A batch is first aggregated on its own (with map-side
 combining, so a key with a third of all rows is a few rows a task), then full-outer-joined with
-the buckets it touches; only these are written anew. A manifest names each bucket's folder and is
-put in place by a rename, so a run that dies leaves the ledger as it was.
+the buckets it touches; only these are written anew. A manifest names each bucket's folder. Every
+version has a manifest of its own, put in place by a rename to a name that wasn't there; the
+newest one counts. So whatever step a run dies at, the ledger is as before it or as after it.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,10 @@ from tagloom.session import drop_path
 
 
 class Ledger:
-    """Counts by canonical key. `path` is a folder that all executors share; `keys` name the key's columns."""
+    """Counts by canonical key. `path` is a folder that all executors share; `keys` name the key's columns.
+
+    buckets holds for a new ledger; one that is there keeps the number it was made with.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 32) -> None:
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), keys, buckets
@@ -26,19 +31,26 @@ class Ledger:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._path(self.path)):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.path))]
+        return sorted(int(n[9:]) for n in names if n.startswith("manifest-") and n[9:].isdigit())
+
     def _manifest(self) -> dict:
-        at = self._path(f"{self.path}/manifest")
-        if not self._fs.exists(at):
-            return {"version": 0, "buckets": {}, "schema": None}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifest").collect()))
+        there = self._versions()
+        if not there:
+            return {"version": 0, "buckets": {}, "schema": None, "n_buckets": self.buckets, "batches": []}
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifest-{there[-1]}").collect()))
 
     def _commit(self, manifest: dict) -> None:
-        fresh, at = self._path(f"{self.path}/manifest.{manifest['version']}"), self._path(f"{self.path}/manifest")
+        fresh, at = self._path(f"{self.path}/fresh-{uuid.uuid4().hex}"), self._path(f"{self.path}/manifest-{manifest['version']}")
         out = self._fs.create(fresh, True)
         out.writeBytes(json.dumps(manifest))
         out.close()
-        self._fs.delete(at, False)
-        self._fs.rename(fresh, at)
+        if not self._fs.rename(fresh, at):
+            self._fs.delete(fresh, False)
+            raise RuntimeError(f"version {manifest['version']} was written by another run")
 
     def _read(self, manifest: dict, wanted: set[int] | None = None) -> DataFrame | None:
         """The buckets wanted (all if None), by the version that wrote them last."""
@@ -55,15 +67,17 @@ class Ledger:
     def _folders(self, at: str) -> set[int]:
         return {int(s.getPath().getName().split("=")[1]) for s in self._fs.listStatus(self._path(at)) if "=" in s.getPath().getName()}
 
-    def add(self, batch: DataFrame, representative: str) -> None:
-        """Count a batch in: one row per record, with the key columns and a representative's id.
+    def add(self, batch: DataFrame, representative: str, batch_id: str | None = None) -> bool:
+        """Count a batch in: one row per record, with the key columns and a representative's id. False if a batch of this id was counted before.
 
         Null key values form a key of their own. An empty batch changes nothing. Of all records
         of a key the smallest id stays as representative, whichever batch brought it.
         """
         manifest = self._manifest()
+        if batch_id is not None and batch_id in manifest["batches"]:
+            return False
         version = manifest["version"] + 1
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(manifest["n_buckets"])).cast("int")
         counted = batch.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n_copies"), F.min(representative).alias("first_id")).withColumn("bucket", bucket)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema)
         held = self._read(manifest)
@@ -92,10 +106,14 @@ class Ledger:
         written = self._folders(at)
         before = set(manifest["buckets"].values())
         buckets = manifest["buckets"] | {str(b): version for b in written}
-        self._commit({"version": version, "buckets": buckets, "schema": schema})
+        self._commit({"version": version, "buckets": buckets, "schema": schema, "n_buckets": manifest["n_buckets"], "batches": manifest["batches"] + ([batch_id] if batch_id is not None else [])})
+        # The new version counts from here on; what follows only tidies up.
+        for v in self._versions()[:-1]:
+            self._fs.delete(self._path(f"{self.path}/manifest-{v}"), False)
         for v in before - set(buckets.values()):  # every bucket of that version was written anew
             drop_path(self.spark, f"{self.path}/v{v}")
         drop_path(self.spark, f"{self.path}/batch{version}")
+        return True
 
     def read(self) -> DataFrame:
         """keys..., n_copies, first_id, bucket."""

@@ -30,8 +30,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [table(spark, sf_dir, t).select(F.lit(t).alias("item_table"), "drawing_id", tag_key("tag").alias("key"), "item_id", "ingested_at") for t in ("equipment_items", "valve_items", "instrument_items")]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("key <> ''")
     book = ledger.Ledger(spark, stage_path(spark, "ledger"), ["item_table", "drawing_id", "key"])
-    for batch in ledger.in_batches(rows, "ingested_at"):
-        book.add(batch, "item_id")
+    for name, batch in zip(("backlog", "newest"), ledger.in_batches(rows, "ingested_at")):
+        book.add(batch, "item_id", name)
     return book.read().where("n_copies > 1").select("item_table", F.col("first_id").alias("first_item_id"), F.col("n_copies").cast("int").alias("n_copies"))
 
 

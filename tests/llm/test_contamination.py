@@ -86,3 +86,9 @@ def test_block_size_changes_no_column(spark):
         whole, parts = (sorted(map(str, f(block_chars=n).collect())) for n in (4_000_000, 700))
         assert whole == parts and len(whole) > 20
     assert {r.action for r in C.decontaminate(docs, known, block_chars=700).collect()} == {"cut", "drop"}
+
+
+def test_letters_that_fold_to_two_keep_the_places(spark):
+    text = "Straße İstanbul ŉ " + ITEM.upper() + " Maße"
+    got = run(spark, [text], ((1, ITEM),), clean=True)[0]
+    assert got["spans"][0]["first"] == 3 and got["clean_text"] == "Straße İstanbul ŉ  Maße"

@@ -53,6 +53,41 @@ def test_a_run_that_dies_before_the_commit_leaves_the_ledger(spark, monkeypatch)
     assert read(b) == {"a": (2, 1), "b": (1, 3)}
 
 
+@pytest.mark.parametrize("step", ["create", "rename", "delete"])
+def test_a_run_that_dies_at_any_step_of_the_commit_loses_nothing(spark, monkeypatch, step):
+    """Before the rename the ledger is as it was; after it the batch counts, whatever else fails."""
+    b = book(spark)
+    b.add(batch(spark, [("a", 1), ("b", 1)]), "item_id", "first")
+
+    class Dying:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            def call(*args):
+                if name == step:
+                    raise RuntimeError("lost")
+                return getattr(self.fs, name)(*args)
+
+            return call
+
+    b._fs = Dying(b._fs)
+    with pytest.raises(RuntimeError):
+        b.add(batch(spark, [("a", 2)]), "item_id", "second")
+    again = L.Ledger(spark, b.path, ["key"], 8)
+    assert read(again) == ({"a": (2, 1), "b": (1, 1)} if step == "delete" else {"a": (1, 1), "b": (1, 1)})
+    assert again.add(batch(spark, [("a", 2)]), "item_id", "second") == (step != "delete")
+    assert read(again) == {"a": (2, 1), "b": (1, 1)}
+
+
+def test_a_batch_counts_once_and_buckets_stay(spark):
+    b = book(spark, 8)
+    assert b.add(batch(spark, [("a", 5), ("b", 2)]), "item_id", "x")
+    other = L.Ledger(spark, b.path, ["key"], 3)
+    assert not other.add(batch(spark, [("a", 5)]), "item_id", "x")
+    assert other.add(batch(spark, [("a", 1)]), "item_id", "y") and read(other) == {"a": (2, 1), "b": (1, 2)}
+
+
 def test_empty_first_batch_and_unread(spark):
     b = book(spark)
     with pytest.raises(ValueError):
