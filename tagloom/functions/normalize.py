@@ -90,3 +90,16 @@ def pressure_text(c: Column) -> Column:
     """One spelling of gauge bar, with a blank before it."""
     t = _re(_re(_re(c, r"\s+", " "), r"(?i)bar\s*\(g\)", "bar(g)"), "(?i)barg", "bar(g)")
     return F.when(t.rlike(r"\s+bar\(g\)"), t).otherwise(_re(t, r"bar\(g\)", " bar(g)"))
+
+
+def number_text(c: Column) -> Column:
+    """A double to six places at most, without exponent or idle zeros."""
+    t = F.regexp_replace(F.format_string("%.6f", c), "0+$", "")
+    return F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t)
+
+
+def position(center: Column, box: Column, low: int) -> Column:
+    """A share of the page from a centre, else from the middle of a box (ymin, xmin, ymax, xmax; low is 0 for y, 1 for x), else 0.5; -1 counts as no centre. Pixels become shares."""
+    middle = F.when(F.size(box) >= 4, (F.get(box, F.lit(low)) + F.get(box, F.lit(low + 2))) / 2)
+    share = page_y if low == 0 else page_x
+    return share(F.coalesce(F.when(center != -1, center), middle, F.lit(0.5)))

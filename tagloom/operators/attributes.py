@@ -103,6 +103,17 @@ def nearest_in_height(values: DataFrame, anchors: DataFrame, radius: float, keep
     return found.where("anchor is not null").drop("x")
 
 
+def positions(elements: DataFrame, raw: DataFrame) -> DataFrame:
+    """drawing_id, tag, classification, x, y: the elements and, as notes, all recognised items with their places; what beside tags is read by place is read from these.
+
+    raw: drawing_id, text, center_x, center_y and, if there is one, box. Pixels become shares of the page; without centre and box an item is in the middle.
+    """
+    box = F.col("box") if "box" in raw.columns else F.lit(None).cast("array<double>")
+    e = elements.select("drawing_id", "tag", "classification", N.page_x(F.coalesce("x", F.lit(-1.0))).alias("x"), N.page_y(F.coalesce("y", F.lit(-1.0))).alias("y"))
+    r = raw.select("drawing_id", F.coalesce("text", F.lit("")).alias("tag"), F.lit("NOTE").alias("classification"), N.position(F.col("center_x"), box, 1).alias("x"), N.position(F.col("center_y"), box, 0).alias("y"))
+    return e.unionByName(r)
+
+
 def datasheet(items: DataFrame, elements: DataFrame) -> DataFrame:
     """drawing_id, tag, field, value: the first value of each field for the equipment nearest in height within 0.15."""
     anchors = elements.where("classification = 'EQUIPMENT_TAG'").select("drawing_id", "tag", "ord", "y")

@@ -82,19 +82,22 @@ def chained(items: DataFrame, span: int = 4, block: int = 4096) -> DataFrame:
     return r.withColumn("text", F.concat_ws("", *parts)).where(b == F.col("block")).select("drawing_id", "text")
 
 
-def kinds(texts: DataFrame, doc: str = "drawing_id", text: str = "text", title: str | None = None) -> DataFrame:
+def kinds(texts: DataFrame, doc: str = "drawing_id", text: str = "text", title: str | None = None, filename: str | None = None) -> DataFrame:
     """doc, drawing_type, label, discipline, score.
 
-    Keyword patterns are tried on the title first, then on the texts; the first in the list wins.
+    Keyword patterns are tried on title and file name first, then on the texts, to which title and
+    file name (with blanks for _ and -) belong; the first in the list wins.
     Else each kind scores the weights of its tokens that occur in any text; the best wins from 5
     on, the earlier kind of equals, else GENERIC. Each text is looked at alone (`chained` makes
     rows that hold what spans items) and only the hits, at most a few hundred distinct numbers per
     doc, are combined. Null texts say nothing.
     """
     s = signals(texts, doc, text)
-    if title:
-        t = texts.select(F.col(doc), F.coalesce(*[F.when(F.col(title).rlike("(?i)" + p), F.lit(i - 100)) for i, (p, _) in enumerate(KEYWORDS)]).alias("keyword"), F.array().cast("array<int>").alias("hits"))
-        s = s.unionByName(t)
+    if title or filename:
+        head = F.concat_ws(" ", *[c for c in (title, filename) if c])
+        t = texts.select(F.col(doc), F.coalesce(*[F.when(head.rlike("(?i)" + p), F.lit(i - 100)) for i, (p, _) in enumerate(KEYWORDS)]).alias("keyword"), F.array().cast("array<int>").alias("hits"))
+        names = [F.col(title)] * bool(title) + [F.regexp_replace(filename, "[_-]", " ")] * bool(filename)
+        s = s.unionByName(t).unionByName(signals(texts.select(doc, F.concat_ws(" ", *names).alias("__name")), doc, "__name"))
     v = vocabulary()
     heard = s.select(doc, "keyword", F.explode_outer("hits").alias("hit")).groupBy(doc).agg(F.min("keyword").alias("keyword"), F.collect_set("hit").alias("hits"))
     scores = F.array(*[F.struct(reduce(lambda a, b: a + b, [F.when(F.array_contains("hits", j), w).otherwise(0) for j, (k2, _, _, w) in enumerate(v) if k2 == k]).alias("score"), F.lit(-i).alias("place"), F.lit(k).alias("kind")) for i, (k, _, _) in enumerate(KINDS[:-1])])
@@ -116,3 +119,19 @@ def title_block(items: DataFrame) -> DataFrame:
     rev = F.when(~numbered & F.upper(t).contains("REV"), F.nullif(F.regexp_extract(t, r"(?i)\b(REV\s*[-.:]?\s*[A-Z0-9]{1,3})\b", 1), F.lit("")))
     at = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("item_idx")))
     return items.groupBy("drawing_id").agg(F.coalesce(at(number), F.lit("UNKNOWN")).alias("drawing_number"), F.coalesce(at(rev), F.lit("0")).alias("revision"))
+
+
+def metadata(items: DataFrame, names: DataFrame, least: int = 10, crop: tuple[float, float, float, float] = (0.65, 0.55, 1.0, 1.0)) -> DataFrame:
+    """drawing_id, drawing_number, revision, found_in: the title block from all texts if a drawing has more than `least`, else from those in the crop (ymin, xmin, ymax, xmax), else from the file name.
+
+    names: drawing_id, filename; every drawing there has a row.
+    """
+    n = items.groupBy(F.col("drawing_id").alias("n_drawing")).agg(F.count(F.lit(1)).alias("n"))
+    sized = items.join(n, F.col("drawing_id") == F.col("n_drawing"))
+    inside = F.col("center_y").between(crop[0], crop[2]) & F.col("center_x").between(crop[1], crop[3])
+    whole = title_block(sized.where(F.col("n") > least)).withColumn("found_in", F.lit("texts"))
+    part = title_block(sized.where((F.col("n") <= least) & inside)).withColumn("found_in", F.lit("crop"))
+    told = whole.unionByName(part).withColumnRenamed("drawing_id", "t_drawing")
+    j = names.select("drawing_id", "filename").join(told, F.col("drawing_id") == F.col("t_drawing"), "left")
+    named = F.nullif(F.regexp_extract(F.regexp_replace("filename", r"\.[A-Za-z0-9]{1,5}$", ""), r"([A-Z0-9][A-Z0-9_-]{5,29})", 1), F.lit(""))
+    return j.select("drawing_id", F.coalesce("drawing_number", named, F.lit("UNKNOWN")).alias("drawing_number"), F.coalesce("revision", F.lit("0")).alias("revision"), F.coalesce("found_in", F.lit("filename")).alias("found_in"))

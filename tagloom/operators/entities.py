@@ -137,7 +137,7 @@ def lines(e: DataFrame, rels: DataFrame, traces: DataFrame | None = None, legacy
     legacy_axis reads trace points as (x, y).
     """
     kinds = ["CONNECTS_TO", "FEEDS", "INSTALLED_ON"]
-    t = e.where("classification = 'LINE_TAG'").select("drawing_id", "ord", "tag", "x", "y", parse_line(F.col("tag")).alias("p"))
+    t = e.where("classification = 'LINE_TAG'").select("drawing_id", "ord", "tag", "x", "y", parse_line(F.col("tag")).alias("p"), *_flags(e))
     t = _join_end(t, _other_end(rels, kinds, True, "source"), "to_rel")
     t = _join_end(t, _other_end(rels, kinds, True, "target"), "from_rel")
     if traces is not None:
@@ -149,7 +149,12 @@ def lines(e: DataFrame, rels: DataFrame, traces: DataFrame | None = None, legacy
     t = nearest(t, callouts(e, "TO", "FLARE|DRAIN|HEADER|UNIT|SYSTEM|ATMOSPHERE"), 0.15, "to_call")
     t = nearest(t, callouts(e, "FROM", "FLARE|DRAIN|HEADER|UNIT|SYSTEM|VESSEL"), 0.15, "from_call")
     off = lambda c: F.concat(F.col(c), F.lit(" (off-page)"))
-    return t.select("drawing_id", "ord", "tag", "p.size", "p.service", "p.spec", "p.sequence_number", "p.insulation", F.coalesce("from_rel", off("from_call")).alias("from_node"), F.coalesce("to_rel", off("to_call")).alias("to_node"))
+    return t.select("drawing_id", "ord", "tag", "p.size", "p.service", "p.spec", "p.sequence_number", "p.insulation", F.coalesce("from_rel", off("from_call")).alias("from_node"), F.coalesce("to_rel", off("to_call")).alias("to_node"), "confidence", "flag_reason")
+
+
+def _flags(e: DataFrame) -> list[Column]:
+    """The element's confidence and flag, null where it has none."""
+    return [(F.col(c) if c in e.columns else F.lit(None)).cast(t).alias(c) for c, t in (("confidence", "double"), ("flag_reason", "string"))]
 
 
 def instruments(e: DataFrame, rels: DataFrame, line_table: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
@@ -160,6 +165,8 @@ def instruments(e: DataFrame, rels: DataFrame, line_table: DataFrame, symbols: D
     (with its service) or other end.
     """
     f = dedup.fold(e, N.instrument_key(F.col("tag")), ["INSTRUMENT_TAG"], "ord").select("drawing_id", F.col("tag").alias("master"), "first_tag", F.col("first_ord").alias("ord"))
+    own = e.where("classification = 'INSTRUMENT_TAG'").select(F.col("drawing_id").alias("f_drawing"), F.col("tag").alias("f_tag"), *_flags(e))
+    f = f.join(own, (F.col("drawing_id") == F.col("f_drawing")) & (F.col("first_tag") == F.col("f_tag"))).drop("f_drawing", "f_tag")
     t = with_box(f, symbols, "first_tag")
     t = _join_end(t, _other_end(rels, ["MONITORS", "INSTALLED_ON"], False), "host", "first_tag")
     li = line_table.groupBy(F.col("drawing_id").alias("li_drawing"), F.col("tag").alias("li_tag")).agg(F.min_by("service", "ord").alias("li_service"))
@@ -172,7 +179,7 @@ def instruments(e: DataFrame, rels: DataFrame, line_table: DataFrame, symbols: D
         t = t.join(near, (F.col("drawing_id") == F.col("n_drawing")) & (F.col("ord") == F.col("n_ord")), "left")
     loop = F.coalesce(*([F.col("near_loop")] if near is not None else []), number("first_tag"), F.lit("0000"))
     service = F.when(F.col("li_tag").isNotNull(), F.concat("li_service", F.lit(" ("), "li_tag", F.lit(")"))).otherwise(F.col("host"))
-    return t.select("drawing_id", "ord", F.col("master").alias("tag"), _lookup(code, INSTRUMENT_KINDS, code).alias("type"), service.alias("service"), F.lit("Field").alias("location"), loop.alias("loop_id"), "coordinates")
+    return t.select("drawing_id", "ord", F.col("master").alias("tag"), _lookup(code, INSTRUMENT_KINDS, code).alias("type"), service.alias("service"), F.lit("Field").alias("location"), loop.alias("loop_id"), "coordinates", "confidence", "flag_reason")
 
 
 def loop_texts(boxed: DataFrame, e: DataFrame) -> DataFrame:
@@ -188,7 +195,7 @@ def loop_texts(boxed: DataFrame, e: DataFrame) -> DataFrame:
 def valves(e: DataFrame, rels: DataFrame, line_table: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """drawing_id, ord, tag, type, size, line_tag, coordinates, type_source, confidence, aliases: one row per valve key; the size is the host line's."""
     f = dedup.fold(e, N.valve_key(F.col("tag")), ["VALVE_TAG"], "ord").select("drawing_id", F.col("tag").alias("master"), "first_tag", F.col("first_ord").alias("ord"), F.col("aliases").alias("folded"))
-    own = e.where("classification = 'VALVE_TAG'").select(F.col("drawing_id").alias("v_drawing"), F.col("tag").alias("v_tag"), "confidence", *([F.col("aliases").alias("own_aliases")] if "aliases" in e.columns else [F.array().cast("array<string>").alias("own_aliases")]))
+    own = e.where("classification = 'VALVE_TAG'").select(F.col("drawing_id").alias("v_drawing"), F.col("tag").alias("v_tag"), *_flags(e), *([F.col("aliases").alias("own_aliases")] if "aliases" in e.columns else [F.array().cast("array<string>").alias("own_aliases")]))
     t = f.join(own, (F.col("drawing_id") == F.col("v_drawing")) & (F.col("first_tag") == F.col("v_tag")))
     t = with_box(t, symbols, "first_tag")
     t = _join_end(t, _other_end(rels, ["INSTALLED_ON", "CONNECTS_TO", "MONITORS"], False), "line_tag", "first_tag")
@@ -196,7 +203,7 @@ def valves(e: DataFrame, rels: DataFrame, line_table: DataFrame, symbols: DataFr
     t = t.join(li, (F.col("drawing_id") == F.col("li_drawing")) & (F.col("line_tag") == F.col("li_tag")), "left")
     u = F.upper("first_tag")
     kind = reduce(lambda c, x: c.when(u.rlike(x[0]), x[1]), VALVE_HOLDS, F).otherwise("Valve")
-    return t.select("drawing_id", "ord", F.col("master").alias("tag"), kind.alias("type"), "size", "line_tag", "coordinates", F.lit("inferred_from_prefix").alias("type_source"), "confidence", F.array_distinct(F.concat("own_aliases", "folded")).alias("aliases"))
+    return t.select("drawing_id", "ord", F.col("master").alias("tag"), kind.alias("type"), "size", "line_tag", "coordinates", F.lit("inferred_from_prefix").alias("type_source"), "confidence", "flag_reason", F.array_distinct(F.concat("own_aliases", "folded")).alias("aliases"))
 
 
 def relief_valves(e: DataFrame, pressures: DataFrame | None = None, flange: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.normalize import number_text
 from tagloom.operators.grammar import INSTRUMENT_CODES
+from tagloom.operators.prefix import salted_prefix
 
 
 def assemble_lines(words: DataFrame) -> DataFrame:
@@ -43,4 +45,12 @@ def lines_of_text(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def described() -> Column:
     """An item as text for a reader: its words, confidence and place."""
-    return F.concat("text", F.lit(" | conf="), F.col("confidence").cast("string"), F.lit(" | pos=("), F.col("center_x").cast("string"), F.lit(","), F.col("center_y").cast("string"), F.lit(")"))
+    n = lambda c: number_text(F.col(c))
+    return F.concat("text", F.lit(" | conf="), n("confidence"), F.lit(" | pos=("), n("center_x"), F.lit(","), n("center_y"), F.lit(")"))
+
+
+def reader_texts(items: DataFrame, per: int = 1000) -> DataFrame:
+    """drawing_id, part, text: a drawing's items as lines in order, at most `per` in a part, so that no text holds a whole large drawing."""
+    n = salted_prefix(items.withColumn("__one", F.lit(1)), ["drawing_id"], ["item_idx"], "__one", "__n", bucket=F.floor(F.col("item_idx") / 4096))
+    g = n.groupBy("drawing_id", F.floor(F.col("__n") / per).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("item_idx", described().alias("line")))).alias("v"))
+    return g.select("drawing_id", "part", F.array_join(F.transform("v", lambda x: x["line"]), "\n").alias("text"))

@@ -118,13 +118,14 @@ def from_tile(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({"ymin": s("y", "ymin", "height"), "xmin": s("x", "xmin", "width"), "ymax": s("y", "ymax", "height"), "xmax": s("x", "xmax", "width")})
 
 
-def from_tags(elements: DataFrame, boxed: DataFrame | None = None) -> DataFrame:
-    """drawing_id, symbol_type, inferred_tag, ymin, xmin, ymax, xmax: a box of 0.02 each way for tags that have none."""
+def from_tags(elements: DataFrame, boxed: DataFrame | None = None, wide: dict[str, float] | None = None) -> DataFrame:
+    """drawing_id, symbol_type, inferred_tag, ymin, xmin, ymax, xmax: a box of 0.02 each way for tags that have none; `wide` gives other reaches by class."""
     kind = reduce(lambda c, x: c.when(F.col("classification") == x[0], x[1]), OF_TAG.items(), F.when(F.col("classification") == "VALVE_TAG", F.when(F.upper("tag").rlike("CB|CHECK"), "CHECK_VALVE").otherwise("VALVE")))
     e = elements.withColumn("symbol_type", kind).where("symbol_type is not null")
     if boxed is not None:
         e = e.join(boxed.select("drawing_id", F.col("inferred_tag").alias("tag")), ["drawing_id", "tag"], "left_anti")
-    lo, hi = (lambda c: F.round(F.greatest(F.lit(0.0), F.col(c) - 0.02), 4)), (lambda c: F.round(F.least(F.lit(1.0), F.col(c) + 0.02), 4))
+    reach = reduce(lambda c, x: c.when(F.col("classification") == x[0], x[1]), (wide or {}).items(), F.when(F.lit(False), 0.0)).otherwise(0.02)
+    lo, hi = (lambda c: F.round(F.greatest(F.lit(0.0), F.col(c) - reach), 4)), (lambda c: F.round(F.least(F.lit(1.0), F.col(c) + reach), 4))
     return e.select("drawing_id", "symbol_type", F.col("tag").alias("inferred_tag"), lo("y").alias("ymin"), lo("x").alias("xmin"), hi("y").alias("ymax"), hi("x").alias("xmax"))
 
 

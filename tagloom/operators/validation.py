@@ -97,3 +97,15 @@ def refine(state: dict[str, DataFrame], find, recompile, rounds: int = 3) -> tup
         elements = stage(elements.unionByName(find(m), allowMissingColumns=True), "elements")
         tables = recompile(elements)
     return tables, rounds
+
+
+def found_again(found: DataFrame) -> dict[str, DataFrame]:
+    """What looking again brought (drawing_id, target_tag, coordinates, tag, type, value, host) as rows to append: elements, symbols in the box looked at, valves installed on their host."""
+    kind = F.when(F.col("type").contains("VALVE"), "VALVE_TAG").when(F.col("type").contains("INST"), "INSTRUMENT_TAG").otherwise("LINE_TAG")
+    box = [F.get("coordinates", F.lit(i)).alias(c) for i, c in enumerate(("ymin", "xmin", "ymax", "xmax"))]
+    on = found.where(F.col("type").contains("VALVE") & F.col("host").isNotNull())
+    return {
+        "elements": found.select("drawing_id", "tag", kind.alias("classification"), F.coalesce("value", "type").alias("value")),
+        "symbols": found.select("drawing_id", F.col("type").alias("symbol_type"), F.col("tag").alias("inferred_tag"), *box),
+        "relations": on.select("drawing_id", F.col("tag").alias("source_tag"), F.col("host").alias("target_tag"), F.lit("INSTALLED_ON").alias("rel_type")),
+    }

@@ -87,7 +87,7 @@ def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFra
 
 
 def _box(c: str) -> Column:
-    return F.array_join(F.transform(c, exports._number), ",").alias(c)
+    return F.array_join(F.transform(c, N.number_text), ",").alias(c)
 
 
 def _seq(c: str = "seq") -> Column:
@@ -251,8 +251,12 @@ def symbols_from_tags(spark, d):
     return symbols.from_tags(_elements(spark, d))
 
 
+def _kinds(spark, d):
+    return _once(spark, d, "kinds", lambda: stage(documents.kinds(documents.chained(_items(spark, d))), "kinds"))
+
+
 def drawing_type(spark, d):
-    return documents.kinds(documents.chained(_items(spark, d))).select("drawing_id", "drawing_type", "discipline", "score")
+    return _kinds(spark, d).select("drawing_id", "drawing_type", "discipline", "score")
 
 
 def document_type(spark, d):
@@ -287,7 +291,32 @@ def text_lines(spark, d):
 
 
 def items_described(spark, d):
-    return _items(spark, d).select("drawing_id", "item_idx", F.md5(F.concat("text", F.lit(" | "), F.format_string("%.3f", "confidence"))).alias("line_md5"))
+    return _items(spark, d).select("drawing_id", "item_idx", F.md5(pages.described()).alias("line_md5"))
+
+
+def reader_texts(spark, d):
+    return pages.reader_texts(_items(spark, d), 200).select("drawing_id", "part", F.md5("text").alias("text_md5"))
+
+
+def position_context(spark, d):
+    p = attributes.positions(_elements(spark, d), _items(spark, d))
+    return p.groupBy("drawing_id", "classification").agg(F.count(F.lit(1)).alias("n_items"), F.round(F.sum("x"), 4).alias("sum_x"), F.round(F.sum("y"), 4).alias("sum_y"))
+
+
+def traced_lines(spark, d):
+    """Lines by the strokes of the page: the boxes' diagonals stand for them."""
+    b = V.boxes(spark, d).select("drawing_id", F.col("box_idx").alias("segment_id"), F.col("ymin").alias("y0"), F.col("xmin").alias("x0"), F.col("ymax").alias("y1"), F.col("xmax").alias("x1"))
+    return spatial.traces(_elements(spark, d), b).select("drawing_id", "tag", "y0", "x0", "y1", "x1")
+
+
+def local_extraction(spark, d):
+    """Items to tags to boxes without any other source: equipment reaches 0.04, the rest 0.02."""
+    return symbols.from_tags(_elements(spark, d), wide={"EQUIPMENT_TAG": 0.04})
+
+
+def named_document_type(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text", "title", F.concat_ws("_", "drawing_type", "source").alias("filename"))
+    return documents.kinds(t, "doc_id", title="title", filename="filename").select("doc_id", "drawing_type", "score")
 
 
 def box_iou(spark, d):
@@ -338,9 +367,14 @@ def symbol_class_ids(spark, d):
     return names.select("name", symbols.class_id(F.col("name")).alias("class_id"))
 
 
-def corpus_metrics(spark, d):
+def _metrics(spark, d):
     _, t = _entities(spark, d)
-    return corpus.metrics({k: t[k] for k in ("equipment", "lines", "instruments", "valves", "relationships")})
+    reports = _once(spark, d, "reports", lambda: stage(validation.validate(t), "reports"))
+    return corpus.metrics({k: t[k] for k in ("equipment", "lines", "instruments", "valves", "relationships")} | {"val_issues": reports, "missing": validation.missing(reports, t["valves"], t["instruments"])})
+
+
+def corpus_metrics(spark, d):
+    return _metrics(spark, d)
 
 
 def _jobs(spark, d):
@@ -348,17 +382,20 @@ def _jobs(spark, d):
 
 
 def corpus_summary(spark, d):
-    o = _jobs(spark, d).select(F.col("o_totalprice").alias("n_price"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("success").alias("status"))
-    s = corpus.corpus_summary(o)
-    return s.select(F.round("avg_price", 4).alias("avg_price"), F.round("success_rate", 9).alias("success_rate"))
+    """Averages over the drawings; every seventh counts as failed."""
+    m = _metrics(spark, d).drop("n_missing").withColumn("status", F.when(F.col("drawing_id") % 7 == 0, "failed").otherwise("success"))
+    a = corpus.corpus_summary(m)
+    return a.select(*[F.round(c, 6).alias(c) for c in a.columns])
 
 
 def train_val_split(spark, d):
-    return corpus.split(_jobs(spark, d).select("o_orderkey"), ["o_orderkey"])
+    return corpus.split(_jobs(spark, d).select("o_orderkey", "o_orderpriority"), ["o_orderpriority", "o_orderkey"]).drop("o_orderpriority")
 
 
 def chat_records(spark, d):
-    return corpus.chat_records(_elements(spark, d).where("classification = 'EQUIPMENT_TAG'"))
+    r = corpus.chat_records(_elements(spark, d))
+    answer = F.from_json("record", "messages array<struct<role:string,content:string>>")["messages"][2]["content"]
+    return r.select("drawing_id", "part", "n_items", F.md5(answer).alias("answer_md5"))
 
 
 def job_status_kpi(spark, d):
@@ -380,13 +417,62 @@ def json_props(spark, d):
 
 
 def thread_fields(spark, d):
-    return table(spark, d, "threads").select("thread_id", "ingested_at", history.field("config_json", "$.ocr_engine").alias("ocr_engine")).where("ocr_engine is not null").groupBy("ocr_engine").agg(F.count(F.lit(1)).alias("n_rows"))
+    t = table(spark, d, "threads").select(history.field("config_json", "$.ocr_engine").alias("ocr_engine"), history.field("config_json", "$.local_mode").alias("local_mode"), history.field("result_json", "$.engineering_graph.drawing_type").alias("drawing_type"))
+    return t.groupBy("ocr_engine", "local_mode", "drawing_type").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def export_wide_csv(spark, d):
     return exports.wide(_entities(spark, d)[1])
 
 
+def export_plant_xml(spark, d):
+    return exports.plant_xml(_entities(spark, d)[1]).select("drawing_id", "group_name", "element")
+
+
+def export_xml_documents(spark, d):
+    """The lines of the drawings' XML documents by group: root, group and element lines."""
+    lines = exports.xml_documents(exports.plant_xml(_entities(spark, d)[1]))
+    return lines.groupBy("drawing_id", F.col("place.group").alias("group_no"), F.col("place.step").alias("step")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+def export_master(spark, d):
+    e, t = _entities(spark, d)
+    return exports.master(t | {"annotations": entities.annotations(e)}).groupBy("drawing_id", "section").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def export_flagged(spark, d):
+    return exports.flagged_entities(_entities(spark, d)[1])
+
+
+def export_sheets(spark, d):
+    e, t = _entities(spark, d)
+    kinds = _kinds(spark, d).withColumn("drawing_type", F.when(F.col("drawing_id") % 4 == 0, "EARTHING_LAYOUT").when(F.col("drawing_id") % 4 == 1, "ELECTRICAL_LAYOUT").when(F.col("drawing_id") % 4 == 2, "GENERIC").otherwise(F.col("drawing_type")))
+    return exports.sheets(t | {"annotations": entities.annotations(e)}, kinds)
+
+
+def validation_items(spark, d):
+    """The rules over the item tables as they were read: repeated tags, sizes, hosts, ends and odd tags of every row."""
+    return validation.validate(V.item_entities(spark, d)).groupBy("drawing_id", "rule_id", "severity", "target_tag", "message").agg(F.count(F.lit(1)).alias("n_reports"))
+
+
+def job_logs(spark, d):
+    jobs = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    logs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("log_order"), "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey")
+    j = history.with_logs(jobs.withColumnRenamed("o_orderkey", "log_order"), logs, "log_order", ["l_linenumber", "l_partkey", "l_suppkey"], ["l_returnflag"])
+    return j.select(F.col("log_order").alias("job_id"), "o_orderstatus", "log_no", "l_returnflag")
+
+
+def job_timeline(spark, d):
+    e = table(spark, d, "events").withColumn("level", F.when(F.col("value") > 90, "ERROR").otherwise("INFO"))
+    return history.timeline(e, "user_id", "ts", "event_type", "level", "props")
+
+
+def coco_annotations(spark, d):
+    b = V.boxes(spark, d).select("drawing_id", "box_idx")
+    images = corpus.split(b.select("drawing_id").distinct(), ["drawing_id"])
+    return corpus.annotation_ids(b, images).select("drawing_id", "box_idx", F.col("image_id").cast("long").alias("image_id"), F.col("ann_id").cast("long").alias("ann_id"))
+
+
 def export_relationships(spark, d):
     return exports.relationship_rows(_entities(spark, d)[1]["relationships"])
 
@@ -407,9 +493,9 @@ def flagged_queue(spark, d):
 _FUNCTIONS = """normalize_text canonical_tags confidence_filter scan_tags line_size_check setpoint_guard first_wins_tags preserved_notes classified_elements class_breakdown
 priority_sorted_topk canonical_dedup alias_list valve_on_line instrument_monitors psv_installed_on line_connects_to panel_feeds earthed_to all_relations synthetic_traces provenance_clean
 provenance_dropped relationships_resolved equipment_list line_list instrument_list valve_list datasheet_fields psv_set_pressure relief_valve_list luminaire_list panel_list cable_list earthing_list
-annotation_list total_items symbols_from_tags drawing_type document_type validation_report missing_entities orphan_instruments word_line_assembly bubble_assembly text_lines items_described box_iou
+annotation_list total_items symbols_from_tags drawing_type document_type validation_report missing_entities orphan_instruments word_line_assembly bubble_assembly text_lines items_described reader_texts position_context traced_lines local_extraction named_document_type box_iou
 nms_boxes tile_grid crop_boxes sheet_regions title_blocks document_title_blocks yolo_rows coco_rows symbol_class_ids corpus_metrics corpus_summary train_val_split chat_records job_status_kpi job_list job_current_state json_props thread_fields export_wide_csv
-export_relationships export_sheet export_objects flagged_queue""".split()
+export_relationships export_sheet export_objects flagged_queue export_plant_xml export_xml_documents export_master export_flagged export_sheets validation_items job_logs job_timeline coco_annotations""".split()
 QUERIES = {f: globals()[f] for f in _FUNCTIONS}
 
 _EDGE = "drawing_id, source_tag, target_tag, rel_type, rel_ord"
@@ -457,7 +543,7 @@ rem_ AS (SELECT *, CASE WHEN has THEN p[2:] ELSE p END r FROM sized_),
 line_table AS (SELECT l.drawing_id, l.ord, l.tag, CASE WHEN has THEN p[1] ELSE '' END size, r[1] service,
   CASE WHEN len(r) >= 5 OR (len(r) = 4 AND regexp_full_match(r[2], '[0-9]{1,3}')) THEN r[3] WHEN len(r) >= 2 THEN r[2] ELSE '0000' END sequence_number,
   CASE WHEN len(r) >= 5 OR (len(r) = 4 AND regexp_full_match(r[2], '[0-9]{1,3}')) THEN r[4] WHEN len(r) >= 3 THEN r[3] ELSE 'UNSPEC' END spec,
-  CASE WHEN len(r) >= 5 THEN r[5] WHEN len(r) = 4 AND NOT regexp_full_match(r[2], '[0-9]{1,3}') THEN r[4] END insulation, i.other from_node, coalesce(o.other, c.near || ' (off-page)') to_node
+  CASE WHEN len(r) >= 5 THEN r[5] WHEN len(r) = 4 AND NOT regexp_full_match(r[2], '[0-9]{1,3}') THEN r[4] END insulation, i.other from_node, coalesce(o.other, c.near || ' (off-page)') to_node, l.confidence, l.flag_reason
   FROM rem_ l LEFT JOIN outs o ON o.drawing_id = l.drawing_id AND o.tag = l.tag LEFT JOIN ins_ i ON i.drawing_id = l.drawing_id AND i.tag = l.tag LEFT JOIN calls c ON c.drawing_id = l.drawing_id AND c.tag = l.tag),
 in_host AS (SELECT drawing_id, tag, other host FROM ends WHERE rel_type IN ('MONITORS', 'INSTALLED_ON') QUALIFY row_number() OVER (PARTITION BY drawing_id, tag ORDER BY rel_ord, s) = 1),
 va_host AS (SELECT drawing_id, tag, other host FROM ends WHERE rel_type IN ('MONITORS', 'INSTALLED_ON', 'CONNECTS_TO') QUALIFY row_number() OVER (PARTITION BY drawing_id, tag ORDER BY rel_ord, s) = 1)"""
@@ -487,8 +573,8 @@ near_texts AS (SELECT c.drawing_id, c.first_tag, regexp_extract(t.tag, '([0-9]{{
   FROM centres c JOIN el t ON t.drawing_id = c.drawing_id AND t.x >= 0 AND t.y >= 0 AND regexp_matches(t.tag, '[0-9]{{3,5}}')),
 loops AS (SELECT * FROM near_texts WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY drawing_id, first_tag ORDER BY tier, ord) = 1),
 instrument_table AS (SELECT i.drawing_id, i.tag, {_kind(_INCODE, entities.INSTRUMENT_KINDS, _INCODE)} AS type, CASE WHEN l.tag IS NOT NULL THEN l.service || ' (' || l.tag || ')' ELSE h.host END service, 'Field' AS location,
-  coalesce(lo.num, nullif(regexp_extract(i.first_tag, '([0-9]{{3,5}}[A-Z]?)', 1), ''), '0000') loop_id, {_XY.format("y")}
-  FROM inst i LEFT JOIN in_host h ON h.drawing_id = i.drawing_id AND h.tag = i.first_tag LEFT JOIN line_table l ON l.drawing_id = i.drawing_id AND l.tag = h.host LEFT JOIN loops lo ON lo.drawing_id = i.drawing_id AND lo.first_tag = i.first_tag LEFT JOIN sym y ON y.drawing_id = i.drawing_id AND y.tag = i.first_tag),
+  coalesce(lo.num, nullif(regexp_extract(i.first_tag, '([0-9]{{3,5}}[A-Z]?)', 1), ''), '0000') loop_id, {_XY.format("y")}, fe.confidence, fe.flag_reason
+  FROM inst i JOIN el fe ON fe.drawing_id = i.drawing_id AND fe.tag = i.first_tag LEFT JOIN in_host h ON h.drawing_id = i.drawing_id AND h.tag = i.first_tag LEFT JOIN line_table l ON l.drawing_id = i.drawing_id AND l.tag = h.host LEFT JOIN loops lo ON lo.drawing_id = i.drawing_id AND lo.first_tag = i.first_tag LEFT JOIN sym y ON y.drawing_id = i.drawing_id AND y.tag = i.first_tag),
 sp_twins AS (SELECT drawing_id, {S.twin("tag")} k, arg_min(set_pressure, told_idx) v FROM pressures GROUP BY 1, 2),
 fl_twins AS (SELECT drawing_id, {S.twin("tag")} k, arg_min(f, told_idx) f FROM flanges GROUP BY 1, 2),
 relief_table AS (SELECT e.drawing_id, e.tag, 'PSV' AS type, regexp_extract(e.tag, '^([0-9]{{2}})-', 1) unit, coalesce(a.set_pressure, b.set_pressure, t.v, 'N/A') set_pressure, coalesce(fa.f, fb.f, ft.f) f, {_XY.format("y")} FROM el e
@@ -501,7 +587,7 @@ earthing_table AS (SELECT drawing_id, tag, replace(classification, '_TAG', '') c
  CASE classification WHEN 'EARTH_BAR_TAG' THEN coalesce(nullif(regexp_extract(tag, '([0-9]{{2,3}}\\s*[xX]\\s*[0-9]{{1,2}})', 1), ''), '50x6 mm') WHEN 'BOND_CONDUCTOR_TAG' THEN coalesce(nullif(regexp_extract(tag, '([0-9]{{2,3}}\\s*[xX]\\s*[0-9]{{1,2}}|[0-9]{{2,3}}\\s*SQMM)', 1), ''), '25x3 mm') END size, CASE classification WHEN 'EARTH_PIT_TAG' THEN '< 1.0 Ohm (Earth Electrode Grid)' END resistance FROM el WHERE classification IN ('EARTH_BAR_TAG', 'EARTH_PIT_TAG', 'BOND_CONDUCTOR_TAG'))"""
 )
 _VATYPE = _cascade("upper(v.first_tag)", entities.VALVE_HOLDS, "Valve")
-_VALVES = f"""valve_table AS (SELECT v.drawing_id, v.first_o ord, v.tag, {_VATYPE} AS type, l.size, h.host line_tag, e.confidence, e.aliases own, v.aliases folded
+_VALVES = f"""valve_table AS (SELECT v.drawing_id, v.first_o ord, v.tag, {_VATYPE} AS type, l.size, h.host line_tag, e.confidence, e.flag_reason, e.aliases own, v.aliases folded
   FROM va v JOIN el e ON e.drawing_id = v.drawing_id AND e.tag = v.first_tag LEFT JOIN va_host h ON h.drawing_id = v.drawing_id AND h.tag = v.first_tag LEFT JOIN line_table l ON l.drawing_id = v.drawing_id AND l.tag = h.host)"""
 _PSV = "psv_rows AS (SELECT * FROM el WHERE classification = 'PSV_TAG')"
 _MAP = f"""named AS (SELECT drawing_id, 0 i, first_o o, tag, tag n FROM eq UNION ALL SELECT e.drawing_id, 0, q.first_o, q.tag, unnest(string_split(e.aliases, ',')) FROM eq q JOIN el e ON e.drawing_id = q.drawing_id AND e.tag = q.first_tag AND e.aliases <> ''
@@ -526,6 +612,36 @@ reports AS (SELECT drawing_id, 'VAL-001' rule_id, 'ERROR' severity, tag target_t
  UNION ALL SELECT drawing_id, 'VAL-004', 'WARNING', tag, 'Orphan instrument: Instrument ''' || tag || ''' has no logical connections to lines or equipment.' FROM orphans
  UNION ALL SELECT drawing_id, 'VAL-005', 'WARNING', tag, 'Equipment tag ''' || tag || ''' does not match standard engineering equipment tag format.' FROM eq WHERE NOT regexp_matches(tag, '(?i)^([0-9]{{2}}-|[A-Z]{{1,4}}-?[0-9]+)'))"""
 
+_COUNTS = "counts AS (SELECT drawing_id, " + ", ".join(f"count(*) FILTER (WHERE t = '{c}') n_{c}" for c in ("equipment", "lines", "instruments", "valves", "relationships", "val_issues", "missing")) + " FROM (SELECT drawing_id, 'equipment' t FROM eq UNION ALL SELECT drawing_id, 'lines' FROM line_table UNION ALL SELECT drawing_id, 'instruments' FROM inst UNION ALL SELECT drawing_id, 'valves' FROM valve_table UNION ALL SELECT drawing_id, 'relationships' FROM edges UNION ALL SELECT drawing_id, 'val_issues' FROM reports UNION ALL SELECT drawing_id, 'missing' FROM reports WHERE rule_id IN ('VAL-003', 'VAL-004')) GROUP BY 1)"
+_TEXT = "regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '[.]$', '.0')"
+_DESCRIBED = f"text || ' | conf=' || {_TEXT.format('confidence')} || ' | pos=(' || {_TEXT.format('center_x')} || ',' || {_TEXT.format('center_y')} || ')'"
+#: The SQL table of each entity table, with what it has.
+_SQL_TABLES = {"equipment": "equipment_table", "lines": "line_table", "instruments": "instrument_table", "valves": "valve_table", "relief_valves": "(SELECT *, tag AS service, coalesce(f.inlet_size, 'N/A') inlet_size, coalesce(f.outlet_size, 'N/A') outlet_size, coalesce(f.inlet_spec, 'N/A') inlet_spec FROM relief_table)", "luminaires": "luminaire_table", "panels": "panel_table", "cables": "cable_table", "earthing": "earthing_table"}
+_LACKS = {"normal_state", "rating", "relief_destination", "circuit", "panel", "capacity_kva", "feeder_from", "size_mm2", "cores", "connected_to"}
+
+
+def _esc(c: str) -> str:
+    if c in _LACKS:
+        return "''"
+    return f"replace(replace(replace(replace(coalesce({c}::VARCHAR, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+_XML = " UNION ALL ".join(
+    f"SELECT drawing_id, '{group}' group_name, '<{element}' || " + " || ".join(f"' {a}=\"' || {_esc(c)} || '\"'" for a, c in attributes_) + " || '>' || " + " || ".join(f"'<{x}>' || {_esc(c)} || '</{x}>'" for x, c in children) + f" || '</{element}>' element FROM {_SQL_TABLES[name]}"
+    for name, group, element, attributes_, children in exports.GROUPS
+)
+_OBJECTS = " UNION ALL ".join(f"SELECT drawing_id, '{kind}' AS class, tag, json_object({', '.join(chr(39) + a + chr(39) + ', ' + ('NULL' if c in _LACKS else c) for a, c in own)})::VARCHAR attributes FROM {_SQL_TABLES[name]}" for kind, name, own in exports.OBJECTS)
+_ITEM_RULES = """seen AS (SELECT *, lag(kind) OVER (PARTITION BY drawing_id, tag ORDER BY i, o) before FROM (
+ SELECT drawing_id, 0 i, 'Equipment' kind, tag, item_id o FROM equipment_items WHERE tag IS NOT NULL UNION ALL SELECT drawing_id, 1, 'Line', tag, item_id FROM line_items WHERE tag IS NOT NULL
+ UNION ALL SELECT drawing_id, 2, 'Instrument', tag, item_id FROM instrument_items WHERE tag IS NOT NULL UNION ALL SELECT drawing_id, 3, 'Valve', tag, item_id FROM valve_items WHERE tag IS NOT NULL)),
+li AS (SELECT drawing_id, tag, arg_min(coalesce(size, 'None'), item_id) size FROM line_items WHERE tag IS NOT NULL GROUP BY 1, 2),
+ends AS (SELECT drawing_id, tag FROM line_items UNION SELECT drawing_id, unnest([from_node, to_node]) FROM line_items),
+reports AS (SELECT drawing_id, 'VAL-001' rule_id, 'ERROR' severity, tag target_tag, 'Duplicate tag ''' || tag || ''' detected across ' || before || ' and ' || kind || '.' message FROM seen WHERE before IS NOT NULL
+ UNION ALL SELECT v.drawing_id, 'VAL-002', 'ERROR', v.tag, 'Valve size (' || coalesce(v.size, 'None') || ') mismatch with host line size (' || l.size || ') on ''' || line_tag || '''.' FROM valve_items v JOIN li l ON l.drawing_id = v.drawing_id AND l.tag = v.line_tag WHERE v.tag IS NOT NULL AND line_tag <> '' AND trim(replace(coalesce(v.size, 'None'), '"', '')) <> trim(replace(l.size, '"', ''))
+ UNION ALL SELECT drawing_id, 'VAL-003', 'WARNING', tag, 'Orphan valve: Valve ''' || tag || ''' is not associated with any pipeline.' FROM valve_items WHERE coalesce(line_tag, '') = '' AND tag IS NOT NULL
+ UNION ALL SELECT drawing_id, 'VAL-004', 'WARNING', tag, 'Orphan instrument: Instrument ''' || tag || ''' has no logical connections to lines or equipment.' FROM instrument_items i WHERE tag IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.drawing_id = i.drawing_id AND e.tag = i.tag)
+ UNION ALL SELECT drawing_id, 'VAL-005', 'WARNING', tag, 'Equipment tag ''' || tag || ''' does not match standard engineering equipment tag format.' FROM equipment_items WHERE NOT regexp_matches(tag, '(?i)^([0-9]{2}-|[A-Z]{1,4}-?[0-9]+)'))"""
+
 ORACLES = {
     "normalize_text": f"SELECT doc_id, md5(trim(regexp_replace(text, '{N.WHITE}+', ' ', 'g'))) clean_md5, length(trim(regexp_replace(text, '{N.WHITE}+', ' ', 'g')))::INTEGER clean_length FROM documents",
     "canonical_tags": f"SELECT item_id, {S.canon('tag')} canonical, regexp_replace(regexp_replace(upper(tag), '^[0-9]{{2,3}}-', ''), '-[A-Z][A-Z0-9]{{0,3}}(\\n?)$', '\\1') equipment_key, regexp_replace(upper(tag), '^[0-9]{{2,3}}-?', '') valve_key, {S.twin('tag')} twin_key FROM instrument_items",
@@ -568,7 +684,12 @@ ORACLES = {
     "word_line_assembly": f"WITH {V.OCR_ITEMS}, {V.WORDS}, g AS (SELECT drawing_id, line_idx, round(y0, 1) b, string_agg(text, '' ORDER BY x0, word_idx) a, string_agg(text, ' ' ORDER BY x0, word_idx) c, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 FROM words GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT drawing_id, line_idx, a AS text, x0, y0, x1, y1 FROM g UNION ALL SELECT drawing_id, line_idx, c, x0, y0, x1, y1 FROM g WHERE a <> c",
     "bubble_assembly": f"WITH {V.OCR_ITEMS}, {V.WORDS} SELECT a.drawing_id, upper(a.text) || '-' || upper(b.text) AS text, a.center_x, a.center_y FROM words a JOIN words b ON a.drawing_id = b.drawing_id AND regexp_full_match(b.text, '[0-9]{{3,5}}[A-Z]?') AND abs(a.center_x - b.center_x) < 0.02 AND b.center_y - a.center_y > 0.005 AND b.center_y - a.center_y < 0.04 WHERE upper(a.text) IN {S.among(pages.INSTRUMENT_CODES)}",
     "text_lines": "SELECT doc_id, count(*) n_lines, sum(length(t))::BIGINT n_chars, max(i)::INTEGER last_idx FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) t, unnest(range(len(string_split(text, chr(10))))) i FROM documents) WHERE t <> '' GROUP BY 1",
-    "items_described": f"WITH {V.OCR_ITEMS} SELECT drawing_id, item_idx, md5(text || ' | ' || printf('%.3f', confidence)) line_md5 FROM ocr_items",
+    "items_described": f"WITH {V.OCR_ITEMS} SELECT drawing_id, item_idx, md5({_DESCRIBED}) line_md5 FROM ocr_items",
+    "reader_texts": f"WITH {V.OCR_ITEMS} SELECT drawing_id, (item_idx // 200)::INTEGER part, md5(string_agg({_DESCRIBED}, chr(10) ORDER BY item_idx)) text_md5 FROM ocr_items GROUP BY 1, 2",
+    "position_context": S.FOLDED + ", places AS (SELECT drawing_id, classification, x, y FROM el UNION ALL SELECT drawing_id, 'NOTE', center_x, center_y FROM ocr_items) SELECT drawing_id, classification, count(*) n_items, round(sum(CASE WHEN x > 1 THEN x / 3300 ELSE x END), 4) sum_x, round(sum(CASE WHEN y > 1 THEN y / 2338 ELSE y END), 4) sum_y FROM places GROUP BY 1, 2",
+    "traced_lines": S.FOLDED + f", {V.BOXES}, mids AS (SELECT drawing_id, box_idx tag, box_idx ord, (xmin + xmax) / 2 x, (ymin + ymax) / 2 y FROM boxes)," + S.nearest("hits", S.of_class("LINE_TAG", "CIRCUIT_TAG"), "SELECT * FROM mids", 0.25) + " SELECT e.drawing_id, e.tag, coalesce(b.ymin, round(e.y, 4)) y0, coalesce(b.xmin, round(greatest(0.05, e.x - 0.20), 4)) x0, coalesce(b.ymax, round(e.y, 4)) y1, coalesce(b.xmax, round(least(0.95, e.x + 0.20), 4)) x1 FROM el e LEFT JOIN hits h ON h.drawing_id = e.drawing_id AND h.tag = e.tag LEFT JOIN boxes b ON b.drawing_id = e.drawing_id AND b.box_idx = h.near WHERE e.classification IN ('LINE_TAG', 'CIRCUIT_TAG')",
+    "local_extraction": S.FOLDED + f", r AS (SELECT *, CASE WHEN classification = 'EQUIPMENT_TAG' THEN 0.04::DOUBLE ELSE 0.02::DOUBLE END reach FROM el) SELECT * FROM (SELECT drawing_id, {_SYMBOL} symbol_type, tag inferred_tag, round(greatest(0.0, y - reach), 4) ymin, round(greatest(0.0, x - reach), 4) xmin, round(least(1.0, y + reach), 4) ymax, round(least(1.0, x + reach), 4) xmax FROM r) WHERE symbol_type IS NOT NULL",
+    "named_document_type": f"WITH named AS (SELECT doc_id, text, title, concat_ws('_', drawing_type, source) f FROM documents), whole AS (SELECT doc_id, concat_ws(' ', title, regexp_replace(f, '[_-]', ' ', 'g')) || chr(10) || coalesce(text, '') body, concat_ws(' ', title, f) head FROM named), {S.kinds('whole', 'doc_id')} SELECT k.doc_id, CASE {' '.join(f'WHEN regexp_matches(head, {S.q('(?i)' + p)}) THEN {S.q(k)}' for p, k in documents.KEYWORDS)} ELSE k.drawing_type END drawing_type, score FROM kinds k JOIN whole USING (doc_id)",
     "box_iou": f"WITH {V.OCR_ITEMS}, {V.BOXES}, n AS (SELECT *, lead(ymin) OVER w ny0, lead(xmin) OVER w nx0, lead(ymax) OVER w ny1, lead(xmax) OVER w nx1 FROM boxes WINDOW w AS (PARTITION BY drawing_id ORDER BY box_idx)), p AS (SELECT drawing_id, box_idx, greatest(0, least(ymax, ny1) - greatest(ymin, ny0)) * greatest(0, least(xmax, nx1) - greatest(xmin, nx0)) i, (ymax - ymin) * (xmax - xmin) + (ny1 - ny0) * (nx1 - nx0) s FROM n WHERE ny0 IS NOT NULL) SELECT drawing_id, box_idx, round(CASE WHEN s - i <= 0 THEN 0 ELSE i / (s - i) END, 9) iou FROM p",
     "nms_boxes": f"""WITH RECURSIVE {V.OCR_ITEMS}, {V.BOXES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY drawing_id, symbol_type ORDER BY confidence DESC, box_idx) r FROM boxes),
 pass AS (SELECT DISTINCT drawing_id, symbol_type, 0::BIGINT r, []::STRUCT(i BIGINT, y0 DOUBLE, x0 DOUBLE, y1 DOUBLE, x1 DOUBLE)[] kept FROM ranked
@@ -581,9 +702,10 @@ SELECT drawing_id, unnest(kept).i box_idx, symbol_type FROM pass QUALIFY row_num
     "yolo_rows": f"WITH {V.OCR_ITEMS}, {V.BOXES}, c AS (SELECT drawing_id, box_idx, symbol_type, greatest(ymin, 0) y0, greatest(xmin, 0) x0, least(ymax, 1.0) y1, least(xmax, 1.0) x1 FROM boxes WHERE xmax > xmin AND ymax > ymin) SELECT drawing_id, box_idx, {_CLASS('symbol_type')} class_id, round((x0 + x1) / 2, 9) x_center, round((y0 + y1) / 2, 9) y_center, round(x1 - x0, 9) width, round(y1 - y0, 9) height FROM c",
     "coco_rows": f"WITH {V.OCR_ITEMS}, {V.BOXES} SELECT drawing_id, box_idx, {_CLASS('symbol_type')} class_id, round(xmin * 3300, 2) bbox_x, round(ymin * 2338, 2) bbox_y, round((xmax - xmin) * 3300, 2) bbox_w, round((ymax - ymin) * 2338, 2) bbox_h FROM boxes",
     "symbol_class_ids": f"WITH {V.OCR_ITEMS}, {V.BOXES} SELECT name, {_CLASS('name')} class_id FROM (SELECT p_type AS name FROM part UNION SELECT symbol_type FROM boxes)",
-    "corpus_metrics": _ALL + " SELECT drawing_id, count(*) FILTER (WHERE t = 'e') n_equipment, count(*) FILTER (WHERE t = 'l') n_lines, count(*) FILTER (WHERE t = 'i') n_instruments, count(*) FILTER (WHERE t = 'v') n_valves, count(*) FILTER (WHERE t = 'r') n_relationships FROM (SELECT drawing_id, 'e' t FROM eq UNION ALL SELECT drawing_id, 'l' FROM line_table UNION ALL SELECT drawing_id, 'i' FROM inst UNION ALL SELECT drawing_id, 'v' FROM valve_table UNION ALL SELECT drawing_id, 'r' FROM edges) GROUP BY 1",
-    "corpus_summary": "SELECT round(avg(o_totalprice) FILTER (WHERE o_orderstatus <> 'F'), 4) avg_price, round(count(*) FILTER (WHERE o_orderstatus <> 'F') / count(*)::DOUBLE, 9) success_rate FROM orders",
-    "train_val_split": "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= floor(0.8::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'val' END part FROM orders",
+    "corpus_metrics": f"{_REPORTS}, {_COUNTS} SELECT * FROM counts",
+    "corpus_summary": f"{_REPORTS}, {_COUNTS}, m AS (SELECT *, drawing_id % 7 <> 0 ok FROM counts) SELECT {', '.join(f'round(avg(n_{c}) FILTER (WHERE ok), 6) avg_{c}' for c in ('equipment', 'lines', 'instruments', 'valves', 'relationships', 'val_issues'))}, round(count(*) FILTER (WHERE ok) / count(*)::DOUBLE, 6) success_rate FROM m",
+    "train_val_split": "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderpriority, o_orderkey) <= floor(0.8::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'val' END part FROM orders",
+    "chat_records": S.FOLDED + ", cut AS (SELECT *, coalesce(sum(length(tag) + length(classification) + 32) OVER (PARTITION BY drawing_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM el) SELECT drawing_id, floor(before / 8000)::INTEGER part, count(*)::INTEGER n_items, md5(to_json({'items': list({'tag': tag, 'classification': classification} ORDER BY ord)})::VARCHAR) answer_md5 FROM cut GROUP BY 1, 2",
     "job_status_kpi": "SELECT count(*) total, count(*) FILTER (WHERE o_orderstatus = 'F') n_finished, count(*) FILTER (WHERE o_orderstatus = 'O') n_open, count(*) FILTER (WHERE o_orderstatus = 'P') n_pending FROM orders",
     "job_list": "SELECT o_orderkey, '50%' percent, CASE WHEN s <= 0 THEN 'N/A' WHEN s < 60 THEN printf('%.1fs', s) ELSE printf('%02dm %02ds', floor(s / 60)::BIGINT, floor(s % 60)::BIGINT) END duration, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') created FROM (SELECT *, o_totalprice / 100 s FROM orders)",
     "job_current_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE value > 50) kind_seen, arg_max(value, (ts, event_id)) FILTER (WHERE value <= 50) value_seen, max(ts) updated_at FROM events GROUP BY 1",
@@ -604,5 +726,16 @@ UNION ALL SELECT drawing_id, 'CABLE', tag, cable_type, '', '', coalesce(from_pan
 UNION ALL SELECT drawing_id, 'RELATIONSHIP', source, upper(type), target, 'conf=1.00', '', '' FROM edges""",
     "export_relationships": _ALL + " SELECT drawing_id, source, target, type, 1.0::DOUBLE confidence, '{}' attributes, '' flag_reason FROM edges",
     "export_sheet": _ALL + _TABLES + " SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY ord)::INTEGER row_no, tag, panel_type, CASE WHEN coordinates IS NULL THEN '-' ELSE '[' || replace(coordinates, ',', ', ') || ']' END coordinates FROM panel_table",
+    "export_objects": _ALL + _TABLES + " " + _OBJECTS,
+    "export_plant_xml": _ALL + _TABLES + " " + _XML,
+    "export_flagged": _ALL + _TABLES + """ SELECT drawing_id, 'Instrument' category, tag, floor(coalesce(confidence, 1.0) * 100)::BIGINT || '%' confidence, flag_reason, 'Type: ' || type || ', Location: Field' details FROM instrument_table WHERE flag_reason IS NOT NULL
+ UNION ALL SELECT drawing_id, 'Valve', tag, floor(coalesce(confidence, 1.0) * 100)::BIGINT || '%', flag_reason, 'Type: ' || type || ', Source: inferred_from_prefix' FROM valve_table WHERE flag_reason IS NOT NULL
+ UNION ALL SELECT drawing_id, 'Line Tag', tag, floor(coalesce(confidence, 1.0) * 100)::BIGINT || '%', flag_reason, 'Size: ' || size || ', Spec: ' || spec FROM line_table WHERE flag_reason IS NOT NULL""",
+    "export_master": _ALL + _TABLES + f" SELECT drawing_id, section, count(*) n_records FROM ({' UNION ALL '.join(f'SELECT drawing_id, {S.q(k)} section FROM {t}' for k, t in _SQL_TABLES.items())} UNION ALL SELECT drawing_id, 'generic' FROM el WHERE classification = 'EQUIPMENT_TAG' UNION ALL SELECT drawing_id, 'relationships' FROM edges UNION ALL SELECT drawing_id, 'annotations' FROM el WHERE classification IN ('NOTE', 'ELEVATION_TAG', 'RATING')) GROUP BY 1, 2",
+    "validation_items": f"WITH {_ITEM_RULES} SELECT drawing_id, rule_id, severity, target_tag, message, count(*) n_reports FROM reports GROUP BY ALL",
+    "job_logs": "SELECT o_orderkey job_id, o_orderstatus, CASE WHEN l_orderkey IS NULL THEN NULL ELSE row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) END::INTEGER log_no, l_returnflag FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey",
+    "job_timeline": "SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type step_name, CASE WHEN value > 90 THEN 'ERROR' ELSE 'INFO' END log_level, props message FROM events",
+    "coco_annotations": f"WITH {V.OCR_ITEMS}, {V.BOXES}, d AS (SELECT drawing_id, row_number() OVER (ORDER BY drawing_id) <= floor(0.8::DOUBLE * count(*) OVER ()) train FROM (SELECT DISTINCT drawing_id FROM boxes)), i AS (SELECT drawing_id, row_number() OVER (ORDER BY NOT train, drawing_id) - 1 image_id FROM d) SELECT drawing_id, box_idx, image_id, row_number() OVER (ORDER BY image_id, box_idx) - 1 ann_id FROM boxes JOIN i USING (drawing_id)",
+    "thread_fields": "SELECT ocr_engine, local_mode, drawing_type, count(*) n_rows FROM (SELECT CASE WHEN json_valid(config_json) THEN config_json->>'$.ocr_engine' END ocr_engine, CASE WHEN json_valid(config_json) THEN config_json->>'$.local_mode' END local_mode, CASE WHEN json_valid(result_json) THEN result_json->>'$.engineering_graph.drawing_type' END drawing_type FROM threads) GROUP BY ALL",
     "flagged_queue": S.FOLDED + " SELECT drawing_id, classification item_type, tag, confidence, flag_reason FROM el WHERE flag_reason IS NOT NULL",
 }

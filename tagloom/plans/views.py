@@ -91,3 +91,11 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOXES = f"""sides AS (SELECT l_suppkey drawing_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS item_idx, l_quantity / 1000 side FROM lineitem),
 boxes AS (SELECT drawing_id, item_idx box_idx, {_SYMBOLS.format(s="VARCHAR")} symbol_type, text, confidence, center_y ymin, center_x xmin, center_y + side ymax, center_x + side xmax FROM ocr_items JOIN sides USING (drawing_id, item_idx))"""
+
+
+def item_entities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The item tables as entity tables, for the rules: every row that has a tag; a line relates itself and its two ends."""
+    t = {k: table(spark, sf_dir, f"{n}_items").where("tag is not null").withColumn("ord", F.col("item_id")) for k, n in (("equipment", "equipment"), ("lines", "line"), ("instruments", "instrument"), ("valves", "valve"))}
+    l = table(spark, sf_dir, "line_items")
+    ends = l.select("drawing_id", F.explode(F.array("tag", "from_node", "to_node")).alias("source")).where("source is not null").distinct()
+    return t | {"relationships": ends.withColumn("target", F.col("source"))}
