@@ -95,7 +95,7 @@ def pressure_text(c: Column) -> Column:
 def number_text(c: Column) -> Column:
     """A double to six places at most, without exponent or idle zeros."""
     t = F.regexp_replace(F.format_string("%.6f", c), "0+$", "")
-    return F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t)
+    return F.when(c.isNull(), None).when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t)
 
 
 def position(center: Column, box: Column, low: int) -> Column:

@@ -45,7 +45,7 @@ def lines_of_text(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def described() -> Column:
     """An item as text for a reader: its words, confidence and place."""
-    n = lambda c: number_text(F.col(c))
+    n = lambda c: F.coalesce(number_text(F.col(c)), F.lit("None"))
     return F.concat("text", F.lit(" | conf="), n("confidence"), F.lit(" | pos=("), n("center_x"), F.lit(","), n("center_y"), F.lit(")"))
 
 

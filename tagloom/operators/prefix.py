@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def salted_prefix(df: DataFrame, keys: list[str], order: list[str], value: Column | str, out: str, salts: int = 64, bucket: Column | None = None) -> DataFrame:
+def salted_prefix(df: DataFrame, keys: list[str], order: list[str], value: Column | str, out: str, salts: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Add `out`: the sum of `value` over the rows before this one in its group.
 
     Each group is cut into buckets; a window runs inside each (group, bucket) and the buckets'
     totals, a few rows a group, are accumulated apart. The order is (bucket, *order). Without
     `bucket` a hash of the order columns spreads even the largest group evenly over `salts`
-    tasks, which suits ranks and allocations where any fixed order will do; with a `bucket` that
+    buckets (four a shuffle partition, 64 at least), which suits ranks and allocations where any fixed order will do; with a `bucket` that
     grows with the order columns the result is the running sum in that order.
 
     A null value counts as 0. Null keys form a group of their own. An empty table stays empty.
     """
     v, b, tot = "__pv", "__pb", "__pt"
+    if salts is None:
+        salts = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     value = F.col(value) if isinstance(value, str) else value
     df = df.withColumn(v, F.coalesce(value.cast("long"), F.lit(0))).withColumn(b, bucket if bucket is not None else F.pmod(F.xxhash64(*order), F.lit(salts)))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
