@@ -50,14 +50,21 @@ def vocabulary() -> list[tuple[str, int, str, int]]:
     return [(k, place[k], t, w) for k, t, w in VOCABULARY]
 
 
-def signals(texts: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, keyword (place of the first keyword pattern hit, null if none), tokens hit: per row, before any shuffle."""
+def signals(texts: DataFrame, doc: str, text: str, words: bool = True, phrases: bool = True) -> DataFrame:
+    """doc, keyword (place of the first keyword pattern hit, null if none), tokens hit (single words, phrases or both): per row, before any shuffle."""
     low, c = F.lower(text), F.col(text)
-    hits = F.array(*[F.when(low.contains(t), F.lit(i)) for i, (_, _, t, _) in enumerate(vocabulary())])
+    hits = F.array(*[F.when(low.contains(t), F.lit(i)) for i, (_, _, t, _) in enumerate(vocabulary()) if (phrases if " " in t else words)])
+    if not phrases:
+        return texts.select(doc, F.lit(None).cast("int").alias("keyword"), F.array_compact(hits).alias("hits"))
     first = F.coalesce(*[F.when(c.rlike("(?i)" + p), F.lit(i)) for i, (p, _) in enumerate(KEYWORDS)])
     return texts.select(doc, first.alias("keyword"), F.array_compact(hits).alias("hits"))
 
 
+def confident(items: DataFrame) -> DataFrame:
+    """The items that a drawing's kind is told from."""
+    return items.where((F.col("confidence") >= 0.25) & (F.col("text") != ""))
+
+
 def chained(items: DataFrame, span: int = 4, block: int = 4096) -> DataFrame:
     """drawing_id, text: each confident item with the span - 1 items after it, joined by blanks.
 
@@ -68,7 +75,7 @@ def chained(items: DataFrame, span: int = 4, block: int = 4096) -> DataFrame:
     which overlap by the span, so a large drawing is many windows.
     """
     said = F.col("text").rlike(f"(?!{WHITE})[\\s\\S]")
-    t = items.where((F.col("confidence") >= 0.25) & (F.col("text") != "")).select("drawing_id", "item_idx", "text", said.alias("said"))
+    t = confident(items).select("drawing_id", "item_idx", "text", said.alias("said"))
     t = t.withColumn("one", F.when(F.col("said"), F.lit(2**32)).otherwise(F.lit(1)).cast("long"))
     r = salted_prefix(t, ["drawing_id"], ["item_idx"], "one", "place", bucket=F.floor(F.col("item_idx") / block)).where("said")
     r = r.withColumns({"rank": F.shiftright("place", 32), "white": F.col("place").bitwiseAND(F.lit(2**32 - 1))})
@@ -82,17 +89,20 @@ def chained(items: DataFrame, span: int = 4, block: int = 4096) -> DataFrame:
     return r.withColumn("text", F.concat_ws("", *parts)).where(b == F.col("block")).select("drawing_id", "text")
 
 
-def kinds(texts: DataFrame, doc: str = "drawing_id", text: str = "text", title: str | None = None, filename: str | None = None) -> DataFrame:
+def kinds(texts: DataFrame, doc: str = "drawing_id", text: str = "text", title: str | None = None, filename: str | None = None, singles: DataFrame | None = None) -> DataFrame:
     """doc, drawing_type, label, discipline, score.
 
     Keyword patterns are tried on title and file name first, then on the texts, to which title and
     file name (with blanks for _ and -) belong; the first in the list wins.
     Else each kind scores the weights of its tokens that occur in any text; the best wins from 5
     on, the earlier kind of equals, else GENERIC. Each text is looked at alone (`chained` makes
-    rows that hold what spans items) and only the hits, at most a few hundred distinct numbers per
+    rows that hold what spans items; `singles` are the items alone, in each of which single words
+    are looked for once instead) and only the hits, at most a few hundred distinct numbers per
     doc, are combined. Null texts say nothing.
     """
-    s = signals(texts, doc, text)
+    s = signals(texts, doc, text, words=singles is None)
+    if singles is not None:
+        s = s.unionByName(signals(singles.select(doc, text).distinct(), doc, text, phrases=False))
     if title or filename:
         head = F.concat_ws(" ", *[c for c in (title, filename) if c])
         t = texts.select(F.col(doc), F.coalesce(*[F.when(head.rlike("(?i)" + p), F.lit(i - 100)) for i, (p, _) in enumerate(KEYWORDS)]).alias("keyword"), F.array().cast("array<int>").alias("hits"))
