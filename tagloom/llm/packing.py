@@ -135,3 +135,24 @@ def usage(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     held = packed.where("n_tokens > 0").groupBy("budget_id", "container_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("t"))
     by = held.groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("k").alias("n_pieces"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"))
     return by.join(budgets.select("budget_id", "capacity_tokens"), "budget_id").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
+
+
+def broken(packed: DataFrame, counts: DataFrame, budgets: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """budget_id, what, id of all that breaks the rules of packing; empty if nothing does.
+
+    `full`: a container above its capacity; `tokens`: a document whose pieces don't add up to its
+    tokens as often as it is told, or aren't there; `cut`: one in several pieces that fits in a container.
+    """
+    b = budgets.where("capacity_tokens >= 1").select(F.col("budget_id").alias("b_id"), F.col("capacity_tokens").cast("long").alias("capacity"))
+    held = packed.groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("t")).where("t > 0")
+    full = held.join(b, F.col("budget_id") == F.col("b_id")).where("t > capacity").select("budget_id", F.lit("full").alias("what"), F.col("container_id").alias("id"))
+    # Both sides as sums by document and budget, in long form.
+    want = counts.select(F.col(doc_id).cast("long").alias("id"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n"), F.explode(F.array(*[F.struct(F.lit(r.b_id).alias("budget_id"), F.lit(r.capacity).alias("capacity")) for r in b.collect()])).alias("b")) if not b.isEmpty() else None
+    if want is None:
+        return full
+    want = want.select("b.budget_id", "id", F.lit(0).cast("long").alias("got"), "n", F.lit(0).cast("long").alias("pieces"), F.greatest(F.ceil(F.col("n") / F.col("b.capacity")), F.lit(1)).cast("long").alias("least"))
+    got = packed.select("budget_id", F.col(doc_id).cast("long").alias("id"), F.col("n_tokens").cast("long").alias("got"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("pieces"), F.lit(0).cast("long").alias("least"))
+    sums = want.unionByName(got).groupBy("budget_id", "id").agg(*[F.sum(c).alias(c) for c in ("got", "n", "pieces", "least")])
+    tokens = sums.where("got <> n or pieces < least").select("budget_id", F.lit("tokens").alias("what"), "id")
+    cut = sums.where("pieces > least").select("budget_id", F.lit("cut").alias("what"), "id")
+    return full.unionByName(tokens).unionByName(cut)

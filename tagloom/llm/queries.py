@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.tags import tag_key, tag_key_sql
 from tagloom.llm import consensus, contamination, ledger, packing, spam
-from tagloom.session import stage, stage_path, table
+from tagloom.session import once, stage, stage_path, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +35,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.read().where("n_copies > 1").select("item_table", F.col("first_id").alias("first_item_id"), F.col("n_copies").cast("int").alias("n_copies"))
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, counted once a session."""
+    return once(spark, [f"{sf_dir}/documents.parquet"], "tokens", lambda: stage(packing.token_counts(table(spark, sf_dir, "documents")), "tokens"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stage(packing.token_counts(table(spark, sf_dir, "documents")), "tokens")
-    return packing.pack(counts, table(spark, sf_dir, "pack_budgets"))
+    return packing.pack(_tokens(spark, sf_dir), table(spark, sf_dir, "pack_budgets"))
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +54,11 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.usage(_packed(spark, sf_dir), table(spark, sf_dir, "pack_budgets"))
 
 
+def p7_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the packing, over all documents and budgets; no row is right: containers above their capacity, documents not packed whole, documents cut though they would fit."""
+    return packing.broken(_packed(spark, sf_dir), _tokens(spark, sf_dir), table(spark, sf_dir, "pack_budgets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and test item that share twelve consecutive words or more."""
     found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -66,7 +75,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_rates(spark, sf_dir).where("is_spam").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_packed, p7_usage, p8_found, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_packed, p7_usage, p7_broken, p8_found, p9_found, p9_rates)}
 
 _USABLE = {
     "confidence": "confidence > 0 AND confidence <= 1",
@@ -84,6 +93,7 @@ g AS (SELECT drawing_id d, k, min(item_id) first_item_id, count(*) n FROM r WHER
 SELECT first_item_id, coalesce(c.item_id, 0) confidence_item_id, coalesce(l.item_id, 0) loop_item_id, coalesce(x.item_id, 0) box_item_id
 FROM g LEFT JOIN b_confidence c USING (d, k) LEFT JOIN b_loop l USING (d, k) LEFT JOIN b_box x USING (d, k) WHERE n > 1""",
     "p5_found": " UNION ALL ".join(f"SELECT '{t}' item_table, min(item_id) first_item_id, count(*)::INTEGER n_copies FROM {t} WHERE {tag_key_sql('tag')} <> '' GROUP BY drawing_id, {tag_key_sql('tag')} HAVING count(*) > 1" for t in ("equipment_items", "valve_items", "instrument_items")),
+    "p7_broken": "SELECT budget_id, '' AS what, 0::BIGINT AS id FROM pack_budgets WHERE false",
     "p8_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents),
 e AS (SELECT eval_item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM eval_items),

@@ -88,3 +88,12 @@ def test_counts_are_of_whole_texts(spark):
     texts = [(1, "Hello world", 1), (2, "", 2), (3, None, 3), (4, long, 4), (5, "x" * 30_000, 5), (6, "<|endoftext|>", 6)]
     got = {r.doc_id: r.n_tokens for r in P.token_counts(spark.createDataFrame(texts, "doc_id long, text string, n_tokens int")).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] >= 60_000 and got[5] > 100 and got[6] > 1
+
+
+def test_broken_packings_are_told(spark):
+    counts = spark.createDataFrame([(1, 10), (2, 700), (3, 0), (4, 512)], "doc_id long, n_tokens long")
+    b = spark.createDataFrame([(1, 512), (2, None)], "budget_id int, capacity_tokens int")
+    good = P.pack(counts, b)
+    assert P.broken(good, counts, b).count() == 0 and P.broken(good, counts, b.where("budget_id = 2")).count() == 0
+    bad = spark.createDataFrame([(1, 0, 1, 0, 0, 10), (1, 0, 2, 0, 0, 512), (1, 1, 2, 1, 512, 100), (1, 2, 3, 0, 0, 0), (1, 3, 4, 0, 0, 500), (1, 4, 4, 1, 500, 12)], "budget_id int, container_id long, doc_id long, piece int, token_from long, n_tokens long")
+    assert sorted(map(tuple, P.broken(bad, counts, b).collect())) == [(1, "cut", 4), (1, "full", 0), (1, "tokens", 2)]
