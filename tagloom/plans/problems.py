@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.tags import tag_key, tag_key_sql
 from tagloom.operators import hierarchy, nested, references, units
-from tagloom.session import once, stage, stage_path, table
+from tagloom.session import stage, stage_path, table
 
 
 def p1_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,17 +27,13 @@ def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _typed_tables(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str]]:
-    """The folder of the typed subtype tables of all threads, outermost objects included, and their fields; written once a session.
+    """The folder of the typed subtype tables of all threads, outermost objects included, and their fields.
 
     A thread's states are told apart by ingested_at; a row told twice counts once.
     """
-
-    def build() -> tuple[str, dict[str, str]]:
-        told = table(spark, sf_dir, "threads").select("thread_id", "ingested_at", "config_json", "result_json").distinct()
-        path = stage_path(spark, "typed")
-        return path, nested.write_subtypes(nested.shred(told, ["thread_id", "ingested_at"], ["config_json", "result_json"], with_body=True, with_root=True), path)
-
-    return once(spark, [f"{sf_dir}/threads.parquet"], "typed", build)
+    told = table(spark, sf_dir, "threads").select("thread_id", "ingested_at", "config_json", "result_json").distinct()
+    path = stage_path(spark, "typed")
+    return path, nested.write_subtypes(nested.shred(told, ["thread_id", "ingested_at"], ["config_json", "result_json"], with_body=True, with_root=True), path)
 
 
 def p1_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
