@@ -11,6 +11,7 @@ time; what it shares with them is united before anything is counted or cut.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -121,12 +122,11 @@ class Automaton:
 _held: list = [None, None]
 
 
-def _automaton(block: Broadcast, least: int) -> Automaton:
-    """The block's automaton; a worker holds one at a time."""
-    key = (block.id if hasattr(block, "id") else id(block), least, len(block.value))
-    if _held[0] != key:
+def _automaton(block: Broadcast, name: str, least: int) -> Automaton:
+    """The automaton of the block of this name; a worker holds one at a time."""
+    if _held[0] != (name, least):
         _held[:] = [None, None]  # the old one goes before the new one is built
-        _held[:] = [key, Automaton({i: words(t) for i, t in block.value}, least)]
+        _held[:] = [(name, least), Automaton({i: words(t) for i, t in block.value}, least)]
     return _held[1]
 
 
@@ -170,8 +170,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         return spark.sparkContext.broadcast(tuple(sorted((r.i, r.t) for r in part.collect())))
 
     def found(block: Broadcast) -> DataFrame:
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(block, least)
+            auto = _automaton(block, name, least)
             for b in batches:
                 rows = [(i, *_cover(auto, words(t))) for i, t in enumerate(b.column(1).to_pylist()) if t]
                 yield _hits(b, [r for r in rows if r[1]])

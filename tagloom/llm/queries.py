@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.tags import tag_key, tag_key_sql
 from tagloom.llm import consensus, contamination, ledger, packing, spam
-from tagloom.session import once, stage, stage_path, table
+from tagloom.session import stage, stage_path, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +36,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's number of tokens, counted once a session."""
-    return once(spark, [f"{sf_dir}/documents.parquet"], "tokens", lambda: stage(packing.token_counts(table(spark, sf_dir, "documents")), "tokens"))
+    return stage(packing.token_counts(table(spark, sf_dir, "documents")), "tokens")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +55,8 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with the packing, over all documents and budgets; no row is right: containers above their capacity, documents not packed whole, documents cut though they would fit."""
-    return packing.broken(_packed(spark, sf_dir), _tokens(spark, sf_dir), table(spark, sf_dir, "pack_budgets"))
+    counts, budgets = _tokens(spark, sf_dir), table(spark, sf_dir, "pack_budgets")
+    return packing.broken(packing.pack(counts, budgets), counts, budgets)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
