@@ -106,7 +106,7 @@ def kinds(texts: DataFrame, doc: str = "drawing_id", text: str = "text", title:
     if title or filename:
         head = F.concat_ws(" ", *[c for c in (title, filename) if c])
         t = texts.select(F.col(doc), F.coalesce(*[F.when(head.rlike("(?i)" + p), F.lit(i - 100)) for i, (p, _) in enumerate(KEYWORDS)]).alias("keyword"), F.array().cast("array<int>").alias("hits"))
-        names = [F.col(title)] * bool(title) + [F.regexp_replace(filename, "[_-]", " ")] * bool(filename)
+        names = ([F.col(title)] if title else []) + ([F.regexp_replace(filename, "[_-]", " ")] if filename else [])
         s = s.unionByName(t).unionByName(signals(texts.select(doc, F.concat_ws(" ", *names).alias("__name")), doc, "__name"))
     v = vocabulary()
     heard = s.select(doc, "keyword", F.explode_outer("hits").alias("hit")).groupBy(doc).agg(F.min("keyword").alias("keyword"), F.collect_set("hit").alias("hits"))

@@ -185,7 +185,7 @@ def sheets(tables: dict[str, DataFrame], kinds: DataFrame) -> DataFrame:
 
 
 def write(tables: dict[str, DataFrame], path: str) -> None:
-    """All deliverables below path, each partitioned by drawing: wide and relationship CSV, object and master JSON, one XML document a drawing, one Parquet table per entity type.
+    """All deliverables below path, each partitioned by drawing: wide and relationship CSV, object and master JSON, objects as XML rows, one XML document a drawing, one Parquet table per entity type.
 
     Rows are brought together by drawing before they are written, large drawings in several parts
     and small ones many to a task, so a drawing gets few files.
@@ -195,6 +195,7 @@ def write(tables: dict[str, DataFrame], path: str) -> None:
     if "relationships" in tables:
         part(relationship_rows(tables["relationships"])).option("header", True).csv(f"{path}/relationships_csv")
     part(objects(tables)).json(f"{path}/objects_json")
+    objects(tables).write.mode("overwrite").format("xml").option("rootTag", "Plant").option("rowTag", "Object").save(f"{path}/objects_xml")
     part(master(tables)).json(f"{path}/master_json")
     # A document is one file, so its lines pass one task in order; they are sorted on disk, not held.
     lines = xml_documents(plant_xml(tables)).repartition("drawing_id").sortWithinPartitions("drawing_id", "place")

@@ -49,7 +49,7 @@ def test_sheets_follow_the_kind_of_drawing(spark):
 
 def test_writing_all_deliverables(spark, tmp_path):
     exports.write(tables(spark), str(tmp_path / "out"))
-    assert {p.name for p in (tmp_path / "out").iterdir()} == {"wide_csv", "relationships_csv", "objects_json", "master_json", "plant_xml", "tables"}
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"wide_csv", "relationships_csv", "objects_json", "objects_xml", "master_json", "plant_xml", "tables"}
     one = list((tmp_path / "out/plant_xml/drawing_id=1").glob("*.txt"))
     assert len(one) == 1 and len(xml.dom.minidom.parseString(one[0].read_text()).getElementsByTagName("Equipment")) == 2
 
