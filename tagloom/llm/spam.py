@@ -1,10 +1,9 @@
 """Keyword-stuffed pages, link lists and product tags: bagged trees on content and link features.
 
-The words of spam are learnt, not listed: from a bounded sample of pages, those that are mostly
-links give the first words, these give further pages, and so on. With these words every page is
+The words of spam are learnt, not listed: of all pages those that are mostly links give the first words, these give further pages, and so on. With these words every page is
 read once and whole; its features say how its words are spread over links, menus, product tags,
 repeated phrases and other text. Clear pages, by the share of their words in spam passages, are
-weak labels. The trees don't see that share: each is grown on a bootstrap sample, each split from
+weak labels. The trees don't see that share: each is grown on a bootstrap of all labelled pages, each split from
 a random part of the features, and all vote on all pages. A host's spam rate then moves the vote
 of its pages, which settles those that the trees leave open.
 """
@@ -269,18 +268,173 @@ class Trees:
         return total / len(self.trees)
 
 
-def sampled_words(docs: DataFrame, doc_id: str, text: str, max_pages: int) -> Words:
-    """`learn_words` over about max_pages pages at most, chosen by a hash of their ids."""
-    share = min(1.0, max_pages / max(1, docs.count()))
-    some = docs.where(F.col(text).isNotNull() & (F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)), F.lit(0)) < int(share * 1_000_000)))
+#: Distinct words that a task counts in memory before it hands them on.
+_HELD = 200_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def corpus_words(docs: DataFrame, text: str = "text", rounds: int = 3, ratio: float = 20.0) -> Words:
+    """`learn_words` over all pages: read once, then counted once a round, in Arrow batches whose counts are added up.
+
+    Only words told on enough pages to pass a threshold come to the driver, a few thousand at most.
+    """
+    kinds = "n long, total long, inside string, plain string"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [told(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([" ".join(r[2]) for r in rows]), pa.array([" ".join(r[3]) for r in rows])], names=["n", "total", "inside", "plain"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([" ".join(r[2]) for r in rows], pa.string()), pa.array([" ".join(r[3]) for r in rows], pa.string())], names=["n", "total", "inside", "plain"])
+
+    pages = stage(docs.where(F.col(text).isNotNull()).select(text).mapInArrow(read, kinds), "told")
+
+    def counted(spam: frozenset[str] | None) -> DataFrame:
+        """w, here, plainly, every: pages of spam with the word, those with it outside links, all pages with it outside links. The row '' counts pages: here those of spam, every all."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, plainly, every = Counter(), Counter(), Counter()
+
+            def out() -> pa.RecordBatch:
+                ws = list(every.keys() | here.keys())
+                return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *[pa.array([c[w] for w in ws], pa.int64()) for c in (here, plainly, every)]], names=["w", "here", "plainly", "every"])
+
+            for b in batches:
+                for n, total, inside, plain in zip(*[c.to_pylist() for c in b.columns]):
+                    ws = plain.split(" ") if plain else []
+                    every.update(ws)
+                    every[""] += 1
+                    if total and (n > 0.6 * total or spam and ws and sum(w in spam for w in ws) >= max(2, 0.3 * len(ws))):
+                        plainly.update(ws)
+                        here.update({*ws, *inside.split()} if spam is None else ws)
+                        here[""] += 1
+                if len(every) > _HELD:
+                    yield out()
+                    here.clear(), plainly.clear(), every.clear()
+            yield out()
+
+        return pages.mapInArrow(run, "w string, here long, plainly long, every long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("here", "plainly", "every")])
+
+    spam: frozenset[str] | None = None
+    for r in range(rounds + 1):
+        found = stage(counted(spam), "words")
+        top = found.where("w = ''").first()
+        n_bad, n_all = (top["here"], top["every"]) if top else (0, 0)
+        seen = F.col("here") * (n_all - n_bad + 1) >= ratio / 2 ** (rounds - r) * n_bad * (F.col("every") - F.col("plainly") + 1)
+        spam = frozenset(x["w"] for x in found.where((F.col("w") != "") & (F.col("here") >= 2) & (F.col("here") >= 0.003 * n_bad) & seen).select("w").collect())
+    common = found.where((F.col("w") != "") & (F.col("every") >= max(2, 0.01 * n_all)) & (F.col("here") * n_all < F.col("every") * max(1, n_bad))).select("w").collect()
+    return Words(spam or frozenset(), frozenset(x["w"] for x in common) - (spam or frozenset()))
+
+
+#: Cut points tried for a feature.
+BINS = 256
+
+
+def binned(x: np.ndarray) -> np.ndarray:
+    """The bin of each value: shares in 256ths, the two lengths by sixteenths of a logarithm; 0 only for 0."""
+    y = np.where(np.arange(x.shape[1]) == FEATURES.index("words_a_segment"), np.log1p(np.maximum(x, 0)) * 16, np.where(np.arange(x.shape[1]) == FEATURES.index("log_words"), x * 16, x * (BINS - 1)))
+    return np.clip(np.ceil(y), 0, BINS - 1).astype(np.int64)
+
+
+def _drawn(h: np.ndarray, n_trees: int) -> np.ndarray:
+    """How often each page (by the hash of its id) stands in each tree's bootstrap sample: 0, 1, 2, ... as a sample of all pages drawn with replacement has them."""
+    with np.errstate(over="ignore"):
+        z = h.astype(np.int64).view(np.uint64)[:, None] + (np.arange(1, n_trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    chance = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(chance, (z >> np.uint64(11)).astype(float) / 2**53, side="right")
+
+
+class Forest(Trees):
+    """Bagged trees grown on all labelled pages, level by level: a pass counts the pages of each node by feature bin, in Arrow batches; only these counts come to the driver."""
+
+    def __init__(self, labelled: DataFrame, n_trees: int = 25, depth: int = 8, least: int = 3, tried: int = 4, seed: int = 1) -> None:
+        """labelled: h (a hash of the page's id), x, y (0 or 1). Both classes weigh the same."""
+        n_y = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.trees = []
+        if not (n_y.get(0) and n_y.get(1)):
+            return
+        fair = {y: sum(n_y.values()) / 2 / n for y, n in n_y.items()}
+        rng = np.random.default_rng(seed)
+        nodes: list[list] = [[None] for _ in range(n_trees)]
+        open_: list[list[int]] = [[0] for _ in range(n_trees)]
+        asked = {(t, 0): rng.permutation(len(FEATURES))[:tried].tolist() for t in range(n_trees)}
+        for level in range(depth + 1):
+            if not asked:
+                break
+            counts = self._count(labelled, nodes, asked)
+            nxt = {}
+            for (t, me), fs in asked.items():
+                c = counts.get((t, me), np.zeros((len(fs), BINS, 2)))
+                w0, w1 = c[:, :, 0] * fair[0], c[:, :, 1] * fair[1]
+                s0, s1 = float(w0[0].sum()), float(w1[0].sum())
+                best = None
+                if level < depth and s0 and s1:
+                    a0, a1, k = np.cumsum(w0, 1)[:, :-1], np.cumsum(w1, 1)[:, :-1], np.cumsum(c.sum(2), 1)[:, :-1]
+                    all_k = c[0].sum()
+                    ok = (k >= least) & (all_k - k >= least)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        gini = a0 * a1 / (a0 + a1) + (s0 - a0) * (s1 - a1) / (s0 + s1 - a0 - a1)
+                    gini = np.where(ok, gini, np.inf)
+                    i, j = np.unravel_index(int(np.argmin(gini)), gini.shape)
+                    if gini[i, j] < np.inf:
+                        # Between two values all cuts are as good: the middle one.
+                        worse = np.flatnonzero(gini[i, j:] > gini[i, j] + 1e-12)
+                        best = (fs[i], int(j + (worse[0] - 1 if len(worse) else gini.shape[1] - 1 - j) // 2))
+                rate = (s1 + 0.5) / (s0 + s1 + 1)
+                if best is None:
+                    nodes[t][me] = (-1, 0.0, 0, 0, rate)
+                    continue
+                left, right = len(nodes[t]), len(nodes[t]) + 1
+                nodes[t] += [None, None]
+                nodes[t][me] = (best[0], float(best[1]), left, right, rate)
+                for child in (left, right):
+                    nxt[t, child] = rng.permutation(len(FEATURES))[:tried].tolist()
+            asked = nxt
+        self.trees = nodes
+
+    @staticmethod
+    def _count(labelled: DataFrame, nodes: list[list], asked: dict) -> dict:
+        by_tree: dict[int, dict[int, list[int]]] = {}
+        for (t, me), fs in asked.items():
+            by_tree.setdefault(t, {})[me] = fs
+        known = [[n if n else (-1, 0.0, 0, 0, 0.0) for n in tree] for tree in nodes]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict = {}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = binned(np.array(b.column(1).to_pylist(), float).reshape(-1, len(FEATURES)))
+                y, often = np.array(b.column(2).to_pylist(), np.int64), _drawn(np.array(b.column(0).to_pylist(), np.int64), len(known))
+                for t, wanted in by_tree.items():
+                    at = _reached(known[t], x)
+                    for me in wanted.keys() & set(np.unique(at).tolist()):
+                        i = np.flatnonzero(at == me)
+                        got = np.stack([np.bincount(x[i, f] * 2 + y[i], often[i, t], BINS * 2) for f in wanted[me]])
+                        sums[t, me] = sums[t, me] + got if (t, me) in sums else got
+            for (t, me), v in sums.items():
+                flat = v.ravel()
+                i = np.flatnonzero(flat)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), t)), pa.array(np.full(len(i), me)), pa.array(i), pa.array(flat[i].astype(np.int64))], names=["t", "node", "i", "n"])
+
+        out: dict = {}
+        for r in labelled.select("h", "x", "y").mapInArrow(run, "t long, node long, i long, n long").groupBy("t", "node", "i").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
+            out.setdefault((r.t, r.node), np.zeros(len(asked[r.t, r.node]) * BINS * 2))[r.i] = r.n
+        return {k: v.reshape(-1, BINS, 2) for k, v in out.items()}
+
+    def rate(self, x: np.ndarray) -> np.ndarray:
+        b = binned(x)
+        return sum(np.array([n[4] for n in nodes])[_reached(nodes, b)] for nodes in self.trees) / len(self.trees)
+
 
-    pages = some.select(text).mapInArrow(run, "n long, total long, inside string, plain string").collect()
-    return learn_words([(r.n, r.total, r.inside.split(), r.plain.split()) for r in pages])
+def _reached(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
+    """The node in which each row ends."""
+    f, cut, a, b, _ = (np.array(c) for c in zip(*nodes))
+    at = np.zeros(len(x), int)
+    while (inner := f[at] >= 0).any():
+        go = x[np.arange(len(x)), np.maximum(f[at], 0)] <= cut[at]
+        at = np.where(inner, np.where(go, a[at], b[at]), at)
+    return at
 
 
 def page_features(docs: DataFrame, words: Words, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -301,31 +455,28 @@ def weak_label(covered: str = "covered") -> Column:
     return F.when(F.col(covered) >= 0.65, 1).when(F.col(covered) <= 0.35, 0)
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_labels: int = 4_000, max_pages: int = 10_000, host_weight: float = 0.3, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_labels: int | None = None, host_weight: float = 0.3, threshold: float = 0.5) -> DataFrame:
     """doc_id, host, page_rate, host_rate, spam_rate, is_spam for every page.
 
-    The words are learnt from about max_pages pages at most, the trees on at most max_labels weakly
-    labelled pages, half of each class at most, those with the smallest hashes of their ids;
-    everything else runs over all pages. A host's rate is its pages' mean, drawn to that of all
+    The words are learnt from all pages, the trees from all weakly labelled ones. A caller may bound
+    these by max_labels, half of each class at most, those with the smallest hashes of their ids. A host's rate is its pages' mean, drawn to that of all
     pages by 20 pages' weight; it shifts the log odds of its pages by host_weight times its own
-    log odds against all pages'. Pages without a host form one host. Without both labels in the
-    sample the weak label itself is the page's rate (0.5 where open). Empty and null texts are no
+    log odds against all pages'. Pages without a host form one host. Without both labels the weak label itself is the page's rate (0.5 where open). Empty and null texts are no
     spam. An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    pages = stage(page_features(docs, sampled_words(docs, doc_id, text, max_pages), doc_id, text, host), "pages")
+    pages = stage(page_features(docs, corpus_words(docs, text), doc_id, text, host), "pages")
     labelled = pages.withColumn("y", weak_label()).where("y is not null")
-    sample = []
-    for y in (0, 1):
-        sample += labelled.where(F.col("y") == y).select("x", "y", F.xxhash64(doc_id).alias("h"), doc_id).orderBy("h", doc_id).limit(max_labels // 2).select("x", "y").collect()
-    y = np.array([r.y for r in sample])
-    trees = Trees(np.array([r.x for r in sample], float), y) if len(sample) and 0 < y.sum() < len(y) else None
+    labelled = labelled.select(F.coalesce(F.xxhash64(doc_id), F.lit(0)).alias("h"), doc_id, "x", "y")
+    if max_labels is not None:
+        labelled = labelled.where("y = 0").orderBy("h", doc_id).limit(max_labels // 2).unionByName(labelled.where("y = 1").orderBy("h", doc_id).limit(max_labels // 2))
+    trees = Forest(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array(b.column(2).to_pylist(), float).reshape(-1, len(FEATURES))
             c = np.array(b.column(3).to_pylist(), float)
-            r = trees.rate(x) if trees else np.where(c >= 0.65, 0.98, np.where(c <= 0.35, 0.02, 0.5))
+            r = trees.rate(x) if trees.trees else np.where(c >= 0.65, 0.98, np.where(c <= 0.35, 0.02, 0.5))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.clip(r, 0.02, 0.98)), pa.array(x[:, -1] > 0)], names=[doc_id, "host", "page_rate", "some"])
 
     # Rated once: the hosts and the whole both sum it.

@@ -130,3 +130,24 @@ def test_trees_find_what_the_label_leaves_open():
     assert (((trees.rate(x) > 0.5) == y)[held]).mean() >= (((c > 0.5) == y)[held]).mean()
     used = {n[0] for t in trees.trees for n in t if n[0] >= 0}
     assert len(used) >= 4
+
+
+def test_words_come_from_all_pages(spark, monkeypatch):
+    """Counted in batches over the whole table, with handing on in between, they are those of `learn_words` over a list of all pages."""
+    monkeypatch.setattr(S, "_HELD", 20)
+    df = spark.createDataFrame([(i, t) for i, t, _, _, _ in corpus(600, 5)] + [(9999, None)], "doc_id long, text string").repartition(5)
+    assert S.corpus_words(df) == learnt(5, 600)
+    assert S.corpus_words(df.limit(0)) == S.Words(frozenset(), frozenset())
+
+
+def test_trees_grow_on_all_labels(spark):
+    """No page is left out of the counts: the first node of each tree has all pages, as often as they were drawn."""
+    rng = np.random.default_rng(0)
+    x = rng.random((6000, len(S.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(int)
+    df = spark.createDataFrame([(i * 7919, x[i].tolist(), int(y[i])) for i in range(5000)], "h long, x array<double>, y int")
+    got = S.Forest._count(df, [[None], [None]], {(0, 0): [0, 1], (1, 0): [2]})
+    often = S._drawn(np.arange(5000) * 7919, 2)
+    assert [got[t, 0][0].sum() for t in (0, 1)] == often.sum(0).tolist() and 0.95 < often.mean() < 1.05
+    f = S.Forest(df, n_trees=5, tried=len(S.FEATURES))
+    assert len(f.trees) == 5 and ((f.rate(x[5000:]) > 0.5) == y[5000:]).mean() > 0.9
