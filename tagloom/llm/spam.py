@@ -31,11 +31,14 @@ _SPLIT = re.compile(r"\n+|[.!?:]\s+(?=[^\W\d_a-z]|¿|¡)")
 _ITEM = re.compile(r"\s*[,;|•*·»>\t]\s*|\s[-–/]\s|(?<=[^\W\d]): |  +")
 _WORD = re.compile(r"[^\W_]+(?:[&'’][^\W_]+)*")
 _PLAIN = re.compile(r"[^\W_]+")
+#: What parts the words of a text of ASCII alone is a blank, letters are small: words are told by it faster.
+_ASCII = {i: chr(i).lower() if chr(i).isalnum() or chr(i) in "&'" else " " for i in range(128)}
 _CODE = re.compile(r"[-‐-―]\d|\d\d[A-Za-z]{1,5}\d\d|\d:\d\d")
 _SKU = re.compile(r"\W*[A-Za-z]{2,5}-\d{3,}\W*")
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = frozenset("0123456789")
-_PATH = re.compile(r"\s(?:[»>/›→])\s")
+_STEPS = "»>/›→"
+_PATH = re.compile(rf"\s(?:[{_STEPS}])\s")
 
 
 class Words(NamedTuple):
@@ -59,16 +62,30 @@ def told(text: str) -> tuple[int, int, set[str], set[str]]:
 
     rest = _LINK.sub(take, text) if _linked(text) else text
     rest = _MARK.sub(take, rest) if "#" in rest or "@" in rest else rest
-    plain = _WORD.findall(rest.lower())
-    linked = _PLAIN.findall(" ".join(inside))
+    plain = _words_in(rest)
+    linked = _PLAIN.findall(" ".join(inside)) if inside else []
     clear = len(linked)
-    if len(plain) >= 20 and sum(w[0] in _DIGITS for w in plain) * 20 <= len(plain):
-        pairs = Counter(zip(plain, plain[1:]))
-        again = [pairs[g] >= 3 for g in zip(plain, plain[1:])]
-        clear += sum(a or b for a, b in zip([*again, False], [False, *again]))
+    # A word that begins with a digit sorts before a colon, all others after it.
+    if len(plain) >= 20 and sum(map(":".__gt__, plain)) * 20 <= len(plain):
+        often = {g for g, n in Counter(zip(plain, plain[1:])).items() if n >= 3}
+        if often:
+            again = [g in often for g in zip(plain, plain[1:])]
+            clear += sum(a or b for a, b in zip([*again, False], [False, *again]))
     return clear, len(linked) + len(plain), set(linked), set(plain)
 
 
+def _words_in(text: str) -> list[str]:
+    """The words of the text's small letters, as _WORD finds them."""
+    if not text.isascii():
+        if "\n" in text:  # no word runs over a line's end
+            return [w for line in text.split("\n") for w in _words_in(line)]
+        return _WORD.findall(text.lower())
+    ws = text.translate(_ASCII).split()
+    if "'" in text or "&" in text:
+        return [x for w in ws for x in (_WORD.findall(w) if "'" in w or "&" in w else (w,))]
+    return ws
+
+
 def _linked(text: str) -> bool:
     low = text.lower()
     return "www." in low or "://" in low or "[url" in low or "<a" in low
@@ -91,20 +108,25 @@ def features(text: str, words: Words) -> tuple[list[float], float]:
     rest = _LINK.sub(links, text) if _linked(text) else text
     rest = _MARK.sub(marks, rest) if "#" in rest or "@" in rest else rest
     segments = []
-    pairs: Counter = Counter()
+    told_pairs: list[tuple[str, str]] = []
+    pathy = any(c in rest for c in _STEPS) and _PATH.search(rest)
     selling = function = coded = plain = 0
     spam, common = words
     for raw in _SPLIT.split(rest):
-        ws = _WORD.findall(raw.lower())
+        ws = _words_in(raw)
         if not ws and "\x01" not in raw and "\x02" not in raw:
             continue
         content = [w for w in ws if w not in common]
         nf = len(ws) - len(content)
-        ns = sum(w in spam for w in content)
-        codes = len(_CODE.findall(raw)) if _DIGIT.search(raw) else 0
-        keys = [w for w in content if w not in spam and w[0] not in _DIGITS and w[-1] not in _DIGITS]
+        ns = sum(map(spam.__contains__, content))
+        if _DIGIT.search(raw):
+            codes = len(_CODE.findall(raw))
+            keys = [w for w in content if w not in spam and w[0] not in _DIGITS and w[-1] not in _DIGITS]
+        else:
+            codes = 0
+            keys = [w for w in content if w not in spam] if ns else content
         grams = list(zip(keys, keys[1:])) if len(keys) > 1 else []
-        pairs.update(grams)
+        told_pairs += grams
         segments.append((raw, ws, content, keys, grams, nf, ns, codes))
         plain += len(ws)
         selling += ns
@@ -113,11 +135,13 @@ def features(text: str, words: Words) -> tuple[list[float], float]:
     total = plain + linked + tagged
     if not total:
         return [0.0] * len(FEATURES), 0.0
+    pairs = Counter(told_pairs)
     # Phrases told again and again; one in four words of a sentence belongs to them by chance, not one in two.
     often = {g for g, n in pairs.items() if n >= 3}
     single = Counter([w for s in segments for w in s[3] if len(w) >= 5])
     known = {w for w, n in single.items() if n >= 3}
     sells = selling * 30 >= plain + 1
+    listing = sells or often or known  # else no item of a list is known
     menu = stuffed = listed = captions = 0
     kinds: list[int] = []
     for raw, ws, content, keys, grams, nf, ns, codes in segments:
@@ -125,13 +149,13 @@ def features(text: str, words: Words) -> tuple[list[float], float]:
         kind = 0  # 1 spam of some kind, 2 a bare code that goes with its neighbours, 0 other
         if not n:
             kind = 1
-        elif codes == 0 and (paths := len(_PATH.findall(raw))) and (ws[0] in spam or paths > 1) and sum(w[0].isupper() for w in _WORD.findall(raw)) * 2 > n:
+        elif pathy and codes == 0 and (paths := len(_PATH.findall(raw))) and (ws[0] in spam or paths > 1) and sum(w[0].isupper() for w in _WORD.findall(raw)) * 2 > n:
             menu += n
             kind = 1
         elif codes * 8 <= n and sells and (_repeats(keys, grams, ns, n) or ns > 1 and ns * 2 >= len(content)):
             stuffed += n
             kind = 1
-        elif codes * 8 <= n and nf * 2 <= n and (hit := _items_known(raw, often, known, sells, n, words)):
+        elif listing and codes * 8 <= n and nf * 2 <= n and (hit := _items_known(raw, often, known, sells, n, words)):
             listed += hit
             kind = 1
         elif "\x01" in raw and n <= 8 and nf <= 3 and codes == 0:
@@ -287,40 +311,57 @@ def corpus_words(docs: DataFrame, text: str = "text", rounds: int = 3, ratio: fl
     pages = stage(docs.where(F.col(text).isNotNull()).select(text).mapInArrow(read, kinds), "told")
 
     def counted(spam: frozenset[str] | None) -> DataFrame:
-        """w, here, plainly, every: pages of spam with the word, those with it outside links, all pages with it outside links. The row '' counts pages: here those of spam, every all."""
+        """w, here, plainly, every: pages of spam with the word, those with it outside links, all pages with it outside links. The row '' counts pages: here those of spam, every all.
+
+        With words of spam, the links don't count and `every` stays as it was, so only the pages of spam are counted: w, here.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here, plainly, every = Counter(), Counter(), Counter()
 
             def out() -> pa.RecordBatch:
+                if spam is not None:
+                    return pa.RecordBatch.from_arrays([pa.array(list(here), pa.string()), pa.array(list(here.values()), pa.int64())], names=["w", "here"])
                 ws = list(every.keys() | here.keys())
-                return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *[pa.array([c[w] for w in ws], pa.int64()) for c in (here, plainly, every)]], names=["w", "here", "plainly", "every"])
+                return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *[pa.array([c.get(w, 0) for w in ws], pa.int64()) for c in (here, plainly, every)]], names=["w", "here", "plainly", "every"])
 
             for b in batches:
-                for n, total, inside, plain in zip(*[c.to_pylist() for c in b.columns]):
+                insides = b.column(3).to_pylist() if spam is None else [""] * b.num_rows
+                for n, total, plain, inside in zip(*[b.column(i).to_pylist() for i in range(3)], insides):
                     ws = plain.split(" ") if plain else []
-                    every.update(ws)
-                    every[""] += 1
-                    if total and (n > 0.6 * total or spam and ws and sum(w in spam for w in ws) >= max(2, 0.3 * len(ws))):
-                        plainly.update(ws)
+                    if spam is None:
+                        every.update(ws)
+                        every[""] += 1
+                    if total and (n > 0.6 * total or spam and ws and len(spam.intersection(ws)) >= max(2, 0.3 * len(ws))):
+                        if spam is None:
+                            plainly.update(ws)
                         here.update({*ws, *inside.split()} if spam is None else ws)
                         here[""] += 1
-                if len(every) > _HELD:
+                if max(len(every), len(here)) > _HELD:
                     yield out()
                     here.clear(), plainly.clear(), every.clear()
             yield out()
 
-        return pages.mapInArrow(run, "w string, here long, plainly long, every long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("here", "plainly", "every")])
+        kinds = ("here", "plainly", "every") if spam is None else ("here",)
+        asked = ["n", "total", "plain", *(["inside"] if spam is None else [])]
+        return pages.select(*asked).mapInArrow(run, "w string, " + ", ".join(f"{c} long" for c in kinds)).groupBy("w").agg(*[F.sum(c).alias(c) for c in kinds])
 
-    spam: frozenset[str] | None = None
+    first = found = stage(counted(None), "words")
+    told_all = first.select(F.col("w").alias("e_w"), "every")
+    n_all = (top["every"] or 0) if (top := first.where("w = ''").first()) else 0
+    spam: frozenset[str] = frozenset()
     for r in range(rounds + 1):
-        found = stage(counted(spam), "words")
-        top = found.where("w = ''").first()
-        n_bad, n_all = (top["here"], top["every"]) if top else (0, 0)
+        if r:
+            found = stage(counted(spam), "words")
+        n_bad = (top["here"] or 0) if (top := found.where("w = ''").first()) else 0
+        likely = found.where((F.col("w") != "") & (F.col("here") >= 2) & (F.col("here") >= 0.003 * n_bad))
+        if r:
+            likely = likely.join(told_all, F.col("w") == F.col("e_w")).withColumn("plainly", F.col("here"))
         seen = F.col("here") * (n_all - n_bad + 1) >= ratio / 2 ** (rounds - r) * n_bad * (F.col("every") - F.col("plainly") + 1)
-        spam = frozenset(x["w"] for x in found.where((F.col("w") != "") & (F.col("here") >= 2) & (F.col("here") >= 0.003 * n_bad) & seen).select("w").collect())
-    common = found.where((F.col("w") != "") & (F.col("every") >= max(2, 0.01 * n_all)) & (F.col("here") * n_all < F.col("every") * max(1, n_bad))).select("w").collect()
-    return Words(spam or frozenset(), frozenset(x["w"] for x in common) - (spam or frozenset()))
+        spam = frozenset(x["w"] for x in likely.where(seen).select("w").collect())
+    some = told_all.where((F.col("e_w") != "") & (F.col("every") >= max(2, 0.01 * n_all))).join(found.select("w", "here"), F.col("w") == F.col("e_w"), "left")
+    common = some.where(F.coalesce("here", F.lit(0)) * n_all < F.col("every") * max(1, n_bad)).select("e_w").collect()
+    return Words(spam, frozenset(x["e_w"] for x in common) - spam)
 
 
 #: Cut points tried for a feature.
@@ -333,6 +374,11 @@ def binned(x: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(y), 0, BINS - 1).astype(np.int64)
 
 
+def _matrix(x: pa.Array) -> np.ndarray:
+    """The features of a batch's pages, none of them null."""
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
 def _drawn(h: np.ndarray, n_trees: int) -> np.ndarray:
     """How often each page (by the hash of its id) stands in each tree's bootstrap sample: 0, 1, 2, ... as a sample of all pages drawn with replacement has them."""
     with np.errstate(over="ignore"):
@@ -404,14 +450,21 @@ class Forest(Trees):
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = binned(np.array(b.column(1).to_pylist(), float).reshape(-1, len(FEATURES)))
-                y, often = np.array(b.column(2).to_pylist(), np.int64), _drawn(np.array(b.column(0).to_pylist(), np.int64), len(known))
+                x = binned(_matrix(b.column(1)))
+                y, often = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), _drawn(b.column(0).to_numpy(zero_copy_only=False), len(known))
                 for t, wanted in by_tree.items():
-                    at = _reached(known[t], x)
-                    for me in wanted.keys() & set(np.unique(at).tolist()):
-                        i = np.flatnonzero(at == me)
-                        got = np.stack([np.bincount(x[i, f] * 2 + y[i], often[i, t], BINS * 2) for f in wanted[me]])
-                        sums[t, me] = sums[t, me] + got if (t, me) in sums else got
+                    i = np.flatnonzero(often[:, t])
+                    xs, slot = x[i], np.full(len(known[t]), -1)
+                    slot[list(wanted)] = np.arange(len(wanted))
+                    at = slot[_reached(known[t], xs)]
+                    i, xs, at = i[at >= 0], xs[at >= 0], at[at >= 0]
+                    fs = np.array(list(wanted.values()))
+                    tried = fs.shape[1]
+                    got = np.zeros(len(wanted) * tried * BINS * 2)
+                    for k in range(tried):
+                        got += np.bincount(((at * tried + k) * BINS + xs[np.arange(len(xs)), fs[at, k]]) * 2 + y[i], often[i, t], len(got))
+                    for me, v in zip(wanted, got.reshape(len(wanted), tried, BINS * 2)):
+                        sums[t, me] = sums[t, me] + v if (t, me) in sums else v
             for (t, me), v in sums.items():
                 flat = v.ravel()
                 i = np.flatnonzero(flat)
@@ -431,9 +484,13 @@ def _reached(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
     """The node in which each row ends."""
     f, cut, a, b, _ = (np.array(c) for c in zip(*nodes))
     at = np.zeros(len(x), int)
-    while (inner := f[at] >= 0).any():
-        go = x[np.arange(len(x)), np.maximum(f[at], 0)] <= cut[at]
-        at = np.where(inner, np.where(go, a[at], b[at]), at)
+    flat, width = np.ascontiguousarray(x).ravel(), x.shape[1]
+    left = np.arange(len(x)) if f[0] >= 0 else np.zeros(0, int)
+    while len(left):
+        here = at[left]
+        here = np.where(flat[left * width + f[here]] <= cut[here], a[here], b[here])
+        at[left] = here
+        left = left[f[here] >= 0]
     return at
 
 
@@ -474,8 +531,8 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(2).to_pylist(), float).reshape(-1, len(FEATURES))
-            c = np.array(b.column(3).to_pylist(), float)
+            x = _matrix(b.column(2))
+            c = b.column(3).to_numpy(zero_copy_only=False)
             r = trees.rate(x) if trees.trees else np.where(c >= 0.65, 0.98, np.where(c <= 0.35, 0.02, 0.5))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.clip(r, 0.02, 0.98)), pa.array(x[:, -1] > 0)], names=[doc_id, "host", "page_rate", "some"])
 

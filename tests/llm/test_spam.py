@@ -151,3 +151,10 @@ def test_trees_grow_on_all_labels(spark):
     assert [got[t, 0][0].sum() for t in (0, 1)] == often.sum(0).tolist() and 0.95 < often.mean() < 1.05
     f = S.Forest(df, n_trees=5, tried=len(S.FEATURES))
     assert len(f.trees) == 5 and ((f.rate(x[5000:]) > 0.5) == y[5000:]).mean() > 0.9
+
+
+def test_words_of_ascii_texts_are_those_of_the_pattern():
+    """Words are told by translation where a text (or a line of it) is ASCII; joined, loose and odd ones stay as the pattern has them."""
+    texts = ["", "R&D's don't-stop 'quoted' a & b &x y& rock'n'roll", "snake_case A1_b2 \x01 5-10", "Größe L&M’s\nplain LINE 'tis\nNAÏVE", "a''b &&", "1'2 x\ty\r\nz"]
+    for t in texts:
+        assert S._words_in(t) == S._WORD.findall(t.lower())
