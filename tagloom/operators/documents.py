@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.normalize import WHITE
 from tagloom.operators.prefix import salted_prefix
+from tagloom.operators.texts import told
 
 # Kinds in order, with label and discipline.
 KINDS = [
@@ -28,6 +29,9 @@ KEYWORDS = [
     (r"\bSTRUCTURAL\s+LAYOUT\b|\bFRAMING\s+PLAN\b|\bFOUNDATION\s+PLAN\b|\bCIVIL\s+LAYOUT\b", "STRUCTURAL_LAYOUT"),
     (r"\bISOMETRIC\b|\bISO\s+DRAWING\b|\bPIPE\s+ISO\b", "ISOMETRIC"),
 ]
+# The small words that an item must hold, one at least, if a title keyword begins in it; P & I D may be cut behind its P.
+BEGINNINGS = "piping process pfd earth grounding bonding single sld one lighting electrical power luminaire cable hvac ventilation air duct structural framing foundation civil iso pipe".split()
+PID_BEGINS = r"(?i)\bP\s*(?:&|$)"
 # Vocabulary as (kind, token, weight).
 VOCABULARY = [
     ("PID", "pit", 4), ("PID", "tit", 4), ("PID", "fit", 4), ("PID", "lit", 4), ("PID", "ait", 4), ("PID", "pdit", 4), ("PID", "psv", 4), ("PID", "prv", 3), ("PID", "pdt", 3), ("PID", "pt", 2), ("PID", "ti", 2), ("PID", "fi", 2), ("PID", "li", 2), ("PID", "pict", 3), ("PID", "frc", 3), ("PID", "vsd", 3), ("PID", "fc11s", 5), ("PID", "ac21s", 5), ("PID", "gc11s", 5), ("PID", "compressor", 3), ("PID", "separator", 3), ("PID", "cooler", 3), ("PID", "vessel", 3), ("PID", "scrubber", 3), ("PID", "exchanger", 3), ("PID", "glycol", 2), ("PID", "flare", 3), ("PID", "header", 2), ("PID", "nozzle", 2), ("PID", "drain", 2), ("PID", "coalescer", 3), ("PID", "skid", 2),
@@ -52,12 +56,24 @@ def vocabulary() -> list[tuple[str, int, str, int]]:
 
 def signals(texts: DataFrame, doc: str, text: str, words: bool = True, phrases: bool = True) -> DataFrame:
     """doc, keyword (place of the first keyword pattern hit, null if none), tokens hit (single words, phrases or both): per row, before any shuffle."""
-    low, c = F.lower(text), F.col(text)
-    hits = F.array(*[F.when(low.contains(t), F.lit(i)) for i, (_, _, t, _) in enumerate(vocabulary()) if (phrases if " " in t else words)])
+    c = F.col(text)
+    hits = _hits(text, words, phrases)
     if not phrases:
-        return texts.select(doc, F.lit(None).cast("int").alias("keyword"), F.array_compact(hits).alias("hits"))
+        return texts.select(doc, F.lit(None).cast("int").alias("keyword"), hits.alias("hits"))
     first = F.coalesce(*[F.when(c.rlike("(?i)" + p), F.lit(i)) for i, (p, _) in enumerate(KEYWORDS)])
-    return texts.select(doc, first.alias("keyword"), F.array_compact(hits).alias("hits"))
+    return texts.select(doc, first.alias("keyword"), hits.alias("hits"))
+
+
+def _hits(text: str, words: bool, phrases: bool) -> Column:
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for i, (_, _, t, _) in enumerate(vocabulary()) if (phrases if " " in t else words)]))
+
+
+def begins(text: str = "text") -> Column:
+    """Whether a title keyword or a phrase may begin in the text: it holds the first word of one."""
+    low = F.lower(text)
+    firsts = dict.fromkeys([*BEGINNINGS, *[t.split(" ")[0] for _, _, t, _ in vocabulary() if " " in t]])
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in firsts]) | F.col(text).rlike(PID_BEGINS)
 
 
 def confident(items: DataFrame) -> DataFrame:
@@ -65,20 +81,22 @@ def confident(items: DataFrame) -> DataFrame:
     return items.where((F.col("confidence") >= 0.25) & (F.col("text") != ""))
 
 
-def chained(items: DataFrame, span: int = 4, block: int = 4096) -> DataFrame:
+def chained(items: DataFrame, span: int = 4, block: int = 4096, only: Column | None = None) -> DataFrame:
     """drawing_id, text: each confident item with the span - 1 items after it, joined by blanks.
 
     No keyword or token spans more items than that, so these rows hold every hit that the drawing's
     whole text would. Items of white space don't count as items; where they stood, two blanks join
     their neighbours, as more than one blank would in the whole text. Items get their rank by a
     bucketed running count, which counts the white ones beside; windows run over blocks of ranks,
-    which overlap by the span, so a large drawing is many windows.
+    which overlap by the span, so a large drawing is many windows. `only` keeps the rows whose
+    first item fulfils it: with `begins` they still hold every hit, each where it begins.
     """
     said = F.col("text").rlike(f"(?!{WHITE})[\\s\\S]")
     t = confident(items).select("drawing_id", "item_idx", "text", said.alias("said"))
     t = t.withColumn("one", F.when(F.col("said"), F.lit(2**32)).otherwise(F.lit(1)).cast("long"))
     r = salted_prefix(t, ["drawing_id"], ["item_idx"], "one", "place", bucket=F.floor(F.col("item_idx") / block)).where("said")
     r = r.withColumns({"rank": F.shiftright("place", 32), "white": F.col("place").bitwiseAND(F.lit(2**32 - 1))})
+    r = r.withColumn("kept", F.lit(True) if only is None else only)
     b = F.floor(F.col("rank") / block)
     r = r.withColumn("block", F.explode(F.when((F.col("rank") % block < span - 1) & (b > 0), F.array(b, b - 1)).otherwise(F.array(b))))
     w = Window.partitionBy("drawing_id", "block").orderBy("rank")
@@ -86,7 +104,7 @@ def chained(items: DataFrame, span: int = 4, block: int = 4096) -> DataFrame:
     for i in range(1, span):
         before = F.lead("white", i - 1).over(w) if i > 1 else F.col("white")
         parts.append(F.concat(F.when(F.lead("white", i).over(w) > before, "  ").otherwise(" "), F.lead("text", i).over(w)))
-    return r.withColumn("text", F.concat_ws("", *parts)).where(b == F.col("block")).select("drawing_id", "text")
+    return r.withColumn("text", F.concat_ws("", *parts)).where((b == F.col("block")) & F.col("kept")).select("drawing_id", "text")
 
 
 def kinds(texts: DataFrame, doc: str = "drawing_id", text: str = "text", title: str | None = None, filename: str | None = None, singles: DataFrame | None = None) -> DataFrame:
@@ -102,14 +120,15 @@ def kinds(texts: DataFrame, doc: str = "drawing_id", text: str = "text", title:
     """
     s = signals(texts, doc, text, words=singles is None)
     if singles is not None:
-        s = s.unionByName(signals(singles.select(doc, text).distinct(), doc, text, phrases=False))
+        said = told(singles, text, hits=_hits(text, words=True, phrases=False))
+        s = s.unionByName(singles.select(doc, text).join(said, text, "left").select(doc, F.lit(None).cast("int").alias("keyword"), "hits"))
     if title or filename:
         head = F.concat_ws(" ", *[c for c in (title, filename) if c])
         t = texts.select(F.col(doc), F.coalesce(*[F.when(head.rlike("(?i)" + p), F.lit(i - 100)) for i, (p, _) in enumerate(KEYWORDS)]).alias("keyword"), F.array().cast("array<int>").alias("hits"))
         names = ([F.col(title)] if title else []) + ([F.regexp_replace(filename, "[_-]", " ")] if filename else [])
         s = s.unionByName(t).unionByName(signals(texts.select(doc, F.concat_ws(" ", *names).alias("__name")), doc, "__name"))
     v = vocabulary()
-    heard = s.select(doc, "keyword", F.explode_outer("hits").alias("hit")).groupBy(doc).agg(F.min("keyword").alias("keyword"), F.collect_set("hit").alias("hits"))
+    heard = s.select(doc, "keyword", F.explode_outer("hits").alias("hit")).distinct().groupBy(doc).agg(F.min("keyword").alias("keyword"), F.collect_set("hit").alias("hits"))
     scores = F.array(*[F.struct(reduce(lambda a, b: a + b, [F.when(F.array_contains("hits", j), w).otherwise(0) for j, (k2, _, _, w) in enumerate(v) if k2 == k]).alias("score"), F.lit(-i).alias("place"), F.lit(k).alias("kind")) for i, (k, _, _) in enumerate(KINDS[:-1])])
     best = F.array_max(scores)
     key = F.pmod(F.col("keyword") + 100, F.lit(100))
