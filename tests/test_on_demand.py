@@ -1,8 +1,11 @@
 """Queries build only what they give, and patterns run once for each distinct text."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from tagloom.operators import attributes, classify, entities, spatial, symbols, texts
+from tagloom.operators import attributes, classify, documents, entities, spatial, symbols, texts
+from tagloom.operators.neighbours import first_within, nearest
 from tagloom.plans import drawings
 from tagloom.session import release
 
@@ -47,3 +50,29 @@ def test_patterns_run_once_for_each_distinct_text(spark, monkeypatch):
     assert found.where("rank = 3").groupBy("tag").count().orderBy("tag").collect() == [(f"26-KA-90{i}", 100) for i in range(4)]
     assert classify.normalized(items).count() == 400 and attributes.labelled(items).count() == 0
     assert [s.count() for s in seen] == [4, 4, 4]
+
+
+def test_a_search_tells_distances_without_a_struct_a_candidate(spark):
+    """Ties go to the smallest ord, null places find nothing, the radius is outside, a scope without candidates has no answer."""
+    among = spark.createDataFrame([(1, "b", 2, 0.0, 0.3), (1, "a", 1, 0.3, 0.0), (1, "c", 0, 0.9, 0.9), (1, None, 0, 0.0, 0.0), (1, "n", 0, None, 0.0)], "drawing_id int, tag string, ord int, x double, y double")
+    asked = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, None, 0.0), (1, 2, 0.9, 0.8), (1, 3, 5.0, 5.0), (2, 4, 0.0, 0.0)], "drawing_id int, k int, x double, y double")
+    for square in (False, True):
+        near = nearest(asked, among, 0.4, "t", square=square)
+        assert [r.t for r in near.orderBy("k").collect()] == ["a", None, "c", None, None]
+        assert [r.t for r in nearest(asked, among, 0.3, "t", square=square).orderBy("k").collect()] == [None, None, "c", None, None]
+        assert [r.t for r in nearest(asked, among, 0.3, "t", square=square, inclusive=True).orderBy("k").collect()] == ["a", None, "c", None, None]
+        assert [r.t for r in first_within(asked, among, 2.0, "t", square=square).orderBy("k").collect()] == ["c", None, "c", None, None]
+        assert "zip_with" in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_that_begin_a_keyword_hold_every_hit(spark):
+    """Keywords and phrases cut over items at every blank, amid other words: the kinds are those of all rows."""
+    rng = random.Random(3)
+    parts = "P &|I D|P|&|I|D|PIPING|AND|INSTRUMENTATION|process|FLOW chart|EARTH|LAYOUT|earth grid|ONE|LINE|SINGLE|diagram|CABLE|TRAY|HVAC|AIR|HANDLING|unit|FRAMING|PLAN|ISO|drawing|pipe|mass|BALANCE|flow|rate|TEST|link|26-KA-901| |xP|PSV|to|PANEL".split("|")
+    rows = [(d, i, rng.choice(parts), 0.9) for d in range(120) for i in range(rng.randint(1, 9))]
+    items = spark.createDataFrame(rows, "drawing_id int, item_idx long, text string, confidence double")
+    singles = documents.confident(items)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    few = documents.chained(items, only=documents.begins())
+    assert few.count() < documents.chained(items).count()
+    assert key(documents.kinds(few, singles=singles)) == key(documents.kinds(documents.chained(items), singles=singles))
