@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import attributes, classify, documents, entities, spatial, symbols, texts
 from tagloom.operators.neighbours import first_within, nearest
-from tagloom.plans import drawings
+from tagloom.plans import drawings, views
 from tagloom.session import release
 
 
@@ -76,3 +76,12 @@ def test_rows_that_begin_a_keyword_hold_every_hit(spark):
     few = documents.chained(items, only=documents.begins())
     assert few.count() < documents.chained(items).count()
     assert key(documents.kinds(few, singles=singles)) == key(documents.kinds(documents.chained(items), singles=singles))
+
+
+def test_items_texts_are_those_of_the_case(spark):
+    """Looked up by kind, every text is what the SQL's CASE says, for odd part and line numbers too."""
+    keys = spark.range(-40, 2600).withColumn("n", F.explode(F.array(*[F.lit(x).cast("long") for x in (None, -2, -1, 0, 1, 2, 3, 4, 5, 6, 7, 1000)]))).withColumnRenamed("id", "p").unionByName(spark.sql("SELECT CAST(null AS bigint) p, 3L n"))
+    rows = keys.withColumn("kind", ((F.col("p") + F.col("n")) % views._KINDS).cast("int"))
+    assert rows.where(~views.item_text().eqNullSafe(F.expr(views._TEXTS.format(s="string")))).count() == 0
+    plan = views.ocr_items(spark, "/root/testdata/sf0.001").select("text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WHEN") < 34
