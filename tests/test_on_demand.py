@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tagloom.operators import attributes, classify, documents, entities, spatial, symbols, texts
-from tagloom.operators.neighbours import first_within, nearest
+from tagloom.operators import attributes, classify, dedup, documents, entities, spatial, symbols, texts
+from tagloom.operators.neighbours import first_within, nearest, prepared
 from tagloom.plans import drawings, views
 from tagloom.session import release
 
@@ -85,3 +85,30 @@ def test_items_texts_are_those_of_the_case(spark):
     assert rows.where(~views.item_text().eqNullSafe(F.expr(views._TEXTS.format(s="string")))).count() == 0
     plan = views.ocr_items(spark, "/root/testdata/sf0.001").select("text")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("WHEN") < 34
+
+
+def test_earthing_reads_only_mentions_of_its_classes(spark, data, monkeypatch):
+    want = sorted(map(tuple, entities.earthing(drawings._elements(spark, data)).select("drawing_id", "tag", "component_type", "material", "size", "resistance").collect()))
+    forbid(monkeypatch, (classify, "kept_notes"), (classify, "guarded"), (dedup, "fold_aliases"))
+    assert sorted(map(tuple, drawings.earthing_list(spark, data).collect())) == want
+
+
+def test_relationships_need_no_notes(spark, data, monkeypatch):
+    forbid(monkeypatch, (classify, "kept_notes"))
+    assert drawings.relationships_resolved(spark, data).count() > 0
+
+
+def test_candidates_are_made_ready_once_for_several_searches(spark):
+    """Also where a drawing is crowded; several candidates at one place count as one."""
+    among = spark.range(3000).selectExpr("CAST(IF(id < 2900, 1, 2) AS int) drawing_id", "CAST(id AS string) tag", "id ord", "(id % 1450) / 1450 x", "((id * 7919) % 1450) / 1450 y")
+    asked = spark.range(60).selectExpr("CAST(1 + id % 3 AS int) drawing_id", "id k", "id / 60 x", "((id * 17) % 60) / 60 y")
+    once = prepared(among)
+    for f in (nearest, first_within):
+        key = lambda df: sorted(map(tuple, df.select("drawing_id", "k", "t").collect()))
+        assert key(f(asked, once, 0.05, "t")) == key(f(asked, among, 0.05, "t"))
+
+
+def test_folding_hands_on_columns_of_the_tag_and_of_the_first(spark):
+    e = spark.createDataFrame([(1, 0, "A", "KA-901", "x", None), (1, 1, "A", "26-KA-901", "y", 0.5), (1, 2, "B", "KA-901", "z", 0.1)], "drawing_id int, o int, classification string, tag string, a string, b double")
+    got = dedup.fold(e, F.substring("tag", -3, 3), ["A"], "o", keep=("a",), first=("a", "b")).collect()
+    assert [(r.tag, r.o, r.first_tag, r.aliases, r.a, r.first_a, r.first_b) for r in got] == [("26-KA-901", 1, "KA-901", ["KA-901"], "y", "x", None)]
